@@ -16,8 +16,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir)).select("doc_id", "__quality.*")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.secrets import secret_digests
+
+    return secret_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
+        "op3_secrets": op3_secrets,
         "op10_quality": op10_quality,
     }
 
