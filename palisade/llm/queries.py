@@ -22,9 +22,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op3_secrets": op3_secrets,
+        "op8_line_dedup": op8_line_dedup,
         "op10_quality": op10_quality,
     }
 
