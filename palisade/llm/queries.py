@@ -29,9 +29,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.simhash import hex_fingerprint, near_duplicates
+
+    out = near_duplicates(_documents(spark, sf_dir))
+    return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {
         "op3_secrets": op3_secrets,
+        "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
         "op10_quality": op10_quality,
     }
