@@ -36,9 +36,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palisade.llm.packing import pack, pieces
+
+    return pack(pieces(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict:
     return {
         "op3_secrets": op3_secrets,
+        "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
         "op10_quality": op10_quality,
