@@ -44,9 +44,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palisade.llm.bpe import encode_digests
+
+    return encode_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
         "op3_secrets": op3_secrets,
+        "op4_byte_bpe": op4_byte_bpe,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
