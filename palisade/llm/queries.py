@@ -52,6 +52,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.long_repeats import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def queries() -> dict:
     return {
         "op3_secrets": op3_secrets,
@@ -59,6 +65,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
+        "op9_long_repeats": op9_long_repeats,
         "op10_quality": op10_quality,
     }
 
