@@ -58,8 +58,16 @@ def op9_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.toxicity import toxicity
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity(_documents(spark, sf_dir), labels, lambda c: F.crc32(c.cast("string").cast("binary")) % 3 == 1)
+
+
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_packing": op6_packing,
