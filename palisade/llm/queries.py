@@ -65,8 +65,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), labels, lambda c: F.crc32(c.cast("string").cast("binary")) % 3 == 1)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.language_model import lm_scores
+
+    return lm_scores(_documents(spark, sf_dir), lambda c: F.crc32(c.cast("string").cast("binary")) % 7 == 2)
+
+
 def queries() -> dict:
     return {
+        "op1_lm_scores": op1_lm_scores,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op4_byte_bpe": op4_byte_bpe,
