@@ -71,12 +71,20 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_documents(spark, sf_dir), lambda c: F.crc32(c.cast("string").cast("binary")) % 7 == 2)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.neighbours import nearest
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, lambda c: c % 20 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_lm_scores": op1_lm_scores,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_neighbours": op5_neighbours,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
