@@ -17,6 +17,8 @@ kept. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import zlib
 
 import numpy as np
@@ -30,48 +32,70 @@ from palisade.llm.common import written
 CAPACITY, END_ID = 4096, 1
 #: Entries of the word cache of a Python worker; longer words are not kept.
 CACHE_WORDS, CACHE_BYTES = 1 << 19, 48
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 4096
 #: Pieces of a class and salt that are ranked together, on average.
 RANKED = 20_000
 
 
 class WordTokenizer:
-    """ids of whole texts, by words: the tokenizer splits at white space, so words are encoded one by one and kept."""
+    """ids of whole texts, by words: the tokenizer splits at white space, so each distinct word is encoded once and kept.
+
+    The table of words stops growing when full; frequent words come early, so it holds them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = text.encode().split(), self.known
-        new = [w for w in set(words) if w not in known]
-        own = {}
+    def _encode(self, words: list[bytes]):
+        """(word, ids) of distinct words, WORDS_AT_ONCE in one string, split again by the places of the ids."""
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            part = words[i : i + WORDS_AT_ONCE]
+            texts = [w.decode() for w in part]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            at = np.array([o[0] for o in got.offsets], np.int64)
+            size = np.array([len(t) + 1 for t in texts], np.int64)
+            first = (4 * np.searchsorted(at, np.cumsum(size) - size)).tolist() + [len(ids)]
+            for w, a, b in zip(part, first, first[1:], strict=False):
+                yield w, ids[a:b]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        known = self.known
+        split = [t.encode().split() for t in texts]
+        new = [w for w in set().union(*split) if w not in known]
+        if len(known) < CACHE_WORDS:
+            known.update((w, x) for w, x in self._encode(new) if len(w) <= CACHE_BYTES)
+            new = [w for w in new if len(w) > CACHE_BYTES]
         if new:
-            keep = known if len(known) < CACHE_WORDS else None
-            if keep is None:
-                known.clear()
-                new, keep = list(set(words)), known
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                (keep if len(w) <= CACHE_BYTES else own)[w] = np.array(e.ids, "<u4").tobytes()
-        if own:
-            return b"".join([own[w] if w in own else known[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+            own = dict(self._encode(new))
+            return [b"".join([own[w] if w in own else known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+@functools.cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer with its word table, kept from task to task."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document with its end token."""
 
     def cut(batches):
-        words = WordTokenizer(tokenizer_path)
+        words = _tokenizer(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = words.ids(text or "") + end
-                for i in range(0, len(ids), 4 * capacity):
-                    part = ids[i : i + 4 * capacity]
-                    rows.append((doc, i // (4 * capacity), i // 4, len(part) // 4, zlib.crc32(part)))
+            docs, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                for doc, own in zip(docs[at : at + TEXTS_AT_ONCE], words.ids(texts[at : at + TEXTS_AT_ONCE]), strict=True):
+                    ids = own + end
+                    for i in range(0, len(ids), 4 * capacity):
+                        part = ids[i : i + 4 * capacity]
+                        rows.append((doc, i // (4 * capacity), i // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
