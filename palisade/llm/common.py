@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.let import let
+
 #: One word: anything but ASCII white space (Java and Python read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,11 +34,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once for each row, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def whole_text(df: DataFrame, text: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(df[text].cast("string"), F.lit(""))
@@ -44,3 +41,6 @@ def whole_text(df: DataFrame, text: str = "text") -> Column:
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+__all__ = ["SPACE", "WORD", "ascii_lower", "let", "shared_dir", "whole_text", "written"]
