@@ -1,7 +1,6 @@
 """Long-repeat removal: bytes covered by a 100-byte string that also starts earlier in the corpus.
 
-A run-length index over every suffix of the corpus does not fit the limits set for this operator (see
-README), so repeats are found by content-chosen anchors, exactly and with the same marking rule:
+Run-length indexes do the matching, over the repetitive part of the corpus, in parts:
 
 1. Each 100-byte window picks as its anchor the 32-byte substring of least hash in it (the rightmost
    of equals). Equal windows pick equal anchors at equal places. Windows in a row with one anchor form
@@ -9,14 +8,15 @@ README), so repeats are found by content-chosen anchors, exactly and with the sa
 2. Regions are dealt out by anchor and sorted. Equal regions but the first are repeats outright; an
    anchor with one region has no repeat. Where an anchor has several different regions, their first
    ones are ambiguous.
-3. Only for ambiguous regions every window is compared. An anchor's regions are brought to one task,
-   their bytes with them, and all but the first of equal windows repeat. An anchor with more than
+3. The bytes of ambiguous regions are dealt out by anchor. A task builds a run-length index of the
+   regions of some anchors (run-compressed transform, sampled run ends), streams its matching
+   statistics and marks what matches 100 bytes of an earlier region. An anchor with more than
    MOST_REGIONS different regions has its single windows dealt out by hash and sorted instead.
 4. Marks come back to their documents, are merged, and the bytes are cut.
 
 Equal regions and windows within a task are settled before the shuffle, so a passage that a third of
-all documents share sends few rows. Sorted groups stream through a task with constant memory. Hash
-equality stands for string equality: anchor and window hashes make 128 bits.
+all documents share sends few rows. Sorted groups stream through a task with constant memory. Where
+regions are compared by hash, anchor and region make 128 bits.
 
 Null and empty texts have no bytes. Documents are ordered by doc_id (null first), then text hash;
 rows equal in both are one document and get the same result. Cut bytes may split a character, so the
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import whole_text, written
+from palisade.llm.run_index import RunLengthIndex
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes hashed at a time; longer documents are cut into slices that overlap by LENGTH - 1.
@@ -281,7 +282,7 @@ def _region_bytes(batches):
 
 def _compare(batches):
     """Marks of the windows that come again among the regions of each anchor; rows sorted by anchor and place."""
-    held, hasher = None, None
+    held = None
     for b in itertools.chain(batches, [None]):
         if b is not None:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
@@ -292,16 +293,18 @@ def _compare(batches):
         if not done:
             continue
         part, held = held.slice(0, done), held.slice(done)
-        raw, windows = part["raw"].to_pylist(), part["windows"].to_numpy().astype(np.int64)
-        size = np.array([len(x) for x in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        if hasher is None or len(hasher.power) < len(data) + 1:
-            hasher = Hasher(len(data) + LENGTH)
-        inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = np.repeat(np.cumsum(size) - size, windows) + inside
-        each = lambda c: np.repeat(part[c].to_numpy(), windows)  # noqa: B023, E731
-        h = hasher.of(hasher.sums(data), at, at + LENGTH)
-        yield _settled(each("k").view(np.uint64), h, each("doc"), each("tag"), each("start").astype(np.int64) + inside, np.ones(len(at), np.int64))
+        k, doc, tag, start = (part[c].to_numpy() for c in ("k", "doc", "tag", "start"))
+        fresh = np.ones(done, bool)  # a document given twice has its regions twice
+        fresh[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1])
+        k, doc, tag, start = k[fresh], doc[fresh], tag[fresh], start[fresh].astype(np.int64)
+        index = RunLengthIndex(part["raw"].filter(pa.array(fresh)).to_pylist())
+        at = index.repeated(LENGTH)
+        if not len(at):
+            continue
+        own = np.searchsorted(index.end, at, side="right")
+        head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])]))
+        first, which, n = at[head], own[head], np.diff(np.append(head, len(at)))
+        yield _batch(np.ones(len(head), bool), k[which], np.zeros(len(head), np.int64), doc[which], tag[which], start[which] + first - index.start[which], n)
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
