@@ -42,28 +42,36 @@ def _covered(hashes: Column) -> Column:
     )
 
 
-def base_columns(text: Column, words: Column) -> dict[str, Column]:
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def base_columns(text: Column, words: Column) -> list[Column]:
+    """words must be a name bound by let(), as it is used inside lambdas."""
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     windows = F.when(
         F.size(words) >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _covered(windows).cast("long"),
-    }
+    return [
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _covered(windows).cast("long").alias("n_repeat_words"),
+    ]
+
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
-def trusted() -> Column:
+
+def trusted(m: Column) -> Column:
     """Documents that stand for clean text: sound by the base rules, nearly no symbols, no repeated line."""
-    return ~F.col("base_failed") & (F.col("n_words") >= 30) & (1000 * F.col("n_symbols") <= F.col("word_chars")) & (F.col("n_dup_lines") == 0)
+    return ~base_failed(m) & (m["n_words"] >= 30) & (1000 * m["n_symbols"] <= m["word_chars"]) & (m["n_dup_lines"] == 0)
 
 
 def ngram_buckets(words: Column, buckets: int) -> Column:
@@ -73,18 +81,13 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
     return let(ends, pair)
 
 
-def _with_base(docs: DataFrame) -> DataFrame:
-    """Adds the base columns under a struct; the words stay for the verdict."""
-    df = docs.withColumn("__text", whole_text(docs))
-    df = df.withColumn("__words", F.array_remove(F.split("__text", SPACE), ""))
-    return df.withColumn("__base", F.struct(*[c.alias(n) for n, c in base_columns(F.col("__text"), F.col("__words")).items()]))
-
-
 def ratio_model(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with the array of log ratios, trusted against all; add-one smoothing."""
-    df = _with_base(docs).select("__words", "__base.*").withColumn("base_failed", base_failed())
-    grams = df.select(trusted().cast("long").alias("good"), F.explode(ngram_buckets(F.col("__words"), buckets)).alias("b"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"))
+    text = whole_text(docs)
+    measured = let(words_of(text), lambda w: F.struct(*base_columns(text, w), ngram_buckets(w, buckets).alias("grams")))
+    counted = let(measured, lambda m: F.struct(trusted(m).cast("long").alias("good"), m["grams"].alias("grams")))
+    grams = docs.select(counted.alias("c")).select(F.col("c.good").alias("good"), F.explode("c.grams").alias("b"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"))
     counts = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("g")).union(every).groupBy("b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     row = counts.agg(F.sum("n").alias("N"), F.sum("g").alias("G"), F.sort_array(F.collect_list(F.struct("b", "n", "g"))).alias("a"))
     return row.select(
@@ -95,12 +98,19 @@ def ratio_model(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def quality(docs: DataFrame, corpus: DataFrame | None = None, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """docs with a struct column __quality: base counts, base_failed, llr (mean log ratio) and kept.
 
-    corpus: what the multinomials are counted over, docs itself if None."""
-    model = ratio_model(docs if corpus is None else corpus, buckets)
-    df = _with_base(docs).withColumn("__model", model.scalar())
-    grams = ngram_buckets(F.col("__words"), buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(F.col("__model"), b))
-    df = df.withColumn("__llr", F.when(F.size("__words") > 0, F.round(total / F.size("__words"), 6)).otherwise(F.lit(0.0)))
-    failed = (F.col("__base.n_words") < 10) | (100 * F.col("__base.n_repeat_words") > 20 * F.col("__base.n_words"))
-    df = df.withColumn("__quality", F.struct("__base.*", failed.alias("base_failed"), F.col("__llr").alias("llr"), (~failed & (F.col("__llr") >= threshold)).alias("kept")))
-    return df.drop("__text", "__words", "__base", "__model", "__llr")
+    corpus: what the multinomials are counted over, docs itself if None. The whole verdict is one
+    expression whose parts are named by let(), so no optimiser rule can repeat them inside a lambda."""
+    model = ratio_model(docs if corpus is None else corpus, buckets).scalar()
+    text = whole_text(docs)
+
+    def ratio(w):
+        total = F.aggregate(ngram_buckets(w, buckets), F.lit(0.0), lambda acc, b: acc + F.get(F.col("__model"), b))
+        return F.when(F.size(w) > 0, F.round(total / F.size(w), 6)).otherwise(F.lit(0.0))
+
+    measured = let(words_of(text), lambda w: F.struct(*base_columns(text, w), ratio(w).alias("llr")))
+
+    def verdict(m):
+        kept = ~base_failed(m) & (m["llr"] >= threshold)
+        return F.struct(*[m[c].alias(c) for c in BASE], base_failed(m).alias("base_failed"), m["llr"].alias("llr"), kept.alias("kept"))
+
+    return docs.withColumn("__model", model).withColumn("__quality", let(measured, verdict)).drop("__model")
