@@ -37,6 +37,18 @@ TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 4096
 RANKED = 20_000
 
 
+def _gaps(found: list) -> list[int]:
+    """Where found holds None."""
+    out = []
+    try:
+        i = found.index(None)
+        while True:
+            out.append(i)
+            i = found.index(None, i + 1)
+    except ValueError:
+        return out
+
+
 class WordTokenizer:
     """ids of whole texts, by words: the tokenizer splits at white space, so each distinct word is encoded once and kept.
 
@@ -61,18 +73,24 @@ class WordTokenizer:
             for w, a, b in zip(part, first, first[1:], strict=False):
                 yield w, ids[a:b]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        split = [t.encode().split() for t in texts]
-        new = [w for w in set().union(*split) if w not in known]
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        known, split, found, new = self.known, [], [], set()
+        for t in texts:
+            words = t.split()
+            got = list(map(known.get, words))
+            new.update(words[i] for i in _gaps(got))
+            split.append(words)
+            found.append(got)
+        own = dict(self._encode(list(new)))
         if len(known) < CACHE_WORDS:
-            known.update((w, x) for w, x in self._encode(new) if len(w) <= CACHE_BYTES)
-            new = [w for w in new if len(w) > CACHE_BYTES]
-        if new:
-            own = dict(self._encode(new))
-            return [b"".join([own[w] if w in own else known[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            known.update((w, x) for w, x in own.items() if len(w) <= CACHE_BYTES)
+        out = []
+        for words, got in zip(split, found, strict=True):
+            for i in _gaps(got):
+                got[i] = own[words[i]]
+            out.append(b"".join(got))
+        return out
 
 
 @functools.cache
@@ -89,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            docs, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
+            docs, texts = b["doc_id"].to_pylist(), [t or b"" for t in b["text"].cast(pa.binary()).to_pylist()]
             for at in range(0, len(texts), TEXTS_AT_ONCE):
                 for doc, own in zip(docs[at : at + TEXTS_AT_ONCE], words.ids(texts[at : at + TEXTS_AT_ONCE]), strict=True):
                     ids = own + end
