@@ -45,8 +45,9 @@ def url_decoded(text: Column) -> Column:
 
 
 def octal_decoded(text: Column) -> Column:
-    """\\ddd becomes its character; codes over \\377 wrap (see README)."""
-    return replaced(text, r"\\[0-7]{3}", lambda m: F.char(F.conv(F.substring(m, 2, 3), 8, 10).cast("int")))
+    """\\ddd becomes its character, up to \\777."""
+    code = lambda m: F.lpad(F.conv(F.substring(m, 2, 3), 8, 16), 4, "0")
+    return replaced(text, r"\\[0-7]{3}", lambda m: F.decode(F.unhex(code(m)), "UTF-16BE"))
 
 
 def base32_decoded(text: Column) -> Column:
