@@ -42,14 +42,26 @@ def adjusted_points(base: Column, reduction: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((base * (100 - reduction) + 50) / 100)).cast("int")
 
 
+_compiled: dict[tuple, Column] = {}
+
+
+def _column(app: str, rules: tuple[Rule, ...]) -> Column:
+    """The rules' matches over columns of fixed names; made once for each application, as it takes many calls into the JVM."""
+    key = (app, rules)
+    if key not in _compiled:
+        prompt = Prompt(*(F.col(c) for c in ("text", "lines", "kind", "ext", "path", "line_start", "line_end")))
+        _compiled[key] = F.concat(*[compile_rule(r, prompt) for r in rules])
+    return _compiled[key]
+
+
 def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every match, duplicates among overlapping prompts included, with the prompt's reductions."""
     own = ["path", *keep, "prompt_ord", "kind"]
     df = prompts.withColumn("lines", F.split("text", "\n", -1))
-    prompt = Prompt(*(F.col(c) for c in ("text", "lines", "kind", "ext", "path", "line_start", "line_end")))
-    families = [[r for r in family if r in rules and not r.arrow] for family in FAMILIES.values()]
-    plugged = [r for r in rules if not any(r in f for f in FAMILIES.values()) and not r.arrow]
-    columns = [F.concat(*[compile_rule(r, prompt) for r in family]) for family in (*families, plugged) if family]
+    families = [tuple(r for r in family if r in rules and not r.arrow) for family in FAMILIES.values()]
+    plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()) and not r.arrow)
+    app = prompts.sparkSession.sparkContext.applicationId
+    columns = [_column(app, family) for family in (*families, plugged) if family]
     soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text")).items()), strict=True)))
     # a projection for each family keeps the expressions small; the arrays meet in one explode
     wide = df.select(*own, soft.alias("soft"), *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
