@@ -128,8 +128,8 @@ def index_plan(rules=RULES) -> Plan:
 
 def postings(docs: DataFrame, plan: Plan) -> DataFrame:
     """The inverted index: a row (trigram number, doc_id) for each indexed trigram that a document holds."""
-    text = F.lower(whole_text(docs))
-    held = F.filter(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(i)) for i, t in enumerate(plan.trigrams)]), lambda x: x.isNotNull())
+    which = lambda text: F.filter(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(i)) for i, t in enumerate(plan.trigrams)]), lambda x: x.isNotNull())
+    held = let(F.lower(whole_text(docs)), which)
     return docs.select("doc_id", F.explode(held).alias("trigram"))
 
 
