@@ -15,7 +15,8 @@ INCLUDE = ("**/*.md", "**/*.txt", "**/*.yaml", "**/*.yml", "**/*.json", "**/*.ts
 EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/coverage/**", "**/*.min.js", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml")
 DEFAULTS = {"threshold": 60, "maxFindings": 0, "failOn": None, "minConfidence": None, "includeRules": [], "excludeRules": [], "include": list(INCLUDE), "exclude": list(EXCLUDE)}
 ENVIRONMENT = {"HOUND_THRESHOLD": ("threshold", int), "HOUND_FAIL_ON": ("failOn", str), "HOUND_MIN_CONFIDENCE": ("minConfidence", str), "HOUND_VERBOSE": ("verbose", lambda v: v == "true")}
-IGNORE_FILE, CONFIG_FILE = ".houndignore", ".contexthoundrc.json"
+#: The names of settings and of the ignore file, as existing projects have them; the configuration file is our own.
+IGNORE_FILE, CONFIG_FILE = ".houndignore", ".palisaderc.json"
 
 
 def glob_regex(glob: str) -> str:
