@@ -8,9 +8,9 @@ the probabilities of all words given a context sum to one.
 
 The log-bilinear part predicts an output from the outputs before it: the context's vectors, scaled
 elementwise by position, sum to a prediction whose products with the output vectors are scores. It is
-trained with noise samples from the outputs' frequencies: first in one task on texts of about
-WARM_TOKENS tokens, then from that start in every task on one position in STRIDE of all its training
-texts; the tasks' parameters are averaged by Spark. Scoring takes matrix products over blocks of tokens
+trained with noise samples from the outputs' frequencies: every task learns every position of all its
+training texts, from a common start, and Spark averages the tasks' parameters. The start is learnt in one
+task on distinct texts of about WARM_TOKENS tokens and at most WARM_BYTES bytes. Scoring takes matrix products over blocks of tokens
 and normalises over all outputs.
 
 Counts of rare words are broadcast while their checked size allows; beyond it texts send their rare
@@ -38,8 +38,9 @@ WORDS, CLASSES = 159, 32
 OUTPUTS = WORDS + 1 + CLASSES
 END = WORDS  # the end token's output
 CONTEXT, SIZE = 6, 32
-NOISE, BATCH, STEP, EPOCHS = 64, 1024, 0.15, 2
-WARM_TOKENS, STRIDE = 400_000, 16
+NOISE, BATCH, RUN, STEP, EPOCHS = 64, 1024, 64, 0.15, 2
+#: The start's texts: about so many tokens, characters of a text, and bytes at most.
+WARM_TOKENS, WARM_TEXT, WARM_BYTES = 400_000, 1 << 16, 4 << 20
 CHUNK, BLOCK = 1 << 20, 4096
 #: Rare words' hashes and counts up to this size are broadcast.
 BROADCAST_BYTES, ENTRY_BYTES = 96 << 20, 12
@@ -139,6 +140,22 @@ class Vocabulary:
         return out
 
 
+def _grouped(index: np.ndarray):
+    """(distinct values, order, where each value begins in the order)."""
+    order = np.argsort(index, kind="stable")
+    ranked = index[order]
+    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return ranked[head], order, head
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
 class LogBilinear:
     def __init__(self, frequency: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -161,29 +178,39 @@ class LogBilinear:
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def _predicted(self, before):
-        return sum(self.context[before[:, j]] * self.position[j] for j in range(CONTEXT))
-
-    def learn(self, before: np.ndarray, out: np.ndarray, rng) -> None:
-        """One step of noise-contrastive estimation; the batch shares its noise samples."""
-        noise = rng.choice(OUTPUTS, NOISE, p=self.noise)
+    def learn(self, tokens: np.ndarray, real: np.ndarray, noise: np.ndarray) -> None:
+        """One step of noise-contrastive estimation on runs of outputs, each behind its first CONTEXT ones; real tells
+        which are learnt. The runs share the noise samples."""
         sample, times = np.unique(noise, return_counts=True)
-        h = self._predicted(before)
+        n, width = max(1, int(real.sum())), real.shape[1]
+        found = self.context.take(tokens, axis=0)
+        before = [slice(CONTEXT - 1 - j, CONTEXT - 1 - j + width) for j in range(CONTEXT)]
+        h = sum(found[:, w] * self.position[j] for j, w in enumerate(before)).reshape(-1, SIZE)
+        out, weight = tokens[:, CONTEXT:].ravel(), (real.ravel() / n).astype(np.float32)
         shift = np.log(NOISE * self.noise).astype(np.float32)
-        good = (h * self.target[out]).sum(axis=1) + self.bias[out] - shift[out]
-        bad = h @ self.target[sample].T + self.bias[sample] - shift[sample]
-        g = np.zeros((len(out), OUTPUTS), np.float32)
-        g[:, sample] = times / (1 + np.exp(-np.clip(bad, -30, 30)))
-        g[np.arange(len(out)), out] -= 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        g /= len(out)
-        dh = g @ self.target
-        dc, dp = np.zeros_like(self.context), np.zeros_like(self.position)
-        for j in range(CONTEXT):
-            one = np.zeros((len(out), OUTPUTS), np.float32)
-            one[np.arange(len(out)), before[:, j]] = 1
-            dc += one.T @ (dh * self.position[j])
-            dp[j] = (dh * self.context[before[:, j]]).sum(axis=0)
-        for x, s, d in zip(self._parts(), self.sums, (dc, dp, g.T @ h, g.sum(axis=0)), strict=True):
+        own, other = self.target.take(out, axis=0), self.target[sample]
+        good = (h * own).sum(axis=1) + (self.bias - shift)[out]
+        bad = h @ other.T
+        bad += self.bias[sample] - shift[sample]
+        g = _sigmoid(bad)
+        g *= times.astype(np.float32)
+        g *= weight[:, None]
+        g_own = -_sigmoid(-good) * weight
+        dh = g @ other
+        dh += g_own[:, None] * own
+        dt, db = np.zeros_like(self.target), np.bincount(out, weights=g_own, minlength=OUTPUTS).astype(np.float32)
+        rows, order, head = _grouped(out)
+        dt[rows] = np.add.reduceat((g_own[:, None] * h).take(order, axis=0), head)
+        dt[sample] += g.T @ h
+        db[sample] += g.sum(axis=0)
+        dh = dh.reshape(*real.shape, SIZE)
+        d, dp, dc = np.zeros_like(found), np.empty_like(self.position), np.zeros_like(self.context)
+        for j, w in enumerate(before):
+            d[:, w] += dh * self.position[j]
+            dp[j] = np.einsum("rns,rns->s", dh, found[:, w])
+        rows, order, head = _grouped(tokens.ravel())
+        dc[rows] = np.add.reduceat(d.reshape(-1, SIZE).take(order, axis=0), head)
+        for x, s, d in zip(self._parts(), self.sums, (dc, dp, dt, db), strict=True):
             s += d * d
             x -= STEP * d / np.sqrt(s)
 
@@ -193,9 +220,9 @@ class LogBilinear:
         got = np.empty(len(out))
         for i in range(0, len(out), BLOCK):
             b, o = before[i : i + BLOCK], out[i : i + BLOCK]
-            h = scaled[0][b[:, 0]]
+            h = scaled[0].take(b[:, 0], axis=0)
             for j in range(1, CONTEXT):
-                h += scaled[j][b[:, j]]
+                h += scaled[j].take(b[:, j], axis=0)
             z = h @ self.target.T
             z += self.bias
             z -= z.max(axis=1, keepdims=True)
@@ -214,23 +241,48 @@ def contexts(out: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-def _training(vocabulary, frequency, start, stride, epochs):
+def runs(out: np.ndarray, sizes: np.ndarray):
+    """(tokens, real): the outputs as runs of RUN, each row behind the CONTEXT ones before it. Texts are set apart by
+    end tokens, so that no context reaches the text before; those, and what fills the last run, are not real."""
+    ends = np.cumsum(sizes)
+    total = len(out) + (CONTEXT - 1) * (len(sizes) - 1)
+    rows = -(-total // RUN)
+    stream, real = np.full(CONTEXT + rows * RUN, END, np.int16), np.zeros(rows * RUN, bool)
+    at = np.arange(len(out)) + np.repeat(np.arange(len(sizes)) * (CONTEXT - 1), np.diff(ends, prepend=0))
+    stream[CONTEXT + at], real[at] = out, True
+    return np.lib.stride_tricks.sliding_window_view(stream, CONTEXT + RUN)[::RUN], real.reshape(rows, RUN)
+
+
+def _training(vocabulary, frequency, start, epochs=1, most_bytes=None):
+    """Learns every position of the task's texts; with most_bytes of that many bytes of them, held for several epochs."""
+
+    def bounded(chunks):
+        left = most_bytes
+        for texts, _ in chunks:
+            kept = list(itertools.takewhile(lambda x: x[1] <= left, zip(texts, itertools.accumulate(map(len, texts)), strict=True)))
+            if kept:
+                yield [t for t, _ in kept], []
+                left -= kept[-1][1]
+            if len(kept) < len(texts):
+                return
+
     def run(batches):
         model, reader, rng = LogBilinear(frequency), Texts(), np.random.default_rng(5)
         if start is not None:
             model.load(start)
             for s in model.sums:
                 s += 0.05  # small steps from a trained start
-        seen = 0
-        chunks = _chunks(batches) if epochs == 1 else itertools.chain.from_iterable(itertools.repeat(list(_chunks(batches)), epochs))
+        seen, up_to = 0, np.cumsum(frequency)
+        chunks = _chunks(batches) if most_bytes is None else itertools.chain.from_iterable(itertools.repeat(list(bounded(_chunks(batches))), epochs))
         for texts, _ in chunks:
             h, cls, sizes = reader.words(texts)
-            out = vocabulary.outputs(h, cls)
-            before = contexts(out, sizes)
-            at = rng.permutation(np.arange(int(rng.integers(stride)), len(out), stride))
-            for i in range(0, len(at), BATCH):
-                model.learn(before[at[i : i + BATCH]], out[at[i : i + BATCH]], rng)
-            seen += len(at)
+            tokens, real = runs(vocabulary.outputs(h, cls), sizes)
+            order, step = rng.permutation(len(tokens)), BATCH // RUN
+            noise = np.minimum(np.searchsorted(up_to, rng.random((-(-len(order) // step), NOISE))), OUTPUTS - 1)
+            for i in range(0, len(order), step):
+                at = order[i : i + step]
+                model.learn(tokens[at], real[at], noise[i // step])
+            seen += int(real.sum())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().astype(np.float64)], pa.list_(pa.float64()))], ["n", "p"])
 
@@ -259,13 +311,14 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Vocabulary, LogBilinear]:
     frequency /= frequency.sum()
     model = LogBilinear(frequency)
     share = min(1.0, WARM_TOKENS / max(1, tokens))
-    warm = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
-    # about WARM_TOKENS tokens whatever the corpus: one task
-    start = _averaged(warm.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(_training(vocabulary, frequency, None, 1, EPOCHS), "n long, p array<double>"))
-    if start is not None:
-        if share < 1:
-            start = _averaged(train.select("text").mapInArrow(_training(vocabulary, frequency, start, STRIDE, 1), "n long, p array<double>"))
-        model.load(start)
+    text = F.substring("text", 1, WARM_TEXT).alias("text")
+    warm = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(text).distinct()
+    # a start only: one task, whose texts are distinct and bounded in bytes whatever the corpus
+    shape = "n long, p array<double>"
+    start = _averaged(warm.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(_training(vocabulary, frequency, None, EPOCHS, WARM_BYTES), shape))
+    learnt = _averaged(train.select("text").mapInArrow(_training(vocabulary, frequency, start), shape))
+    if learnt is not None:
+        model.load(learnt)
     return vocabulary, model
 
 

@@ -220,6 +220,28 @@ def test_language_model(docs, rows, size):
         assert sum(r.score for r in got if r.held_out == held) > sum(r.base_score for r in got if r.held_out == held)
 
 
+@pytest.mark.parametrize("warm", [500, 1 << 40])
+def test_language_model_learns_every_position(spark, docs, monkeypatch, warm):
+    """Whatever the size of the start, the last pass learns each training position once."""
+    learnt, averaged = [], language_model._averaged
+    monkeypatch.setattr(language_model, "WARM_TOKENS", warm)
+    monkeypatch.setattr(language_model, "_averaged", lambda rows: [learnt.append(rows.agg(F.sum("n")).first()[0]), averaged(rows)][1])
+    train = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary, _ = language_model.fit(train, language_model.word_counts(train))
+    assert len(learnt) == 2 and learnt[-1] == vocabulary.tokens
+
+
+def test_language_model_runs():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 9, 300)
+    out = rng.integers(0, language_model.OUTPUTS, sizes.sum())
+    out[np.cumsum(sizes) - 1] = language_model.END
+    tokens, real = language_model.runs(out, sizes)
+    assert (tokens[:, language_model.CONTEXT :][real] == out).all()
+    before = np.stack([tokens[:, language_model.CONTEXT - 1 - j :][:, : real.shape[1]][real] for j in range(language_model.CONTEXT)], axis=1)
+    assert (before == language_model.contexts(out, sizes)).all()
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(1)
     model = language_model.LogBilinear(np.full(language_model.OUTPUTS, 1 / language_model.OUTPUTS))
