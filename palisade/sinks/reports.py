@@ -1,10 +1,12 @@
-"""Reports. Row formats (jsonl, csv, annotations) are written by Spark; page formats are made from a
-bounded page of findings on the driver, as they are for people to read."""
+"""Reports. Row formats (jsonl, csv, annotations) are written by Spark; the others are one document of
+all findings, whose ordered rows pass through the driver a partition at a time and are never held whole."""
 
 from __future__ import annotations
 
 import html
+import itertools
 import json
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,6 @@ CSV_COLUMNS = ("id", "severity", "confidence", "title", "file", "lineStart", "li
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 MITRE_URL = "https://attack.mitre.org/techniques/"
 SEVERITY_ORDER = ("critical", "high", "medium", "low")
-#: Findings that a page format shows; the row formats have all.
-PAGE_ROWS = 10_000
 
 
 def finding_struct() -> Column:
@@ -54,82 +54,165 @@ def annotation_rows(findings: DataFrame) -> DataFrame:
     return findings.select(F.concat(F.lit("::"), level, F.lit(" file="), "path", F.lit(",line="), F.col("line_start").cast("string"), F.lit("::["), "rule_id", F.lit("] "), clean(F.col("title"))).alias("value"))
 
 
-def page(findings: DataFrame) -> list[dict]:
-    """The first PAGE_ROWS findings by path, line and rule."""
-    rows = findings.select(finding_struct().alias("f")).orderBy("f.file", "f.lineStart", "f.id").limit(PAGE_ROWS)
-    return [{k: v for k, v in r["f"].asDict().items() if v is not None} for r in rows.collect()]
+class Findings:
+    """All findings by path, line and rule; every iteration reads them anew. Counts are a Spark aggregate."""
 
+    def __init__(self, findings: DataFrame):
+        self.rows = findings.select(finding_struct().alias("f")).orderBy("f.file", "f.lineStart", "f.id")
 
-def json_report(result: dict, rows: list[dict]) -> str:
-    files: dict[str, list] = {}
-    for r in rows:
-        files.setdefault(r["file"], []).append(r)
-    body = result | {"files": [{"file": f, "findings": x, "fileScore": sum(r["riskPoints"] for r in x)} for f, x in files.items()], "allFindings": rows}
-    return json.dumps(body, indent=2, ensure_ascii=False)
+    def __iter__(self) -> Iterator[dict]:
+        return ({k: v for k, v in r["f"].asDict().items() if v is not None} for r in self.rows.toLocalIterator())
 
+    def counts(self) -> list[tuple[str, int]]:
+        n = dict(map(tuple, self.rows.groupBy("f.severity").count().collect()))
+        return [(s, n.get(s, 0)) for s in SEVERITY_ORDER]
 
-def sarif(rows: list[dict]) -> str:
-    rules = {}
-    for r in rows:
-        tags = ["security", "prompt-injection", *([f"attack:{r['mitre']}"] if "mitre" in r else [])]
-        rule = {"id": r["id"], "shortDescription": {"text": r["title"]}, "help": {"text": r["remediation"]}, "properties": {"tags": tags}}
-        if "mitre" in r:
-            rule["helpUri"] = MITRE_URL + r["mitre"].replace(".", "/") + "/"
-        rules.setdefault(r["id"], rule)
-    results = [
-        {
-            "ruleId": r["id"], "level": LEVELS[r["severity"]], "message": {"text": f"{r['title']}: {r['evidence']}"},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"], "uriBaseId": "%SRCROOT%"}, "region": {"startLine": r["lineStart"], "endLine": r["lineEnd"]}}}],
-        }
-        for r in rows
-    ]
-    run = {"tool": {"driver": {"name": "palisade", "version": "1.0.0", "rules": list(rules.values())}}, "results": results}
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2)
-
-
-def junit(rows: list[dict]) -> str:
-    files: dict[str, list] = {}
-    for r in rows:
-        files.setdefault(r["file"], []).append(r)
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<testsuites name="palisade" tests="{len(rows)}" failures="{len(rows)}">']
-    for f, own in files.items():
-        out.append(f'  <testsuite name={quoteattr(f)} tests="{len(own)}" failures="{len(own)}">')
+    def rules(self) -> list[dict]:
+        """One finding of each rule."""
+        names = ("id", "title", "remediation", "mitre")
+        rows = self.rows.select(*[f"f.{x}" for x in names]).groupBy("id").agg(*[F.first(x).alias(x) for x in names[1:]]).orderBy("id").collect()
+        return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+
+
+def page(findings: DataFrame) -> Findings:
+    return Findings(findings)
+
+
+def _by_file(rows: Iterable[dict]):
+    return itertools.groupby(rows, key=lambda r: r["file"])
+
+
+def _dumped(x, depth: int) -> str:
+    return json.dumps(x, indent=2, ensure_ascii=False).replace("\n", "\n" + "  " * depth)
+
+
+def _listed(items: Iterable[dict], depth: int) -> Iterator[str]:
+    """A JSON list, item by item."""
+    gap, first = "\n" + "  " * (depth + 1), True
+    for x in items:
+        yield ("[" if first else ",") + gap + _dumped(x, depth + 1)
+        first = False
+    yield "[]" if first else "\n" + "  " * depth + "]"
+
+
+def json_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
+    yield "{\n" + "".join(f"  {json.dumps(k)}: {_dumped(v, 1)},\n" for k, v in result.items()) + '  "files": ['
+    comma, score = "", 0
+
+    def scored(own):
+        nonlocal score
+        for r in own:
+            score += r["riskPoints"]
+            yield r
+
+    for f, own in _by_file(rows):
+        score = 0
+        yield comma + '\n    {\n      "file": ' + json.dumps(f, ensure_ascii=False) + ',\n      "findings": '
+        yield from _listed(scored(own), 3)
+        yield f',\n      "fileScore": {score}\n    }}'
+        comma = ","
+    yield ("\n  " if comma else "") + '],\n  "allFindings": '
+    yield from _listed(rows, 1)
+    yield "\n}"
+
+
+def json_report(result: dict, rows: Iterable[dict]) -> str:
+    return "".join(json_parts(result, rows))
+
+
+def _sarif_rule(r: dict) -> dict:
+    tags = ["security", "prompt-injection", *([f"attack:{r['mitre']}"] if "mitre" in r else [])]
+    rule = {"id": r["id"], "shortDescription": {"text": r["title"]}, "help": {"text": r["remediation"]}, "properties": {"tags": tags}}
+    if "mitre" in r:
+        rule["helpUri"] = MITRE_URL + r["mitre"].replace(".", "/") + "/"
+    return rule
+
+
+def _sarif_result(r: dict) -> dict:
+    return {
+        "ruleId": r["id"], "level": LEVELS[r["severity"]], "message": {"text": f"{r['title']}: {r['evidence']}"},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"], "uriBaseId": "%SRCROOT%"}, "region": {"startLine": r["lineStart"], "endLine": r["lineEnd"]}}}],
+    }
+
+
+def sarif_parts(rows: Iterable[dict]) -> Iterator[str]:
+    rules = rows.rules() if isinstance(rows, Findings) else list({r["id"]: r for r in rows}.values())
+    driver = {"name": "palisade", "version": "1.0.0", "rules": [_sarif_rule(r) for r in rules]}
+    yield f'{{\n  "$schema": {json.dumps(SARIF_SCHEMA)},\n  "version": "2.1.0",\n  "runs": [\n    {{\n      "tool": {_dumped({"driver": driver}, 3)},\n      "results": '
+    yield from _listed(map(_sarif_result, rows), 3)
+    yield "\n    }\n  ]\n}"
+
+
+def sarif(rows: Iterable[dict]) -> str:
+    return "".join(sarif_parts(rows))
+
+
+def junit_parts(rows: Iterable[dict]) -> Iterator[str]:
+    total = sum(n for _, n in _counts(rows))
+    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="palisade" tests="{total}" failures="{total}">\n'
+    for f, own in _by_file(rows):
+        own = list(own)  # the findings of one file
+        yield f'  <testsuite name={quoteattr(f)} tests="{len(own)}" failures="{len(own)}">\n'
         for r in own:
-            out.append(f"    <testcase name={quoteattr(r['id'] + ': ' + r['title'])} classname={quoteattr(f)}>")
-            out.append(f"      <failure message={quoteattr(r['title'])} type={quoteattr(r['severity'])}>{escape(r['evidence'])} (line {r['lineStart']})</failure>\n    </testcase>")
-        out.append("  </testsuite>")
-    return "\n".join([*out, "</testsuites>"])
+            yield f"    <testcase name={quoteattr(r['id'] + ': ' + r['title'])} classname={quoteattr(f)}>\n"
+            yield f"      <failure message={quoteattr(r['title'])} type={quoteattr(r['severity'])}>{escape(r['evidence'])} (line {r['lineStart']})</failure>\n    </testcase>\n"
+        yield "  </testsuite>\n"
+    yield "</testsuites>"
+
 
+def junit(rows: Iterable[dict]) -> str:
+    return "".join(junit_parts(rows))
 
-def _counts(rows):
-    return [(s, sum(r["severity"] == s for r in rows)) for s in SEVERITY_ORDER]
 
+def _counts(rows: Iterable[dict]) -> list[tuple[str, int]]:
+    if isinstance(rows, Findings):
+        return rows.counts()
+    own = [r["severity"] for r in rows]
+    return [(s, own.count(s)) for s in SEVERITY_ORDER]
 
-def markdown(result: dict, rows: list[dict]) -> str:
+
+def markdown_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
     clean = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
     out = ["# Palisade report", "", f"**{'PASSED' if result['passed'] else 'FAILED'}**: score {result['repoScore']}/100 ({result['scoreLabel']})", "", "| Severity | Count |", "| --- | --- |"]
     out += [f"| {s} | {n} |" for s, n in _counts(rows)]
     out += ["", "| File | Line | Rule | Severity | Finding |", "| --- | --- | --- | --- | --- |"]
-    out += [f"| {clean(r['file'])} | {r['lineStart']} | {r['id']} | {r['severity']} | {clean(r['title'])} |" for r in rows]
-    return "\n".join(out) + "\n"
+    yield "\n".join(out) + "\n"
+    for r in rows:
+        yield f"| {clean(r['file'])} | {r['lineStart']} | {r['id']} | {r['severity']} | {clean(r['title'])} |\n"
+
 
+def markdown(result: dict, rows: Iterable[dict]) -> str:
+    return "".join(markdown_parts(result, rows))
 
-def html_page(result: dict, rows: list[dict]) -> str:
+
+def html_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
     cells = lambda r: "".join(f"<td>{html.escape(str(r[k]))}</td>" for k in ("file", "lineStart", "id", "severity", "title", "evidence"))
-    body = "".join(f"<tr>{cells(r)}</tr>" for r in rows)
-    data = json.dumps({"result": result, "findings": rows}).replace("</", "<\\/")
+    data = lambda x: json.dumps(x).replace("</", "<\\/")
     counts = ", ".join(f"{s} {n}" for s, n in _counts(rows))
-    return f"<!doctype html><meta charset=utf-8><title>Palisade report</title><h1>Score {result['repoScore']} ({html.escape(result['scoreLabel'])})</h1><p>{counts}</p><table>{body}</table><script type='application/json' id='data'>{data}</script>"
+    yield f"<!doctype html><meta charset=utf-8><title>Palisade report</title><h1>Score {result['repoScore']} ({html.escape(result['scoreLabel'])})</h1><p>{counts}</p><table>"
+    for r in rows:
+        yield f"<tr>{cells(r)}</tr>"
+    yield f"</table><script type='application/json' id='data'>{{\"result\": {data(result)}, \"findings\": ["
+    for i, r in enumerate(rows):
+        yield (", " if i else "") + data(r)
+    yield "]}</script>"
 
 
-def console(result: dict, rows: list[dict], verbose: bool = False) -> str:
-    out, last = [], None
+def html_page(result: dict, rows: Iterable[dict]) -> str:
+    return "".join(html_parts(result, rows))
+
+
+def console_parts(result: dict, rows: Iterable[dict], verbose: bool = False) -> Iterator[str]:
+    last = None
     for r in rows:
         if r["file"] != last:
-            out.append(r["file"])
             last = r["file"]
-        out.append(f"  {r['lineStart']:>5}  {r['severity']:<8}  {r['id']:<8}  {r['title']}")
+            yield f"{last}\n"
+        yield f"  {r['lineStart']:>5}  {r['severity']:<8}  {r['id']:<8}  {r['title']}\n"
         if verbose:
-            out.append(f"         {r['confidence']} confidence, {r['riskPoints']} points{', ' + r['mitre'] if 'mitre' in r else ''}: {r['remediation']}")
-    out.append(f"{'passed' if result['passed'] else 'failed'}: score {result['repoScore']} ({result['scoreLabel']}); " + ", ".join(f"{n} {s}" for s, n in _counts(rows)))
-    return "\n".join(out)
+            yield f"         {r['confidence']} confidence, {r['riskPoints']} points{', ' + r['mitre'] if 'mitre' in r else ''}: {r['remediation']}\n"
+    yield f"{'passed' if result['passed'] else 'failed'}: score {result['repoScore']} ({result['scoreLabel']}); " + ", ".join(f"{n} {s}" for s, n in _counts(rows))
+
+
+def console(result: dict, rows: Iterable[dict], verbose: bool = False) -> str:
+    return "".join(console_parts(result, rows, verbose))

@@ -90,6 +90,11 @@ def changed_paths(folder: str, ref: str = "origin/main") -> list[str] | None:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rule_id) of an earlier JSON report."""
+    """(path, rule_id) of an earlier result: a JSON report, a jsonl report, or a Parquet table of findings."""
+    first = spark.read.text(path).limit(1).select(F.col("value").startswith("PAR1").alias("parquet"), F.get_json_object("value", "$.id").isNotNull().alias("row")).first()
+    if first is not None and first["parquet"]:
+        return spark.read.parquet(path).select("path", "rule_id")
+    if first is None or first["row"]:
+        return spark.read.schema("id string, file string").json(path).select(F.col("file").alias("path"), F.col("id").alias("rule_id"))
     shape = "allFindings array<struct<id:string,file:string>>"
     return spark.read.schema(shape).json(path, multiLine=True).select(F.explode("allFindings").alias("f")).select(F.col("f.file").alias("path"), F.col("f.id").alias("rule_id"))

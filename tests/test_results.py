@@ -1,6 +1,8 @@
 import json
 import xml.dom.minidom
 
+from pyspark.sql import functions as F
+
 from palisade.operators import baseline as base
 from palisade.operators.scoring import exit_code, first_files, repo_result
 from palisade.operators.suppress import directives, unused, with_suppressor
@@ -104,3 +106,27 @@ def test_command_line(tmp_path, capsys, spark):
     assert "JBK-010" in capsys.readouterr().out
     assert main(["explain", "jbk-010"]) == 0 and main(["explain", "zzz"]) == 1
     assert main(["scan", "--list-rules"]) == 0 and main(["scan", "--preset", "nope", "--dir", str(tmp_path)]) == 1
+
+
+def test_reports_have_every_finding(spark, tmp_path):
+    """More findings than any page held."""
+    n = 10_100
+    kept = spark.range(n).select(
+        F.format_string("f%05d.md", (F.col("id") / 2).cast("int")).alias("path"), F.format_string("R-%d", F.col("id") % 3).alias("rule_id"), F.lit("t").alias("title"), F.lit("high").alias("severity"),
+        F.lit("low").alias("confidence"), F.lit("a\nb").alias("evidence"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("r").alias("remediation"), F.lit(7).alias("risk_points"), F.lit(None).cast("string").alias("mitre"),
+    )
+    page, result = reports.page(kept), {"repoScore": 1, "scoreLabel": "l", "passed": True}
+    text = reports.json_report(result, page)
+    body = json.loads(text)
+    assert text == json.dumps(body, indent=2, ensure_ascii=False) and len(body["allFindings"]) == n
+    assert len(body["files"]) == n // 2 and {f["fileScore"] for f in body["files"]} == {14}
+    run = json.loads(reports.sarif(page))["runs"][0]
+    assert len(run["results"]) == n and len(run["tool"]["driver"]["rules"]) == 3
+    assert f'tests="{n}"' in reports.junit(page) and f"| high | {n} |" in reports.markdown(result, page) and f"{n} high" in reports.console(result, page)
+    assert len(json.loads(reports.html_page(result, page).split("id='data'>")[1].removesuffix("</script>"))["findings"]) == n
+    (tmp_path / "b.json").write_text(text)
+    reports.json_lines(kept).write.text(str(tmp_path / "rows"))
+    kept.write.parquet(str(tmp_path / "table"))
+    for name in ("b.json", "rows", "table"):
+        assert src.read_baseline(spark, str(tmp_path / name)).count() == n
+    assert src.read_baseline(spark, str(tmp_path / "b.json")).distinct().count() == n
