@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
 return the columns of documents; where a stage changes a text, n_chars follows. Rows with a null
-doc_id or a repeated doc_id go through every stage; near-dedup keeps one row of equal (doc_id, text).
+doc_id or a repeated doc_id go through every stage; near-dedup keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from palisade.llm.line_dedup import drop_repeated_lines
 from palisade.llm.packing import pack, pieces
 from palisade.llm.quality import quality
 from palisade.llm.secrets import find_secrets, redacted
-from palisade.llm.simhash import near_duplicates
+from palisade.llm.simhash import representatives, text_mark
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
-    out = docs.join(kept.select(F.col("doc_id").alias("__id")), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("__n > 1").limit(1).count():
+    """Of each group of near copies one row stays: that of the smallest doc_id, and of its texts the least by hash."""
+    kept = representatives(docs)
+    ids = kept.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_mark() == F.col("__mark")), "left_semi")
+    if kept.where("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 

@@ -56,15 +56,17 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE, mark=None) -> DataFrame:
+    """(doc_id, fp[, mark]): the fingerprint as a signed 64-bit number; mark is a column of 64-bit numbers."""
+    more = [] if mark is None else ["mark"]
 
     def of(batches):
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64)), *(b[m] for m in more)], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if mark is None else [mark.alias("mark")])]
+    return docs.select(*own).mapInArrow(of, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def _flips(radius: int) -> np.ndarray:
@@ -136,13 +138,32 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(runs, "a long, b long")
 
 
+def _roots(fps: DataFrame, first, radius: int) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: the aggregate first of its rows, and its component."""
+    distinct = fps.groupBy("fp").agg(first.alias("first"))
+    comp = components(links(distinct.select("fp"), radius))
+    roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return written(roots, "roots")
+
+
+def text_mark():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def representatives(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, mark, n): of each component the smallest doc_id (null last) with its smallest text mark, and the rows that have both."""
+    fps = written(fingerprints(docs, words, text_mark()), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    kept = _roots(fps, least, radius).groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("id"), F.col("f.mark").alias("of"))
+    kept = kept.distinct()
+    rows = fps.join(kept, fps["doc_id"].eqNullSafe(kept["id"]) & (fps["mark"] == kept["of"]))
+    return written(rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n")), "representatives")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most radius bits."""
     fps = written(fingerprints(docs, words), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = components(links(distinct.select("fp"), radius))
-    roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = written(roots, "roots")
+    roots = _roots(fps, F.min("doc_id"), radius)
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -42,3 +42,11 @@ def test_stages_against_brute_force(spark, data, tmp_path):
     assert dict(tokens) == {d: len(t.encode(x, add_special_tokens=False).ids) + 1 for d, x in fourth}
     assert corpus_pipeline.run(spark, data).count() == outs[4].count()
     assert np.isclose(outs[4].agg(F.sum("length")).first()[0], sum(tokens.values()))
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    """Repeated and null ids: a row stays for its own group only."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue")
+    rows = [(1, a), (1, b), (0, b), (2, c), (2, c), (2, c.upper()), (None, "w x y z"), (None, "W x y z"), (None, a)]
+    got = [r.text for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(t.lower() for t in got) == sorted([a, b, c, "w x y z"])
