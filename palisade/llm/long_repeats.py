@@ -162,8 +162,13 @@ def _chunks(batches, extra=None):
 
     for b in batches:
         rows = sorted(zip(b["doc"].to_pylist(), b["tag"].to_pylist(), b["text"].to_pylist(), b[extra].to_pylist() if extra else itertools.repeat(None)), key=lambda r: r[:2])
-        items, total = [], 0
+        items, total, place, texts = [], 0, None, set()
         for doc, tag, text, more in rows:
+            if (doc, tag) != place:
+                place, texts = (doc, tag), set()
+            if text in texts:  # the same document given twice has the same regions
+                continue
+            texts.add(text)
             raw = text.encode()
             for at in range(0, max(1, len(raw)), CHUNK):
                 part = raw[at : at + CHUNK + LENGTH - 1]

@@ -187,6 +187,13 @@ def test_long_repeats(spark, most, rows):
     assert srt(long_repeats.remove_repeats(df, True, most).collect()) == srt([*want, *again])
 
 
+def test_long_repeats_of_a_document_given_twice(spark):
+    """One batch has both copies, and the document repeats a region inside itself."""
+    own = [(1, "a" * 400), (2, "xy" * 300)]
+    got = long_repeats.remove_repeats(spark.createDataFrame([*own, *own], "doc_id long, text string").coalesce(1), True)
+    assert srt(got.collect()) == srt(brute.long_repeats(own) * 2)
+
+
 def test_run_index():
     rng = random.Random(3)
     for _ in range(200):
