@@ -7,8 +7,8 @@ keys that meet no other key there) over arrays of 64-bit fingerprints, counts an
 Documents probe these arrays. Below a checked size the index is broadcast and texts stay where they
 are; beyond it, probes go to salted copies of the shards and only line numbers come back.
 
-Null and empty texts are one empty line and are kept. Rows count as documents; rows with one doc_id
-are judged alike. A null doc_id counts as the smallest. Extra columns travel in the struct `row`.
+Null and empty texts are one empty line and are kept. Rows with one doc_id count as one document
+and are judged alike; so do those with a null doc_id, which is the smallest. Extra columns travel in the struct `row`.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def _lines_of(batches):
 def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(h, f, n, last): hashes of lines in so many documents at least, with their number and the largest doc_id."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_lines_of, "h long, f long, doc long")
-    return lines.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
+    return lines.groupBy("h", "f").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
 
 
 def _build(pdf):

@@ -75,6 +75,15 @@ def test_line_dedup(docs, rows, size):
     assert srt(got.select("doc_id", "n_lines", "n_dropped", "kept").collect()) == srt(brute.line_dedup(rows))
 
 
+@pytest.mark.parametrize("size", [1 << 26, 0])
+def test_line_dedup_counts_documents(spark, size):
+    """A document given twice is one document."""
+    two, three = "a line that two documents have", "a line that three documents have"
+    rows = [(1, f"{two}\n{three}"), (1, f"{two}\n{three}"), (2, f"{two}\n{three}"), (3, three)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=size)
+    assert srt(got.select("doc_id", "kept").collect()) == srt([(1, two), (1, two), (2, two), (3, three)])
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64))
     mph = line_dedup.PerfectHash(keys)
