@@ -1,22 +1,29 @@
-"""Best-fit packing of tokenised documents into sequences of fixed length.
-
-Documents longer than a sequence are cut into full pieces and a rest. Packing is bulk-synchronous
-best-fit in decreasing order. Pieces and gaps are range-sorted by size; as sizes are whole numbers up
-to the capacity, equal ones form at most `capacity` classes, whatever the corpus. A superstep sweeps
-one class of pieces over the sorted gap classes: the successor (tightest gap that holds it) takes as
-many as it has gaps, the rest go to the next, the gaps' new sizes are entered, and pieces without
-a gap open sequences. What a class contends for is resolved by rank: the sweep hands out ranges of
-ranks. Ranks are given to pieces by a distributed count over (class, salt), so a class that holds a
-third of all pieces is spread over tasks, and each piece finds its place by a binary search in the
-ranges. Only the class counts (at most `capacity` rows) reach the driver.
-
-Null and empty texts are one end token. Repeated rows are packed each on its own. A null doc_id is
-kept. Extra columns are ignored.
+r"""Best-fit packing of tokenised documents into sequences of fixed length, by bulk-synchronous supersteps.
+
+Documents longer than a sequence are cut into full pieces and a rest. Pieces of one length form a run
+(length, how many are left, the rank of the next); open sequences with one gap form a run too. Sizes
+are whole numbers up to the capacity, so the tables of runs stay small whatever the corpus. A superstep is a
+Spark job over both tables:
+
+1. Runs are range-sorted by size, larger first, gaps before pieces of their size.
+2. Each task sweeps its range: a run of pieces takes the run of gaps seen last, which is its
+   successor, the tightest gap that holds it. Contention is resolved by rank: larger lengths come first
+   and a length's ranks are handed out in order. A gap takes as many equal pieces as it holds.
+3. What no gap of its range could hold is swept once more against what the other ranges left over. Pieces that
+   find no gap at all and are longer than 1 / BAND of the longest one open sequences, larger first.
+4. Gaps are updated; runs and matches are written; the next superstep reads them.
+
+After a superstep no piece longer than 1 / BAND of the longest is left, so there are at most
+log(capacity) / log(BAND) supersteps. Matches are ranges of ranks. Pieces get their ranks from a distributed
+count over (length, salt), with more salts for a length of many pieces, and find their place in the ranges.
+
+Null and empty texts are one end token. Very long texts give many pieces, each a row. Pieces of equal length are ranked by
+(salt, doc_id, piece, checksum); repeated rows are packed each on its own. A null doc_id is kept. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import os
 import zlib
@@ -32,9 +39,15 @@ from palisade.llm.common import written
 CAPACITY, END_ID = 4096, 1
 #: Entries of the word cache of a Python worker; longer words are not kept.
 CACHE_WORDS, CACHE_BYTES = 1 << 19, 48
-TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 4096
-#: Pieces of a class and salt that are ranked together, on average.
-RANKED = 20_000
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 256
+#: In a superstep pieces longer than 1 / BAND of the longest are all placed.
+BAND = 2.0
+#: Ranges that a superstep's runs are dealt to.
+RANGES = 4
+#: Pieces of a length and salt that are ranked together, at least and at most.
+RANKED = (256, 20_000)
+#: Matches that may be broadcast, of 40 bytes each.
+MOST_MATCHES = 4_000_000
 
 
 def _gaps(found: list) -> list[int]:
@@ -122,71 +135,143 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return src.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """Best-fit decreasing over classes: (length, first rank, first sequence, offset) of each range of ranks, in order.
-
-    A range ends where the next of its length begins; rank r of it goes to sequence first + (r - first rank)."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    plan, opened = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, n = gaps[gap].pop()
-                take = min(left, n)
-                if take < n:
-                    gaps[gap].append((first + take, n - take))
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-                plan.append((length, rank, first, capacity - gap))
-                add(gap - length, first, take)
-                left, rank = left - take, rank + take
+SHAPE = "kind int, size int, n long, at long, left long, offset int"
+#: Rows of SHAPE. PIECES: n of length `size` from rank `at`. GAPS: n sequences from `at` on with `size` free.
+#: MATCH: n sequences from `at` on take pieces of length `size` from rank `left` on at `offset`, a piece each.
+GAPS, PIECES, MATCH = 0, 1, 2
+
+
+def _rows(kind: int, runs) -> list[tuple]:
+    return [(kind, *r) for r in runs]
+
+
+def sweep(runs: list[tuple[int, int, int, int]], capacity: int = CAPACITY):
+    """(matches, pieces left, gaps left, new gaps) of runs (kind, size, n, at), larger first, gaps before pieces.
+
+    The stack holds the gaps passed so far; its top is the successor of the next run of pieces."""
+    stack: list[list[int]] = []
+    matches, pieces, fresh = [], [], []
+    for kind, size, n, at in runs:
+        if kind == GAPS:
+            stack.append([size, n, at])
+            continue
+        rank = at
+        while n and stack:
+            gap, free, first = stack[-1]
+            each = min(gap // size, n)
+            used = min(free, n // each)
+            matches += [(size, used, first, rank + c * used, capacity - gap + c * size) for c in range(each)]
+            if gap > each * size:
+                fresh.append((gap - each * size, used, first))
+            rank, n = rank + each * used, n - each * used
+            if used == free:
+                stack.pop()
+            else:
+                stack[-1][1:] = free - used, first + used
+        if n:
+            pieces.append((size, n, rank))
+    return matches, pieces, [tuple(g) for g in stack], fresh
+
+
+def opened(pieces, longest: int, step: int, capacity: int = CAPACITY, band: float = BAND):
+    """(matches, pieces left, gaps) after the pieces longer than longest / band opened sequences.
+
+    A run fills as many sequences as it can; what is left of it shares one with the next runs, if those fit."""
+    matches, left, gaps = [], [], []
+    gap = shared = 0
+    for size, n, rank in pieces:
+        if size * band <= longest:
+            left.append((size, n, rank))
+            continue
+        first = step << 57 | size << 40  # a length opens sequences once a superstep
+        while n:
+            if gap >= size:
+                each, used, base, at = min(gap // size, n), 1, capacity - gap, shared
+                gap -= each * size
             else:
-                each = capacity // length
-                new, over = divmod(left, each)
-                for k in range(each if new else over):
-                    if new:
-                        plan.append((length, rank, opened, k * length))
-                        rank += new
-                    if not new and over:
-                        plan.append((length, rank, opened, k * length))
-                        rank += 1
-                if new:
-                    add(capacity - each * length, opened, new)
-                    opened, left = opened + new, over
-                else:
-                    add(capacity - over * length, opened, 1)
-                    opened, left = opened + 1, 0
-    return plan
+                each, base, at = min(capacity // size, n), 0, first
+                used = n // each
+                room = capacity - each * size
+                if each == capacity // size:
+                    gaps += [(room, used, first)] if room else []
+                else:  # the last of the run
+                    gaps += [(gap, 1, shared)] if gap else []
+                    gap, shared = room, first
+                first += used
+            matches += [(size, used, at, rank + c * used, base + c * size) for c in range(each)]
+            rank, n = rank + each * used, n - each * used
+    return matches, left, [*gaps, (gap, 1, shared)] if gap else gaps
+
+
+def _batch(rows):
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "size", "n", "at", "left", "offset"])
+
+
+def _state(pieces, gaps, matches):
+    return _batch([*((PIECES, *p, None, None) for p in pieces), *((GAPS, *g, None, None) for g in gaps), *_rows(MATCH, matches)])
+
+
+def superstep(runs: DataFrame, step: int, longest: int, capacity: int = CAPACITY, band: float = BAND) -> DataFrame:
+    """The runs left and the matches of one superstep over runs (GAPS and PIECES)."""
+
+    def within(batches):
+        own = [r for b in batches for r in zip(*(b[c].to_pylist() for c in ("kind", "size", "n", "at")), strict=True)]
+        matches, pieces, gaps, fresh = sweep(own, capacity)
+        # new gaps wait for the next superstep: marked by left = 1
+        yield _batch([*((PIECES, *p, None, None) for p in pieces), *((GAPS, *g, 0, None) for g in gaps), *((GAPS, *g, 1, None) for g in fresh), *_rows(MATCH, matches)])
+
+    def between(batches):
+        held, waiting, done = [], [], []
+        for b in batches:
+            for r in zip(*(b[c].to_pylist() for c in ("kind", "size", "n", "at", "left", "offset")), strict=True):
+                (done if r[0] == MATCH else waiting if r[0] == GAPS and r[4] else held).append(r)
+        matches, pieces, gaps, fresh = sweep([r[:4] for r in held], capacity)
+        more, pieces, own = opened(pieces, longest, step, capacity, band)
+        yield _state(pieces, [*gaps, *fresh, *own, *(r[1:4] for r in waiting)], [*matches, *more])
+        if done:
+            yield _batch(done)
+
+    order = (F.desc("size"), "kind", "at")
+    swept = runs.repartitionByRange(RANGES, F.desc("size"), "kind", "at").sortWithinPartitions(*order).mapInArrow(within, SHAPE)
+    return swept.coalesce(1).sortWithinPartitions(*order).mapInArrow(between, SHAPE)
+
+
+def supersteps(counts: DataFrame, capacity: int = CAPACITY, band: float = BAND) -> DataFrame:
+    """MATCH rows for counts (length, n): every piece of a length is in one match."""
+    runs = counts.select(F.lit(PIECES).alias("kind"), F.col("length").cast("int").alias("size"), "n", F.lit(0).cast("long").alias("at"))
+    runs = written(runs.withColumns({"left": F.lit(None).cast("long"), "offset": F.lit(None).cast("int")}), "runs-0")
+    found, step = None, 0
+    while (longest := runs.where(F.col("kind") == PIECES).agg(F.max("size")).first()[0]) is not None:
+        step += 1
+        out = written(superstep(runs, step, longest, capacity, band), f"runs-{step}")
+        matches, runs = out.where(F.col("kind") == MATCH), out.where(F.col("kind") != MATCH)
+        found = matches if found is None else found.unionByName(matches)
+    return runs.where(F.col("kind") == MATCH) if found is None else found
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (with a column length up to capacity) and sequence_id, offset."""
     spark = parts.sparkSession
     parts = written(parts, "pieces")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = np.array(sweep(counts, capacity), np.int64).reshape(-1, 4)
-    salts = max(1, -(-max(counts.values(), default=0) // RANKED))
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    counts = written(parts.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    matches = supersteps(counts, capacity).select("size", F.col("left").alias("rank"), F.col("at").alias("first"), "offset")
+    # the runs of at most `capacity` lengths: bounded, and checked
+    plan = np.array(sorted(map(tuple, matches.limit(MOST_MATCHES + 1).collect())), np.int64).reshape(-1, 4)
+    if len(plan) > MOST_MATCHES:
+        raise ValueError(f"more than {MOST_MATCHES} ranges: the capacity is too large for this plan")
     held = spark.sparkContext.broadcast((plan[:, 0] << 40 | plan[:, 1], plan))
-    # a salt by content spreads a class evenly; equal rows may share one
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    ranked = min(max(total // 1000, RANKED[0]), RANKED[1])
+    # lengths of many pieces: at most `capacity` rows
+    many = counts.where(F.col("n") > ranked).select("length", F.ceil(F.col("n") / ranked).alias("__salts"))
+    salted = parts.join(F.broadcast(many), "length", "left").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("__salts", F.lit(1)))).drop("__salts")
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("length", "__salt", before.alias("__before"))
     own = F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("__rank", own).join(sizes, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    placed = salted.withColumn("__rank", own).join(sizes, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     cols = parts.columns
 
     def place(batches):
@@ -197,4 +282,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], [*cols, "sequence_id", "offset"])
 
     shape = ", ".join(f"{n} {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*cols, "__rank").mapInArrow(place, shape)
+    return placed.select(*cols, "__rank").mapInArrow(place, shape)

@@ -143,19 +143,32 @@ def test_packing(docs, rows):
     assert len(bins) <= 1.02 * sum(r.length for r in got) / 4096 + 1
 
 
-def test_sweep_is_best_fit():
+def test_sweep_takes_successors():
+    """A run of pieces takes the tightest gaps that hold it, larger pieces first; a gap takes equal pieces while it has room."""
+    gaps, pieces = [(packing.GAPS, 9, 2, 100), (packing.GAPS, 6, 1, 200)], [(packing.PIECES, 7, 1, 0), (packing.PIECES, 3, 5, 0)]
+    runs = sorted(gaps + pieces, key=lambda r: (-r[1], r[0]))
+    matches, left, old, new = packing.sweep(runs, 10)
+    assert matches == [(7, 1, 100, 0, 1), (3, 1, 200, 0, 4), (3, 1, 200, 1, 7), (3, 1, 101, 2, 1), (3, 1, 101, 3, 4), (3, 1, 101, 4, 7)]
+    assert not left and not old and new == [(2, 1, 100)]
+    assert packing.sweep([(packing.PIECES, 5, 2, 3)], 10) == ([], [(5, 2, 3)], [], [])
+
+
+def test_supersteps(spark):
+    """Every rank of every length is matched once, no place is used twice, and few sequences are opened."""
     rng = random.Random(4)
-    for _ in range(50):
-        sizes = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 60))]
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fit = min((g for g in gaps if g >= s), default=None)
-            if fit is not None:
-                gaps.remove(fit)
-            gaps.append((20 if fit is None else fit) - s)
-        plan = packing.sweep(collections.Counter(sizes), 20)
-        opened = {first + k for i, (length, rank, first, _) in enumerate(plan) for k in range((plan[i + 1][1] if i + 1 < len(plan) and plan[i + 1][0] == length else sizes.count(length)) - rank)}
-        assert len(opened) == len(gaps)
+    for sizes in ([rng.randrange(1, 101) for _ in range(3000)], [50] * 1000 + [60, 99, 1], [1]):
+        n = collections.Counter(sizes)
+        got = packing.supersteps(spark.createDataFrame(list(n.items()), "length int, n long"), 100).collect()
+        ranks, bins = collections.Counter(), collections.defaultdict(list)
+        for r in got:
+            for k in range(r.n):
+                ranks[r.size, r.left + k] += 1
+                bins[r["at"] + k].append((r.offset, r.size))
+        assert ranks == {(s, k): 1 for s, m in n.items() for k in range(m)}
+        for b in bins.values():
+            assert [o for o, _ in sorted(b)] == [sum(s for _, s in sorted(b)[:i]) for i in range(len(b))] and sum(s for _, s in b) <= 100
+        least = max(-(-sum(sizes) // 100), sum(s > 50 for s in sizes) + sum(s == 50 for s in sizes) // 2)
+        assert len(bins) <= 1.02 * least + 1
 
 
 def test_bpe(docs, rows):
