@@ -1,13 +1,16 @@
 """Quality rules: fixed heuristics, then a hashed n-gram log-likelihood ratio.
 
-Only built-in column functions. Two multinomials over hashed n-grams (pairs of neighbouring
-words, each by its ending) are counted over the whole corpus: one from documents that meet a strict trust
-predicate, one from all. A document's verdict is the mean log ratio of its n-grams against a
-fixed threshold. Both passes are narrow but for one count per bucket, whose number is a
-parameter, so nothing grows with the corpus beyond it.
-
-Null and empty texts have no words: every count is 0, base_failed is true and kept false.
-Repeated rows are judged each on its own; extra columns are ignored.
+Only built-in column functions. Words and pairs of neighbouring words are hashed into buckets, a range of
+buckets for each order; for each order two multinomials are counted over the whole corpus: one from documents that meet a strict trust
+predicate, one from all. A document's verdict is the sum of the log ratios of its words and pairs, divided by
+its number of words, against a fixed threshold. The trust predicate needs no more than counts of words, symbols
+and lines, so the first pass is narrow: a count for each bucket comes out of each task. The number of buckets is a
+parameter, so nothing that is gathered grows with the corpus beyond it.
+
+Null and empty texts have no words: every count is 0, base_failed is true and kept false. A text of one word has no
+pair. Very long texts are measured whole. Repeated rows are judged each on its own, and each counts. An empty table gives
+no rows. Without any trusted document no ratio is told and all that meet the base rules are kept. Extra columns are kept;
+the result's names are prefixed.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from pyspark.sql import functions as F
 from palisade.llm.common import SPACE, WORD, let, whole_text
 
 WINDOW = 5
-#: Mean log ratio below which a document goes.
-THRESHOLD = -0.25
-BUCKETS = 1 << 14
+#: Log ratio a word below which a document goes.
+THRESHOLD = -0.5
+#: Buckets of an order; the longest n-gram.
+BUCKETS, ORDERS = 1 << 16, 2
+#: Added to each bucket's count.
+SMOOTH = 2.0
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -69,34 +75,43 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def trusted(m: Column) -> Column:
-    """Documents that stand for clean text: sound by the base rules, nearly no symbols, no repeated line."""
-    return ~base_failed(m) & (m["n_words"] >= 30) & (1000 * m["n_symbols"] <= m["word_chars"]) & (m["n_dup_lines"] == 0)
+def trusted(text: Column, n_words: Column) -> Column:
+    """Texts that stand for clean ones: of some length, nearly no symbols, no line twice."""
+    symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
+    return (n_words >= 30) & (1000 * symbols <= F.length(text)) & let(lines, lambda x: F.size(x) == F.size(F.array_distinct(x)))
 
 
 def ngram_buckets(words: Column, buckets: int) -> Column:
-    """A hashed bucket for each pair of neighbouring words, by their last three characters, lower-cased."""
-    ends = F.transform(words, lambda w: F.lower(F.substring(w, -3, 3)))
-    pair = lambda e: F.transform(e, lambda w, i: F.pmod(F.xxhash64(F.get(e, i - 1), w), F.lit(buckets)).cast("int"))
-    return let(ends, pair)
+    """Buckets of all words, then of all pairs of neighbours; words must be a name bound by let()."""
+    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+    two = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: (F.lit(buckets) + F.pmod(F.xxhash64(F.get(words, i), w), F.lit(buckets))).cast("int"))
+    return F.concat(one, two)
 
 
 def ratio_model(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with the array of log ratios, trusted against all; add-one smoothing."""
+    """One row with the array of log ratios, trusted against all, of each order's buckets.
+
+    Without trusted documents every ratio is 0."""
     text = whole_text(docs)
-    measured = let(words_of(text), lambda w: F.struct(*base_columns(text, w), ngram_buckets(w, buckets).alias("grams")))
-    counted = let(measured, lambda m: F.struct(trusted(m).cast("long").alias("good"), m["grams"].alias("grams")))
+    counted = let(words_of(text), lambda w: F.struct(trusted(text, F.size(w)).cast("long").alias("good"), ngram_buckets(w, buckets).alias("grams")))
     grams = docs.select(counted.alias("c")).select(F.col("c.good").alias("good"), F.explode("c.grams").alias("b"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("g")).union(every).groupBy("b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    row = counts.agg(F.sum("n").alias("N"), F.sum("g").alias("G"), F.sort_array(F.collect_list(F.struct("b", "n", "g"))).alias("a"))
-    return row.select(
-        F.transform("a", lambda x: F.log((x["g"] + 1.0) / (F.col("G") + buckets)) - F.log((x["n"] + 1.0) / (F.col("N") + buckets))).alias("llr")
-    )
+    counts = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
+    every = docs.sparkSession.range(ORDERS * buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"))
+    counts = counts.union(every).groupBy("b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    total = lambda c: [F.sum(F.when(F.floor(F.col("b") / buckets) == k, F.col(c)).otherwise(0)) for k in range(ORDERS)]
+    row = counts.agg(F.array(*total("n")).alias("N"), F.array(*total("g")).alias("G"), F.sort_array(F.collect_list(F.struct("b", "n", "g"))).alias("a"))
+
+    def ratio(x):
+        k = F.floor(x["b"] / buckets).cast("int")
+        own = F.log((x["g"] + SMOOTH) / (F.get("G", k) + SMOOTH * buckets)) - F.log((x["n"] + SMOOTH) / (F.get("N", k) + SMOOTH * buckets))
+        return F.when(F.get("G", k) > 0, own).otherwise(F.lit(0.0))
+
+    return row.select(F.transform("a", ratio).alias("llr"))
 
 
 def quality(docs: DataFrame, corpus: DataFrame | None = None, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """docs with a struct column __quality: base counts, base_failed, llr (mean log ratio) and kept.
+    """docs with a struct column __quality: base counts, base_failed, llr (log ratio a word) and kept.
 
     corpus: what the multinomials are counted over, docs itself if None. The whole verdict is one
     expression whose parts are named by let(), so no optimiser rule can repeat them inside a lambda."""
