@@ -1,29 +1,33 @@
 """Language-model scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
 Words are lower-cased (A-Z) runs without ASCII white space; each text ends with one end token. Counts
-of every word of the training texts are made by Spark over 64-bit word hashes. The model's outputs are
-the most frequent words, the end token and classes of the other words by their last two bytes; a word
-of a class then has its smoothed count's share of the class, one share being kept for unseen words. So
-the probabilities of all words given a context sum to one.
-
-The log-bilinear part predicts an output from the outputs before it: the context's vectors, scaled
-elementwise by position, sum to a prediction whose products with the output vectors are scores. It is
-trained with noise samples from the outputs' frequencies: every task learns every position of all its
-training texts, from a common start, and Spark averages the tasks' parameters. The start is learnt in one
-task on distinct texts of about WARM_TOKENS tokens and at most WARM_BYTES bytes. Scoring takes matrix products over blocks of tokens
-and normalises over all outputs.
+of every word of the training texts are made by Spark over 64-bit word hashes. The most frequent words are
+modelled, VOCABULARY * tokens ** GROWTH of them, so the model grows with the corpus. They are dealt by
+frequency into about the square root of their number of classes. The other words form a fixed number of rare
+classes by their last two bytes, in which a word has its smoothed count's share, one share being kept for unseen words.
+
+The log-bilinear part predicts from the words before: their vectors, scaled elementwise by position, sum to a
+prediction. Its products with the vectors of the classes, the end token and the rare classes give the first factor of
+a word's probability, those with the vectors of the words of its class the second. Each factor is normalised over all
+its outcomes, so the probabilities of all words given a context sum to one, at the cost of two small matrix products.
+
+Both factors are trained with noise samples from the outcomes' frequencies: every task learns every position of all
+its training texts, from a common start, and Spark averages the tasks' parameters in blocks. The start is learnt in one
+task on distinct texts of about WARM_TOKENS tokens and at most WARM_BYTES bytes. Tasks are as few as make the
+parameters they send at most SENT of their texts.
 
 Counts of rare words are broadcast while their checked size allows; beyond it texts send their rare
 words to a join and only sums come back.
 
-Null and empty texts are one end token. A null doc_id counts as training text. Repeated rows count and
-score each. Extra columns are ignored. Without any training text every count is 0 and the outputs are
-equally likely.
+Null and empty texts are one end token. Very long texts are read whole. A null doc_id counts as training text. Repeated rows count and
+score each. Of words with equal counts those of smaller hash are modelled first. Extra columns are ignored, whatever their names. Without any training text every count is 0 and the outcomes are
+equally likely. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +37,26 @@ from pyspark.sql import functions as F
 from palisade.llm.common import written
 from palisade.llm.long_repeats import Hasher, _mix
 
-#: Frequent words that are outputs of their own; classes of the others.
-WORDS, CLASSES = 159, 32
-OUTPUTS = WORDS + 1 + CLASSES
-END = WORDS  # the end token's output
+#: Modelled words: VOCABULARY * (training tokens) ** GROWTH. Rare classes of the others.
+VOCABULARY, GROWTH, RARE = 4, 0.4, 32
 CONTEXT, SIZE = 6, 32
-NOISE, BATCH, RUN, STEP, EPOCHS = 64, 1024, 64, 0.15, 2
+#: Noise samples that a batch shares for the first factor, and of each position for the second.
+NOISE, OWN_NOISE = 64, 4
+BATCH, RUN, STEP, EPOCHS = 1024, 64, 0.15, 2
 #: The start's texts: about so many tokens, characters of a text, and bytes at most.
 WARM_TOKENS, WARM_TEXT, WARM_BYTES = 400_000, 1 << 16, 4 << 20
+#: Parameters sent to be averaged, as a part of the texts' bytes; floats of a block; tasks averaged at a time.
+SENT, AVERAGED, FAN_IN = 0.1, 1 << 16, 64
 CHUNK, BLOCK = 1 << 20, 4096
 #: Rare words' hashes and counts up to this size are broadcast.
-BROADCAST_BYTES, ENTRY_BYTES = 96 << 20, 12
+BROADCAST_BYTES, ENTRY_BYTES = 96 << 20, 16
 END_HASH = np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CLASS = (_mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(CLASSES)).astype(np.int64)
+_RARE_CLASS = (_mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(RARE)).astype(np.int64)
 
 
 class Texts:
@@ -69,7 +75,7 @@ class Texts:
         end = np.flatnonzero(edge == 1)
         h = self.hasher.of(self.hasher.sums(data), start, end)
         h[h == END_HASH] = np.uint64(2)
-        cls = _CLASS[data[end - 1].astype(np.int64) << 8 | np.where(end - start > 1, data[end - 2], 0)]
+        cls = _RARE_CLASS[data[end - 1].astype(np.int64) << 8 | np.where(end - start > 1, data[end - 2], 0)]
         size = np.array([len(t) + 1 for t in texts], np.int64)
         owner = np.searchsorted(np.cumsum(size), start, side="right")
         n = np.bincount(owner, minlength=len(texts))
@@ -123,20 +129,35 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The fixed-size part: frequent words by hash with their counts, class totals, N and V."""
-
-    def __init__(self, h, n, class_total, tokens, types, ends):
-        order = np.argsort(h)
-        self.h, self.n, self.output = h[order], n[order], order
-        self.class_total, self.tokens, self.types, self.ends = class_total, tokens, types, ends
-
-    def outputs(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        out = END + 1 + cls
-        if len(self.h):
-            i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-            own = self.h[i] == h
-            out[own] = self.output[i[own]]
-        out[h == END_HASH] = END
+    """The modelled words by hash, frequent ones first, dealt into classes; rare classes' totals, N and V.
+
+    Symbols: the modelled words, then the end token, then the rare classes. Outcomes of the first factor: the classes of
+    modelled words, then the end token, then the rare classes."""
+
+    def __init__(self, h, n, rare_total, tokens, types, ends):
+        self.n, self.size, self.end = n, len(n), len(n)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+        self.rare_total, self.tokens, self.types, self.ends = rare_total, tokens, types, ends
+        mass = np.cumsum(n) - n / 2
+        classes = max(1, round(math.sqrt(self.size)))
+        cls = np.unique((mass * classes / max(1, n.sum())).astype(np.int64), return_inverse=True)[1] if self.size else np.empty(0, np.int64)
+        self.classes = int(cls[-1]) + 1 if self.size else 0
+        #: A class has the words from first[c] up to first[c + 1].
+        self.first = np.searchsorted(cls, np.arange(self.classes + 1))
+        self.outcome = np.concatenate([cls, self.classes + np.arange(1 + RARE)]).astype(np.int32)
+        count = np.concatenate([np.bincount(cls, weights=n, minlength=self.classes), [ends], np.maximum(0, rare_total - 1)]) + 0.5
+        self.frequency = count / count.sum()
+        inside = np.bincount(cls, weights=n + 0.5, minlength=self.classes)
+        self.share = (n + 0.5) / inside[cls] if self.size else np.empty(0)
+
+    def symbols(self, h: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = (self.end + 1 + rare).astype(np.int32)
+        if self.size:
+            i = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
+            own = self.sorted[i] == h
+            out[own] = self.order[i[own]]
+        out[h == END_HASH] = self.end
         return out
 
 
@@ -157,104 +178,160 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class LogBilinear:
-    def __init__(self, frequency: np.ndarray, seed: int = 3):
+    def __init__(self, vocabulary: Vocabulary, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.context = rng.normal(0, 0.1, (OUTPUTS, SIZE)).astype(np.float32)
+        v = self.vocabulary = vocabulary
+        self.context = rng.normal(0, 0.1, (v.size + 1 + RARE, SIZE)).astype(np.float32)
         self.position = np.ones((CONTEXT, SIZE), np.float32)
-        self.target = rng.normal(0, 0.02, (OUTPUTS, SIZE)).astype(np.float32)
-        self.bias = np.log(frequency).astype(np.float32)
-        self.noise = frequency
-        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in self._parts()]
+        self.target = rng.normal(0, 0.02, (len(v.frequency), SIZE)).astype(np.float32)
+        self.bias = np.log(v.frequency).astype(np.float32)
+        self.word = rng.normal(0, 0.02, (v.size, SIZE)).astype(np.float32)
+        self.word_bias = np.log(v.share).astype(np.float32)
+        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in self.parts()]
+        self.shift, self.word_shift = np.log(NOISE * v.frequency).astype(np.float32), np.log(OWN_NOISE * v.share).astype(np.float32)
+        self.up_to = np.concatenate([[0], np.cumsum(v.share)])  # every class has mass one
 
-    def _parts(self):
-        return self.context, self.position, self.target, self.bias
+    def parts(self):
+        return self.context, self.position, self.target, self.bias, self.word, self.word_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self._parts()])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for x in self._parts():
+        for x in self.parts():
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def learn(self, tokens: np.ndarray, real: np.ndarray, noise: np.ndarray) -> None:
-        """One step of noise-contrastive estimation on runs of outputs, each behind its first CONTEXT ones; real tells
-        which are learnt. The runs share the noise samples."""
+    def _step(self, which: int, gradient: np.ndarray, rows=slice(None)) -> None:
+        """AdaGrad on some rows of a part."""
+        s = self.sums[which][rows] + gradient * gradient
+        self.sums[which][rows] = s
+        self.parts()[which][rows] -= STEP * gradient / np.sqrt(s)
+
+    def own_noise(self, out: np.ndarray, rng) -> np.ndarray:
+        """OWN_NOISE words for each modelled word of out, drawn from its class by frequency."""
+        c = self.vocabulary.outcome[out]
+        u = c[:, None] + rng.random((len(out), OWN_NOISE))
+        # a class's mass is one, so its words lie between c and c + 1
+        got = np.searchsorted(self.up_to, u, side="right") - 1
+        first = self.vocabulary.first
+        return np.clip(got, first[c][:, None], first[c + 1][:, None] - 1)
+
+    def learn(self, tokens: np.ndarray, real: np.ndarray, noise: np.ndarray, rng) -> None:
+        """One step of noise-contrastive estimation on runs of symbols, each behind its first CONTEXT ones; real tells
+        which are learnt. The runs share the noise of the first factor."""
+        v = self.vocabulary
         sample, times = np.unique(noise, return_counts=True)
         n, width = max(1, int(real.sum())), real.shape[1]
         found = self.context.take(tokens, axis=0)
         before = [slice(CONTEXT - 1 - j, CONTEXT - 1 - j + width) for j in range(CONTEXT)]
         h = sum(found[:, w] * self.position[j] for j, w in enumerate(before)).reshape(-1, SIZE)
-        out, weight = tokens[:, CONTEXT:].ravel(), (real.ravel() / n).astype(np.float32)
-        shift = np.log(NOISE * self.noise).astype(np.float32)
+        symbol, weight = tokens[:, CONTEXT:].ravel(), (real.ravel() / n).astype(np.float32)
+        out = v.outcome[symbol]
         own, other = self.target.take(out, axis=0), self.target[sample]
-        good = (h * own).sum(axis=1) + (self.bias - shift)[out]
+        good = (h * own).sum(axis=1) + (self.bias - self.shift)[out]
         bad = h @ other.T
-        bad += self.bias[sample] - shift[sample]
+        bad += self.bias[sample] - self.shift[sample]
         g = _sigmoid(bad)
         g *= times.astype(np.float32)
         g *= weight[:, None]
         g_own = -_sigmoid(-good) * weight
         dh = g @ other
         dh += g_own[:, None] * own
-        dt, db = np.zeros_like(self.target), np.bincount(out, weights=g_own, minlength=OUTPUTS).astype(np.float32)
+        dt, db = np.zeros_like(self.target), np.bincount(out, weights=g_own, minlength=len(self.bias)).astype(np.float32)
         rows, order, head = _grouped(out)
         dt[rows] = np.add.reduceat((g_own[:, None] * h).take(order, axis=0), head)
         dt[sample] += g.T @ h
         db[sample] += g.sum(axis=0)
+        # the second factor: each modelled word against words of its class
+        at = np.flatnonzero((symbol < v.end) & (weight > 0))
+        if len(at):
+            all_ = np.concatenate([symbol[at][:, None], self.own_noise(symbol[at], rng)], axis=1)
+            vectors, hw = self.word.take(all_, axis=0), h[at]
+            z = np.einsum("nks,ns->nk", vectors, hw) + (self.word_bias - self.word_shift)[all_]
+            gw = _sigmoid(z)
+            gw[:, 0] -= 1
+            gw *= weight[at][:, None]
+            dh[at] += np.einsum("nk,nks->ns", gw, vectors)
+            rows, order, head = _grouped(all_.ravel())
+            flat = gw.ravel()
+            dw = np.add.reduceat((flat[:, None] * np.repeat(hw, 1 + OWN_NOISE, axis=0)).take(order, axis=0), head)
+            self._step(4, dw, rows)
+            self._step(5, np.add.reduceat(flat[order], head), rows)
         dh = dh.reshape(*real.shape, SIZE)
-        d, dp, dc = np.zeros_like(found), np.empty_like(self.position), np.zeros_like(self.context)
+        d, dp = np.zeros_like(found), np.empty_like(self.position)
         for j, w in enumerate(before):
             d[:, w] += dh * self.position[j]
             dp[j] = np.einsum("rns,rns->s", dh, found[:, w])
         rows, order, head = _grouped(tokens.ravel())
-        dc[rows] = np.add.reduceat(d.reshape(-1, SIZE).take(order, axis=0), head)
-        for x, s, d in zip(self._parts(), self.sums, (dc, dp, dt, db), strict=True):
-            s += d * d
-            x -= STEP * d / np.sqrt(s)
-
-    def log10(self, before: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each output given those before it."""
-        scaled = [self.context * self.position[j] for j in range(CONTEXT)]
-        got = np.empty(len(out))
-        for i in range(0, len(out), BLOCK):
-            b, o = before[i : i + BLOCK], out[i : i + BLOCK]
-            h = scaled[0].take(b[:, 0], axis=0)
-            for j in range(1, CONTEXT):
-                h += scaled[j].take(b[:, j], axis=0)
-            z = h @ self.target.T
-            z += self.bias
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(o)), o].astype(np.float64)
-            np.exp(z, out=z)
-            got[i : i + BLOCK] = own - np.log(z.sum(axis=1, dtype=np.float64))
+        self._step(0, np.add.reduceat(d.reshape(-1, SIZE).take(order, axis=0), head), rows)
+        for which, x in ((1, dp), (2, dt), (3, db)):
+            self._step(which, x)
+
+    def predictions(self, before: np.ndarray) -> np.ndarray:
+        h = self.context.take(before[:, 0], axis=0) * self.position[0]
+        for j in range(1, CONTEXT):
+            h += self.context.take(before[:, j], axis=0) * self.position[j]
+        return h
+
+    def log10(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each symbol given those before it."""
+        v, h = self.vocabulary, self.predictions(before)
+        out = v.outcome[symbol]
+        got = _log_softmax(h, self.target, self.bias, out)
+        words = np.flatnonzero(symbol < v.end)
+        words = words[np.argsort(out[words], kind="stable")]  # a class's words together
+        edges = np.searchsorted(out[words], np.arange(v.classes + 1))
+        for c in np.flatnonzero(np.diff(edges)):
+            a, b = v.first[c], v.first[c + 1]
+            if b - a > 1:
+                at = words[edges[c] : edges[c + 1]]
+                got[at] += _log_softmax(h[at], self.word[a:b], self.word_bias[a:b], symbol[at] - a)
         return got / np.log(10)
 
 
-def contexts(out: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The CONTEXT outputs before each, the end token standing before a text's first."""
-    inside = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = np.full((len(out), CONTEXT), END, np.int16)
+def _log_softmax(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of which[i] among the vectors, given prediction h[i]; in blocks of bounded size."""
+    got, block = np.empty(len(h)), max(1, BLOCK * 256 // len(bias))
+    for i in range(0, len(h), block):
+        z = h[i : i + block] @ vectors.T
+        z += bias
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), which[i : i + block]].astype(np.float64)
+        np.exp(z, out=z)
+        got[i : i + block] = own - np.log(z.sum(axis=1, dtype=np.float64))
+    return got
+
+
+def contexts(symbols: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The CONTEXT symbols before each, the end token standing before a text's first."""
+    inside = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.full((len(symbols), CONTEXT), end, np.int32)
     for j in range(1, CONTEXT + 1):
-        before[j:, j - 1] = np.where(inside[j:] >= j, out[:-j], END)
+        before[j:, j - 1] = np.where(inside[j:] >= j, symbols[:-j], end)
     return before
 
 
-def runs(out: np.ndarray, sizes: np.ndarray):
-    """(tokens, real): the outputs as runs of RUN, each row behind the CONTEXT ones before it. Texts are set apart by
+def runs(symbols: np.ndarray, sizes: np.ndarray, end: int):
+    """(tokens, real): the symbols as runs of RUN, each row behind the CONTEXT ones before it. Texts are set apart by
     end tokens, so that no context reaches the text before; those, and what fills the last run, are not real."""
     ends = np.cumsum(sizes)
-    total = len(out) + (CONTEXT - 1) * (len(sizes) - 1)
+    total = len(symbols) + (CONTEXT - 1) * (len(sizes) - 1)
     rows = -(-total // RUN)
-    stream, real = np.full(CONTEXT + rows * RUN, END, np.int16), np.zeros(rows * RUN, bool)
-    at = np.arange(len(out)) + np.repeat(np.arange(len(sizes)) * (CONTEXT - 1), np.diff(ends, prepend=0))
-    stream[CONTEXT + at], real[at] = out, True
+    stream, real = np.full(CONTEXT + rows * RUN, end, np.int32), np.zeros(rows * RUN, bool)
+    at = np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)) * (CONTEXT - 1), np.diff(ends, prepend=0))
+    stream[CONTEXT + at], real[at] = symbols, True
     return np.lib.stride_tricks.sliding_window_view(stream, CONTEXT + RUN)[::RUN], real.reshape(rows, RUN)
 
 
-def _training(vocabulary, frequency, start, epochs=1, most_bytes=None):
-    """Learns every position of the task's texts; with most_bytes of that many bytes of them, held for several epochs."""
+BLOCKS = "learner long, i int, n long, p binary"
+
+
+def _training(vocabulary, start, epochs=1, most_bytes=None):
+    """Learns every position of the task's texts; with most_bytes of that many bytes of them, held for several epochs.
+
+    Its parameters come out in blocks, each with the number of positions learnt."""
 
     def bounded(chunks):
         left = most_bytes
@@ -267,56 +344,76 @@ def _training(vocabulary, frequency, start, epochs=1, most_bytes=None):
                 return
 
     def run(batches):
-        model, reader, rng = LogBilinear(frequency), Texts(), np.random.default_rng(5)
+        from pyspark import TaskContext
+
+        words = vocabulary.value
+        model, reader, rng = LogBilinear(words), Texts(), np.random.default_rng(5)
         if start is not None:
-            model.load(start)
+            model.load(start.value)
             for s in model.sums:
                 s += 0.05  # small steps from a trained start
-        seen, up_to = 0, np.cumsum(frequency)
+        seen, up_to = 0, np.cumsum(words.frequency)
         chunks = _chunks(batches) if most_bytes is None else itertools.chain.from_iterable(itertools.repeat(list(bounded(_chunks(batches))), epochs))
         for texts, _ in chunks:
-            h, cls, sizes = reader.words(texts)
-            tokens, real = runs(vocabulary.outputs(h, cls), sizes)
+            h, rare, sizes = reader.words(texts)
+            tokens, real = runs(words.symbols(h, rare), sizes, words.end)
             order, step = rng.permutation(len(tokens)), BATCH // RUN
-            noise = np.minimum(np.searchsorted(up_to, rng.random((-(-len(order) // step), NOISE))), OUTPUTS - 1)
+            noise = np.minimum(np.searchsorted(up_to, rng.random((-(-len(order) // step), NOISE))), len(up_to) - 1)
             for i in range(0, len(order), step):
                 at = order[i : i + step]
-                model.learn(tokens[at], real[at], noise[i // step])
+                model.learn(tokens[at], real[at], noise[i // step], rng)
             seen += int(real.sum())
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().astype(np.float64)], pa.list_(pa.float64()))], ["n", "p"])
+            flat, own = model.flat(), TaskContext.get().partitionId()
+            for i in range(0, len(flat), AVERAGED):
+                row = [own], [i // AVERAGED], [seen], [flat[i : i + AVERAGED].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["learner", "i", "n", "p"])
 
     return run
 
 
-def _averaged(rows: DataFrame) -> np.ndarray | None:
-    parts = rows.select("n", F.posexplode("p").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
-    got = sorted(map(tuple, parts.collect()))
-    return np.array([v for _, v in got], np.float32) if got else None
+def _averaged(rows: DataFrame, learners: int) -> np.ndarray | None:
+    """The parameters' mean by positions learnt; blocks of at most FAN_IN tasks meet at a time."""
+
+    def mean(key, pdf):
+        import pandas as pd
+
+        n = pdf["n"].to_numpy()
+        total = sum(w * np.frombuffer(p, np.float32).astype(np.float64) for w, p in zip(n / n.sum(), pdf["p"], strict=True))
+        return pd.DataFrame({"learner": [0], "i": [pdf["i"].iloc[0]], "n": [int(n.sum())], "p": [total.astype(np.float32).tobytes()]})
+
+    while learners > 1:
+        learners = -(-learners // FAN_IN)
+        rows = rows.withColumn("learner", F.pmod("learner", F.lit(learners))).groupBy("i", "learner").applyInPandas(lambda key, pdf: mean(key, pdf).assign(learner=key[1]), BLOCKS)
+    got = sorted((r["i"], bytes(r["p"])) for r in rows.select("i", "p").collect())
+    return np.frombuffer(b"".join(p for _, p in got), np.float32) if got else None
 
 
 def fit(train: DataFrame, counts: DataFrame) -> tuple[Vocabulary, LogBilinear]:
-    """The fixed-size model from the training texts and their word counts."""
+    """The model from the training texts and their word counts."""
+    spark = train.sparkSession
     total = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("h") == int(END_HASH), F.col("n")))).first()
     tokens, types, ends = (int(x or 0) for x in total)
     words = counts.where(F.col("h") != int(END_HASH))
-    top = words.orderBy(F.desc("n"), "h").limit(WORDS).collect()
-    least = (top[-1]["n"], top[-1]["h"]) if len(top) == WORDS else (0, 0)
-    rare = words.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("h") > least[1]))) if len(top) == WORDS else words.where("false")
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    size = int(VOCABULARY * tokens**GROWTH)
+    top = words.orderBy(F.desc("n"), "h").limit(size).select("h", "n").toPandas()
+    rare = words.where("false")
+    if len(top) == size and size:
+        least, last = int(top["n"].iloc[-1]), int(top["h"].iloc[-1])
+        rare = words.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("h") > last)))
+    rare_n, rare_v = np.zeros(RARE), np.zeros(RARE)
     for r in rare.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
-    vocabulary = Vocabulary(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64), class_n + class_v + 1, tokens, types, ends)
-    frequency = np.concatenate([[r["n"] for r in top], np.zeros(WORDS - len(top)), [ends], class_n]) + 0.5
-    frequency /= frequency.sum()
-    model = LogBilinear(frequency)
+        rare_n[r["cls"]], rare_v[r["cls"]] = r["n"], r["v"]
+    vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), rare_n + rare_v + 1, tokens, types, ends)
+    model, held = LogBilinear(vocabulary), spark.sparkContext.broadcast(vocabulary)
     share = min(1.0, WARM_TOKENS / max(1, tokens))
     text = F.substring("text", 1, WARM_TEXT).alias("text")
     warm = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(text).distinct()
     # a start only: one task, whose texts are distinct and bounded in bytes whatever the corpus
-    shape = "n long, p array<double>"
-    start = _averaged(warm.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(_training(vocabulary, frequency, None, EPOCHS, WARM_BYTES), shape))
-    learnt = _averaged(train.select("text").mapInArrow(_training(vocabulary, frequency, start), shape))
+    start = _averaged(warm.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(_training(held, None, EPOCHS, WARM_BYTES), BLOCKS), 1)
+    learners = max(1, int(SENT * 6 * tokens / (4 * model.flat().size)))
+    texts = train.select("text").coalesce(learners)
+    learnt = _averaged(written(texts.mapInArrow(_training(held, None if start is None else spark.sparkContext.broadcast(start)), BLOCKS), "learnt"), learners)
     if learnt is not None:
         model.load(learnt)
     return vocabulary, model
@@ -330,21 +427,20 @@ def _score(held, rare):
     """Per text: sums over its frequent words and its context; rare words from a broadcast (rare), or left out."""
 
     def run(batches):
-        (vocabulary, frequency, flat), reader = held.value, Texts()
-        model = LogBilinear(frequency)
+        (vocabulary, flat), reader = held.value, Texts()
+        model = LogBilinear(vocabulary)
         model.load(flat)
         known = None if rare is None else rare.value
-        share = np.log10(vocabulary.class_total)
-        counts = np.zeros(OUTPUTS)
-        counts[vocabulary.output] = vocabulary.n
+        share = np.log10(vocabulary.rare_total)
+        counts = np.concatenate([vocabulary.n, [vocabulary.ends]])
         for texts, (doc, mark, out_of) in _chunks(batches, "doc_id", "mark", "held_out"):
             h, cls, sizes = reader.words(texts)
-            out = vocabulary.outputs(h, cls)
+            out, end = vocabulary.symbols(h, cls), vocabulary.end
             owner = np.repeat(np.arange(len(texts)), sizes)
-            is_rare = out > END
-            context = model.log10(contexts(out, sizes), out)
-            context[is_rare] -= share[out[is_rare] - END - 1]
-            n = np.where(out == END, vocabulary.ends, counts[np.minimum(out, END)])
+            is_rare = out > end
+            context = model.log10(contexts(out, sizes, end), out)
+            context[is_rare] -= share[out[is_rare] - end - 1]
+            n = counts[np.minimum(out, end)]
             if known is not None:
                 u, inverse = np.unique(h[is_rare], return_inverse=True)
                 i = np.minimum(np.searchsorted(known[0], u), max(0, len(known[0]) - 1))
@@ -366,10 +462,10 @@ def _rare_words(held):
     """(doc_id, mark, h, times) of the words of each text that are not frequent."""
 
     def run(batches):
-        (vocabulary, _, _), reader = held.value, Texts()
+        (vocabulary, _), reader = held.value, Texts()
         for texts, (doc, mark) in _chunks(batches, "doc_id", "mark"):
             h, cls, sizes = reader.words(texts)
-            rare = vocabulary.outputs(h, cls) > END
+            rare = vocabulary.symbols(h, cls) > vocabulary.end
             owner = np.repeat(np.arange(len(texts)), sizes)[rare]
             own = h[rare]
             order = np.lexsort((own, owner))
@@ -390,9 +486,9 @@ def lm_scores(docs: DataFrame, held_out, broadcast_bytes: int = BROADCAST_BYTES)
     train = src.where("not held_out")
     counts = written(word_counts(train), "word-counts")
     vocabulary, model = fit(train, counts)
-    held = spark.sparkContext.broadcast((vocabulary, model.noise, model.flat()))
+    held = spark.sparkContext.broadcast((vocabulary, model.flat()))
     if vocabulary.types * ENTRY_BYTES <= broadcast_bytes:
-        table = counts.select("h", F.col("n").cast("int").alias("n")).toArrow()
+        table = counts.select("h", F.col("n").alias("n")).toArrow()
         h, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
         order = np.argsort(h)
         per = src.mapInArrow(_score(held, spark.sparkContext.broadcast((h[order], n[order]))), PER_TEXT)
