@@ -33,6 +33,29 @@ def quality(text):
     return *out, len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
 
+def ratios(texts, buckets, smooth, threshold):
+    """(log ratio a word, kept) of each text by counts of hashed words and pairs."""
+    h = lambda x, seed=42: xxhash.xxh64_intdigest(x.encode(), seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    grams, n, g = [], [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for t in texts:
+        w = WORDS(t or "")
+        own = [signed(h(x)) % buckets for x in w], [signed(h(b, h(a))) % buckets for a, b in zip(w, w[1:])]
+        lines = [x for x in (t or "").split("\n") if WORDS(x)]
+        good = len(w) >= 30 and 1000 * sum(c in "#*$%&|<>" for c in t or "") <= len(t or "") and len(lines) == len(set(lines))
+        for k in range(2):
+            n[k].update(own[k])
+            g[k].update(own[k] if good else ())
+        grams.append(own)
+    total = lambda c: sum(c.values()) + smooth * buckets
+    out = []
+    for t, own in zip(texts, grams, strict=True):
+        s = sum(math.log((g[k][b] + smooth) / total(g[k])) - math.log((n[k][b] + smooth) / total(n[k])) for k in range(2) if g[k] for b in own[k])
+        llr = round(s / len(own[0]), 6) if own[0] else 0.0
+        out.append((llr, not quality(t)[5] and llr >= threshold))
+    return out
+
+
 def base_spans(text):
     t = text or ""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]

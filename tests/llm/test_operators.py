@@ -47,6 +47,13 @@ def test_quality(docs, rows):
     assert got.where("not base_failed and kept").count() > 50
 
 
+def test_quality_ratio(spark, docs, rows):
+    """The ratio counts whole words and pairs of words, against a plain count with the same hash."""
+    got = sorted((str(r.doc_id), r.text or "", r.q.llr, r.q.kept) for r in quality.quality(docs, buckets=512).select("doc_id", "text", F.col("__quality").alias("q")).collect())
+    want = sorted((str(d), t or "", *x) for (d, t), x in zip(rows, brute.ratios([t for _, t in rows], 512, quality.SMOOTH, quality.THRESHOLD), strict=True))
+    assert [(*x[:2], x[3]) for x in got] == [(*x[:2], x[3]) for x in want] and all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want, strict=True))
+
+
 def test_quality_verdict(spark, data):
     q = quality.quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "__quality.*").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     assert q.where("quality = 1 and not kept").count() == 0
@@ -254,40 +261,78 @@ def test_language_model_learns_every_position(spark, docs, monkeypatch, warm):
     """Whatever the size of the start, the last pass learns each training position once."""
     learnt, averaged = [], language_model._averaged
     monkeypatch.setattr(language_model, "WARM_TOKENS", warm)
-    monkeypatch.setattr(language_model, "_averaged", lambda rows: [learnt.append(rows.agg(F.sum("n")).first()[0]), averaged(rows)][1])
+    monkeypatch.setattr(language_model, "_averaged", lambda rows, n: [learnt.append(rows.where("i = 0").agg(F.sum("n")).first()[0]), averaged(rows, n)][1])
     train = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     vocabulary, _ = language_model.fit(train, language_model.word_counts(train))
     assert len(learnt) == 2 and learnt[-1] == vocabulary.tokens
 
 
+def a_vocabulary(n=(34, 17, 16, 12, 10, 6, 5)):
+    h = np.arange(5, 5 + len(n), dtype=np.uint64)[::-1]
+    return language_model.Vocabulary(h.copy(), np.array(n, np.int64), np.arange(language_model.RARE) + 1.0, 100, 20, 3)
+
+
+def test_vocabulary():
+    """Classes of about equal mass, words of a class together; every symbol has its outcome."""
+    v = a_vocabulary()
+    assert v.first.tolist() == [0, 1, 3, 7] and v.outcome[: v.size].tolist() == [0, 1, 1, 2, 2, 2, 2]
+    assert v.symbols(np.array([11, 5, 1, 99], np.uint64), np.array([0, 0, 0, 3])).tolist() == [0, 6, v.end, v.end + 4]
+    assert abs(v.frequency.sum() - 1) < 1e-9 and all(abs(v.share[a:b].sum() - 1) < 1e-9 for a, b in itertools.pairwise(v.first))
+
+
+def test_vocabulary_grows(spark):
+    sizes = []
+    for n in (100, 10_000):
+        texts = spark.range(n).select(F.concat_ws(" ", F.lit("a b"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("text"))
+        sizes.append(language_model.fit(texts.select("text"), language_model.word_counts(texts))[0].size)
+    assert sizes == [int(language_model.VOCABULARY * (4 * n) ** language_model.GROWTH) for n in (100, 10_000)]
+
+
 def test_language_model_runs():
-    rng = np.random.default_rng(6)
-    sizes = rng.integers(1, 9, 300)
-    out = rng.integers(0, language_model.OUTPUTS, sizes.sum())
-    out[np.cumsum(sizes) - 1] = language_model.END
-    tokens, real = language_model.runs(out, sizes)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 200, 40)
+    out = rng.integers(0, 90, sizes.sum()).astype(np.int32)
+    out[np.cumsum(sizes) - 1] = 7
+    tokens, real = language_model.runs(out, sizes, 7)
     assert (tokens[:, language_model.CONTEXT :][real] == out).all()
     before = np.stack([tokens[:, language_model.CONTEXT - 1 - j :][:, : real.shape[1]][real] for j in range(language_model.CONTEXT)], axis=1)
-    assert (before == language_model.contexts(out, sizes)).all()
+    assert (before == language_model.contexts(out, sizes, 7)).all()
 
 
 def test_language_model_is_normalised():
-    rng = np.random.default_rng(1)
-    model = language_model.LogBilinear(np.full(language_model.OUTPUTS, 1 / language_model.OUTPUTS))
-    before = np.repeat(rng.integers(0, language_model.OUTPUTS, (3, language_model.CONTEXT)), language_model.OUTPUTS, axis=0)
-    p = 10 ** model.log10(before, np.tile(np.arange(language_model.OUTPUTS), 3))
-    assert np.allclose(p.reshape(3, -1).sum(axis=1), 1, atol=1e-5)
+    rng, v = np.random.default_rng(0), a_vocabulary()
+    model = language_model.LogBilinear(v)
+    model.load(rng.normal(0, 0.5, model.flat().size).astype(np.float32))
+    every = v.size + 1 + language_model.RARE
+    before = np.repeat(rng.integers(0, every, (3, language_model.CONTEXT)), every, axis=0)
+    p = 10 ** model.log10(before, np.tile(np.arange(every), 3))
+    assert np.allclose(p.reshape(3, -1).sum(axis=1), 1)
+
+
+def test_own_noise_stays_in_class():
+    v, rng = a_vocabulary(), np.random.default_rng(1)
+    out = rng.integers(0, v.size, 500)
+    noise = language_model.LogBilinear(v).own_noise(out, rng)
+    assert (v.outcome[noise] == v.outcome[out][:, None]).all() and set(noise.ravel()) == set(range(v.size))
+
+
+def test_language_model_learns_words_of_a_class(spark):
+    """The word before tells which of two equally frequent words follows."""
+    rng = random.Random(1)
+    text = " ".join(x for _ in range(60_000) for x in (("la", "lb") if rng.random() < 0.5 else ("ra", "rb")))
+    df = spark.createDataFrame([(text,)], "text string")
+    v, model = language_model.fit(df, language_model.word_counts(df))
+    h, rare, sizes = language_model.Texts().words([b"la lb", b"la rb"])
+    p = model.log10(language_model.contexts(v.symbols(h, rare), sizes, v.end), v.symbols(h, rare))
+    assert p[1] > p[4] + 0.5
 
 
-def test_toxicity(spark):
-    d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi").unionByName(docs.sparkSession.createDataFrame([(None, None, None, None, None), (99_999, "", "en", "x", 0)], docs.schema))
-    got = toxicity.toxicity(labelled, labels, lambda c: F.crc32(c.cast("string").cast("binary")) % 3 == 1)
-    assert got.count() == 3982 and not got.where("score < 0 or score > 1 or score is null").count()
-    q = got.join(labels, "doc_id").where("held_out")
-    hits, toxic, false = q.where("toxic = 1 and predicted = 1").count(), q.where("toxic = 1").count(), q.where("toxic = 0 and predicted = 1").count()
-    assert hits > 0.75 * toxic and false < 0.03 * q.count()
+def test_parameters_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FAN_IN", 3)
+    rows = [(k, i, k + 1, np.full(2, k + i, np.float32).tobytes()) for k in range(10) for i in range(2)]
+    got = language_model._averaged(spark.createDataFrame(rows, language_model.BLOCKS), 10)
+    mean = sum(k * (k + 1) for k in range(10)) / 55
+    assert np.allclose(got, [mean, mean, mean + 1, mean + 1])
 
 
 def test_machine_learns_pairs():
@@ -335,5 +380,5 @@ def test_empty_tables(spark):
 
 
 def test_contexts():
-    before = language_model.contexts(np.array([3, 4, 5, 6]), np.array([2, 2]))
-    assert before[1, 0] == 3 and set(itertools.chain(before[0], before[2], before[1, 1:])) == {language_model.END}
+    before = language_model.contexts(np.array([3, 4, 5, 6]), np.array([2, 2]), 9)
+    assert before[1, 0] == 3 and set(itertools.chain(before[0], before[2], before[1, 1:])) == {9}
