@@ -1,26 +1,27 @@
 """Long-repeat removal: bytes covered by a 100-byte string that also starts earlier in the corpus.
 
-Run-length indexes do the matching, over the repetitive part of the corpus, in parts:
+Run-length indexes do the matching, in parts. A first pass only sorts out what can match at all:
 
 1. Each 100-byte window picks as its anchor the 32-byte substring of least hash in it (the rightmost
    of equals). Equal windows pick equal anchors at equal places. Windows in a row with one anchor form
-   a region; a region is described by two 64-bit hashes (anchor, whole region) and its place.
-2. Regions are dealt out by anchor and sorted. Equal regions but the first are repeats outright; an
-   anchor with one region has no repeat. Where an anchor has several different regions, their first
-   ones are ambiguous.
-3. The bytes of ambiguous regions are dealt out by anchor. A task builds a run-length index of the
+   a region; a region is described by two independent 64-bit hashes (of the anchor, and of the whole region) and its place.
+2. Regions are dealt out by anchor and sorted. An anchor with one region has no repeat. Equal regions are one string of the
+   collection to index: the first stands for it, later ones are repeats in full, as a match with it covers all
+   their windows. Where an anchor has several different regions, these are ambiguous.
+3. The bytes of the ambiguous regions are dealt out by anchor. A task builds a run-length index of the
    regions of some anchors (run-compressed transform, sampled run ends), streams its matching
    statistics and marks what matches 100 bytes of an earlier region. An anchor with more than
    MOST_REGIONS different regions has its single windows dealt out by hash and sorted instead.
 4. Marks come back to their documents, are merged, and the bytes are cut.
 
 Equal regions and windows within a task are settled before the shuffle, so a passage that a third of
-all documents share sends few rows. Sorted groups stream through a task with constant memory. Where
-regions are compared by hash, anchor and region make 128 bits.
+all documents share sends few rows. Sorted groups stream through a task with constant memory. Regions are taken for equal
+when both hashes agree, 128 bits from two rolling hashes of unlike base and table; matches within an index are of the bytes.
 
-Null and empty texts have no bytes. Documents are ordered by doc_id (null first), then text hash;
-rows equal in both are one document and get the same result. Cut bytes may split a character, so the
-kept bytes are binary. Extra columns are ignored.
+Null and empty texts have no bytes. Documents are ordered by doc_id (null first), then by their text's 64-bit hash;
+rows equal in both are one document and get the same result. Very long texts are cut into slices of CHUNK bytes that overlap.
+Ties within a window go to the rightmost anchor. Cut bytes may split a character, so the
+kept bytes are binary. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes hashed at a time; longer documents are cut into slices that overlap by LENGTH - 1.
 CHUNK = 1 << 20
 #: Ambiguous regions of an anchor that one task compares at a time.
-MOST_REGIONS = 20_000
+MOST_REGIONS = 2_000
 NO_DOC = -(1 << 63)
 _LOW = np.uint64(0xFFFFFF)
 
@@ -54,8 +55,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Rolling hashes of a byte array: hash of [a, b) in constant time from prefix sums."""
 
-    def __init__(self, n: int):
-        rng = np.random.default_rng(20240229)
+    def __init__(self, n: int, seed: int = 20240229):
+        rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 64, 256, np.uint64)
         base = int(rng.integers(1 << 62, 1 << 63)) | 5
         self.power, self.inverse = (self._powers(b, n) for b in (base, pow(base, -1, 1 << 64)))
@@ -88,11 +89,17 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def regions(hasher: Hasher, data: np.ndarray, ends: np.ndarray):
+def hashers(n: int) -> tuple[Hasher, Hasher]:
+    """Two independent ones, for anchors and for whole regions."""
+    return Hasher(n), Hasher(n, 20240301)
+
+
+def regions(both: tuple[Hasher, Hasher], data: np.ndarray, ends: np.ndarray):
     """(start, windows, anchor hash, region hash) of each region of the strings that end at ends."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none.view(np.uint64), none.view(np.uint64)
+    hasher, second = both
     sums = hasher.sums(data)
     n = len(data) - ANCHOR + 1
     anchor = _mix((sums[ANCHOR:] - sums[:n]) * hasher.inverse[:n])
@@ -109,14 +116,14 @@ def regions(hasher: Hasher, data: np.ndarray, ends: np.ndarray):
     start = at[first]
     windows = np.diff(np.append(first, len(at)))
     place = (_LOW - (own[first] & _LOW)).astype(np.int64)
-    whole = hasher.of(sums, start, start + windows + LENGTH - 1)
+    whole = second.of(second.sums(data), start, start + windows + LENGTH - 1)
     shape = ((place - start) << 8 | windows).astype(np.uint64)
     return start, windows, anchor[place], _mix(whole ^ _mix(shape))
 
 
 COLUMNS = ("marked", "k", "h", "doc", "tag", "start", "windows")
-SHAPE = "marked boolean, k long, h long, doc long, tag short, start int, windows int"
-KINDS = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int32())
+SHAPE = "marked boolean, k long, h long, doc long, tag long, start long, windows int"
+KINDS = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
 
 def _batch(*columns):
@@ -183,9 +190,9 @@ def _chunks(batches, extra=None):
 
 
 def _find_regions(batches):
-    hasher = Hasher(2 * CHUNK + 2 * LENGTH)
+    both = hashers(2 * CHUNK + 2 * LENGTH)
     for data, ends, items in _chunks(batches):
-        start, windows, k, h = regions(hasher, data, ends)
+        start, windows, k, h = regions(both, data, ends)
         which = np.searchsorted(ends, start, side="right")
         doc, tag, base = (np.array([x[i] for x in items], np.int64) for i in range(3))
         start = start - np.concatenate([[0], ends[:-1]])[which] + base[which]
@@ -245,9 +252,9 @@ def _judge(batches):
 
 def _find_windows(batches):
     """Hashes of every window of the regions that came with each text."""
-    hasher = Hasher(2 * CHUNK + 2 * LENGTH)
+    second = hashers(2 * CHUNK + 2 * LENGTH)[1]
     for data, ends, items in _chunks(batches, "regions"):
-        sums = hasher.sums(data)
+        sums = second.sums(data)
         at, k, doc, tag, place = [], [], [], [], []
         for (d, t, base, part, own), end in zip(items, ends.tolist(), strict=True):
             begin = end - len(part)
@@ -268,10 +275,10 @@ def _find_windows(batches):
         if not at:
             continue
         at, k, doc, tag, place = map(np.concatenate, (at, k, doc, tag, place))
-        yield _settled(k.view(np.uint64), hasher.of(sums, at, at + LENGTH), doc, tag, place, np.ones(len(at), np.int64))
+        yield _settled(k.view(np.uint64), second.of(sums, at, at + LENGTH), doc, tag, place, np.ones(len(at), np.int64))
 
 
-BYTES = "k long, doc long, tag short, start int, windows int, raw binary"
+BYTES = "k long, doc long, tag long, start long, windows int, raw binary"
 
 
 def _region_bytes(batches):
@@ -280,7 +287,7 @@ def _region_bytes(batches):
         for doc, tag, text, own in zip(b["doc"].to_pylist(), b["tag"].to_pylist(), b["text"].to_pylist(), b["regions"].to_pylist(), strict=True):
             raw = text.encode()
             rows += [(r["k"], doc, tag, r["start"], r["windows"], raw[r["start"] : r["start"] + r["windows"] + LENGTH - 1]) for r in own]
-        kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "doc", "tag", "start", "windows", "raw"])
 
@@ -357,7 +364,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, most_regions: int = MO
     text = whole_text(docs)
     src = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("tag"), text.alias("text"),
+        F.xxhash64(text).alias("tag"), text.alias("text"),
     )
     marks = repeats(src.select("doc", "tag", "text"), most_regions).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     joined = src.join(marks.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "marks")
