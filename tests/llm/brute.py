@@ -116,9 +116,10 @@ def simhash(rows):
 
 
 def long_repeats(rows):
-    """rows are distinct; in order of doc_id."""
+    """rows are distinct; in order of doc_id, then of the text's hash."""
     seen, out = set(), []
-    for doc, text in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for doc, text in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))):
         b = (text or "").encode()
         gone, end = bytearray(len(b)), 0
         for i in range(len(b) - 99):

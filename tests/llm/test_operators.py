@@ -1,5 +1,6 @@
 import collections
 import itertools
+import os
 import random
 import zlib
 
@@ -223,6 +224,15 @@ def test_long_repeats_of_a_document_given_twice(spark):
     assert srt(got.collect()) == srt(brute.long_repeats(own) * 2)
 
 
+def test_long_repeats_under_one_id(spark):
+    """Rows of one doc_id, or of none, with different texts are documents of their own."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef ") for _ in range(150))
+    own = [(d, f"{''.join(rng.choice('abcdef ') for _ in range(rng.randrange(0, 150)))}{passage if k % 3 else ''}{k}") for d in (None, 4, 5) for k in range(400)]
+    got = long_repeats.remove_repeats(spark.createDataFrame(own, "doc_id long, text string").repartition(5), True)
+    assert srt(got.collect()) == srt(brute.long_repeats(own))
+
+
 def test_run_index():
     rng = random.Random(3)
     for _ in range(200):
@@ -242,6 +252,27 @@ def test_run_index():
         assert RunLengthIndex(strings).repeated(length).tolist() == want
     index = RunLengthIndex([b"abcdefgh" * 9] * 50)
     assert len(index.heads) < index.n / 10
+    assert not {"order", "left", "levels", "symbols"} & set(vars(index)) and max(len(x) for x in (index.heads, index.letters, index.sample, index.above, index.common, index.rank)) == len(index.heads)
+
+
+def test_run_index_gives_back_its_texts():
+    """The runs alone tell the strings by LF steps, and the samples tell the suffix above each and its match."""
+    rng = random.Random(5)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 30))) for _ in range(20)]
+    index, text = RunLengthIndex(strings), b"".join(strings)
+    suffixes = sorted((tuple(x + 1 for x in s[i:]) + (0, k), int(index.start[k]) + i) for k, s in enumerate(strings) for i in range(len(s)))
+    # a string's end is smaller than any byte, ends are ordered as the strings are
+    order = [p for _, p in suffixes]
+    for x, y in itertools.pairwise(order):
+        a, b = (text[p : index.end[np.searchsorted(index.end, p, side="right")]] for p in (x, y))
+        assert index.before(np.array([y]))[0] == x and index.statistics()[y] == len(os.path.commonprefix([a, b]))
+    row = {p: i for i, p in enumerate(order)}
+    for k, s in enumerate(strings):
+        at, got = np.array([row[index.end[k] - 1]]), [s[-1]]
+        while (c := index.letter(at)[0]):
+            got.append(c - 1)
+            at = index.lf(at)
+        assert bytes(reversed(got)) == s
 
 
 def seven(c):
