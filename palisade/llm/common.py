@@ -34,6 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_uneven(rows: DataFrame, per_key: DataFrame, key: str, hot: int) -> DataFrame:
+    """rows joined with per_key, which has one row a key and in column `n` how many of rows have it.
+
+    Keys of more than `hot` rows are broadcast, at most (number of rows / hot) of them, so their rows stay where they are."""
+    per_key = per_key.withColumnRenamed(key, "__key")
+    large = per_key.where(F.col("n") > hot).drop("n")
+    met = rows.join(F.broadcast(large), F.col(key) == F.col("__key"), "left")
+    rest = met.where("__key is null").select(*rows.columns).join(per_key.drop("n"), F.col(key) == F.col("__key"))
+    return met.where("__key is not null").unionByName(rest).drop("__key")
+
+
 def whole_text(df: DataFrame, text: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(df[text].cast("string"), F.lit(""))
@@ -43,4 +54,4 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "let", "shared_dir", "whole_text", "written"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "join_uneven", "let", "shared_dir", "whole_text", "written"]

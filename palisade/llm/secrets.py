@@ -4,11 +4,12 @@ Each rule is a regular expression. Its Boolean trigram query (a disjunction of s
 trigrams) is derived from the expression's syntax. Postings (trigram, document) are kept for the
 trigrams that some query names; postings of a document meet as bits in one aggregation, so that
 the intersection is a mask test, and only candidates are verified with the expression. Rules
-without mandatory trigrams are run over every text. Postings are a few small rows a document;
-nothing is collected.
+without mandatory trigrams are run over every text. Postings are a few small rows a document. Candidates are few:
+up to a checked size they are broadcast and texts stay where they are; beyond it they are joined by document and text hash.
 
-Null texts are empty; empty texts have no spans. Rows that share a doc_id share candidates but
-are verified each on its own text. A null doc_id matches its own postings. Extra columns are kept.
+Null texts are empty; empty texts have no spans. Very long texts are searched whole. A document is its doc_id and its text's 64-bit hash: repeated rows
+share candidates, rows of one doc_id or of none with different texts do not. Spans that begin together are in the order of
+the rules. An empty table gives no rows. Extra columns are kept; names of ours begin with two underscores.
 Offsets are code points, end exclusive.
 """
 
@@ -21,8 +22,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import let, whole_text
+from palisade.llm.common import let, whole_text, written
 
+#: Candidates up to this size are broadcast; bytes that one takes.
+BROADCAST_BYTES, ENTRY_BYTES = 32 << 20, 64
 BASE_KINDS = ("assign", "access", "hex")
 
 
@@ -127,17 +130,17 @@ def index_plan(rules=RULES) -> Plan:
 
 
 def postings(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The inverted index: a row (trigram number, doc_id) for each indexed trigram that a document holds."""
+    """The inverted index: a row (doc_id, mark, trigram number) for each indexed trigram that a document holds; mark is the text's hash."""
     which = lambda text: F.filter(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(i)) for i, t in enumerate(plan.trigrams)]), lambda x: x.isNotNull())
     held = let(F.lower(whole_text(docs)), which)
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
+    return docs.select("doc_id", F.xxhash64(whole_text(docs)).alias("mark"), F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, rules): the documents whose postings meet a rule's query, rules as bits."""
+    """(doc_id, mark, rules): the documents whose postings meet a rule's query, rules as bits."""
     words = range((len(plan.trigrams) + 62) // 63)
     bit = F.expr("shiftleft(1L, cast(trigram % 63 as int))")
-    met = index.groupBy("doc_id").agg(*[F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words])
+    met = index.groupBy("doc_id", "mark").agg(*[F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words])
     rules = F.lit(0).cast("long")
     for r, clauses in enumerate(plan.clauses):
         if clauses:
@@ -148,7 +151,7 @@ def candidates(index: DataFrame, plan: Plan) -> DataFrame:
                     all_in = all_in & (F.col(f"m{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
                 hit = hit | all_in
             rules = rules.bitwiseOR(F.when(hit, F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long")))
-    return met.select("doc_id", rules.alias("rules")).where("rules != 0")
+    return met.select("doc_id", "mark", rules.alias("rules")).where("rules != 0")
 
 
 def match_spans(text: Column, rule: SecretRule) -> Column:
@@ -168,12 +171,13 @@ def match_spans(text: Column, rule: SecretRule) -> Column:
     return F.aggregate(named, start, step, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules=RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs and __spans: array<struct<s,k,e>> by start, then rule; k is the rule's number."""
     plan = index_plan(rules)
-    cand = candidates(postings(docs, plan), plan).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    df = docs.join(cand.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(cand["__id"]), "left").drop("__id")
-    df = df.withColumn("__text", whole_text(docs))
+    cand = written(candidates(postings(docs, plan), plan).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("rules").alias("__rules")), "candidates")
+    cand = F.broadcast(cand) if cand.count() * ENTRY_BYTES <= broadcast_bytes else cand.hint("shuffle_hash")
+    df = docs.withColumn("__text", whole_text(docs))
+    df = df.join(cand, docs["doc_id"].eqNullSafe(cand["__id"]) & (F.xxhash64("__text") == cand["__mark"]), "left").drop("__id", "__mark")
     none = F.array().cast("array<struct<s:int,e:int>>")
     parts = []
     for k, rule in enumerate(rules):

@@ -11,8 +11,9 @@ ones by looking up every fingerprint within the radius, so a run costs no more t
 times a constant. The links are merged by distributed connected components.
 
 Null and empty texts have fingerprint zero and are linked like any other. Texts with fewer words than
-a shingle give one shingle of all of them. Repeated rows share a fingerprint; a null doc_id is
-ignored when a component's smallest doc_id is taken. Extra columns are ignored.
+a shingle give one shingle of all of them. Very long texts are read whole. A bit set in just half of the hashes is 0.
+Repeated rows share a fingerprint; a null doc_id is
+ignored when a component's smallest doc_id is taken. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import written
+from palisade.llm.common import join_uneven, written
 from palisade.llm.components import components
 
 RADIUS, SHINGLE = 3, 3
 #: Runs over this length look up neighbours instead of comparing.
 LONG_RUN = 4096
+#: Rows of a fingerprint beyond which its component is broadcast to them.
+HOT_ROWS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -139,10 +142,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _roots(fps: DataFrame, first, radius: int) -> DataFrame:
-    """(fp, first, root) of each distinct fingerprint: the aggregate first of its rows, and its component."""
-    distinct = fps.groupBy("fp").agg(first.alias("first"))
+    """(fp, first, n, root) of each distinct fingerprint: the aggregate first of its rows, their number, and its component."""
+    distinct = fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"))
     comp = components(links(distinct.select("fp"), radius))
-    roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     return written(roots, "roots")
 
 
@@ -165,8 +168,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS)
     fps = written(fingerprints(docs, words), "fingerprints")
     roots = _roots(fps, F.min("doc_id"), radius)
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = roots.join(least, "root").select("fp", "component_id", "n")
+    return join_uneven(fps, named, "fp", HOT_ROWS).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):

@@ -5,11 +5,14 @@ fixed number of buckets. The terms most associated with the label are kept, and
 machine learns a weight for each and, through factor vectors, the weight of each pair: an insult with
 a mention of a group can score above what both score alone.
 
-The model is fitted on at most SAMPLE labelled rows (by hash of doc_id, never by order), in one task
-whose input is bounded by SAMPLE; its size is fixed by KEPT and FACTORS. Scoring is one narrow pass.
-
-Null and empty texts score the model's bias. Repeated rows score alike. Rows whose label or doc_id is
-null do not train. Extra columns are ignored. Without a usable label every score is 0.
+The model is fitted on at most about SAMPLE labelled documents (by hash of doc_id, never by order), one row each, in one task
+whose input is bounded by SAMPLE * KEPT; its size is fixed by KEPT and FACTORS. Scoring is one narrow pass.
+
+Null and empty texts score the model's bias. Very long texts are read whole. Repeated rows score alike. Of several labels of a
+doc_id the largest counts, of several texts the one of least hash. Of terms equally associated those of smaller number
+are kept. Rows whose label or doc_id is
+null do not train. Extra columns are ignored. Without a usable label, or with labels of one kind only, every score is 0. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,14 +119,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, seed: int = 1)
 def train(docs: DataFrame, labels: DataFrame, label: str, usable, sample: int = SAMPLE) -> Machine | None:
     """The machine for labels[label] (0 or 1) from rows whose doc_id meets usable(column)."""
     spark = docs.sparkSession
-    known = labels.where(usable(labels["doc_id"]) & labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(usable(labels["doc_id"]) & labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     total = known.count()
     if not total:
         return None
     share = min(1.0, sample / total)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # at most `sample` rows of 12 bytes: bounded by that parameter, so broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    met = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = met.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
     terms = written(texts.mapInArrow(_sample_terms, "y int, terms array<int>"), "toxic-terms")
     size = terms.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     if not size["n"] or not size["p"] or size["p"] == size["n"]:
@@ -133,20 +138,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, sample: int =
     z = F.abs(F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     kept = np.array(sorted(r["t"] for r in by_term.orderBy(z.desc(), "t").limit(KEPT).collect()), np.int64)
 
-    def learn(batches):
-        rows, y = [], []
+    def places(batches):
+        """Only what was kept goes on to the one task."""
         for b in batches:
-            for terms, one in zip(b["terms"].to_pylist(), b["y"].to_pylist(), strict=True):
+            rows = []
+            for terms in b["terms"].to_pylist():
                 t = np.array(sorted(terms), np.int64)
                 i = np.minimum(np.searchsorted(kept, t), len(kept) - 1)
                 rows.append(i[kept[i] == t])
-                y.append(one)
+            yield pa.RecordBatch.from_arrays([b["y"], pa.array(rows, pa.list_(pa.int32()))], ["y", "terms"])
+
+    def learn(batches):
+        rows, y = [], []
+        for b in batches:
+            rows += [np.array(x, np.int64) for x in b["terms"].to_pylist()]
+            y += b["y"].to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_state(fit(rows, np.array(y, float), kept)))])], ["model"])
 
     if not len(kept):
         return None
     # the sample's size is a parameter, so one task is enough; its order is fixed for equal results
-    ordered = terms.repartition(1).sortWithinPartitions(F.xxhash64("terms"), "y")
+    ordered = terms.mapInArrow(places, "y int, terms array<int>").repartition(1).sortWithinPartitions(F.xxhash64("terms"), "y")
     return Machine(*pickle.loads(ordered.mapInArrow(learn, "model binary").first()["model"]))
 
 
