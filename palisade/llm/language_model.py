@@ -41,8 +41,8 @@ from palisade.llm.long_repeats import Hasher, _mix
 VOCABULARY, GROWTH, RARE = 4, 0.4, 32
 CONTEXT, SIZE = 6, 32
 #: Noise samples that a batch shares for the first factor, and of each position for the second.
-NOISE, OWN_NOISE = 64, 4
-BATCH, RUN, STEP, EPOCHS = 1024, 64, 0.15, 2
+NOISE, OWN_NOISE = 64, 2
+BATCH, RUN, STEP, EPOCHS = 2048, 64, 0.15, 2
 #: The start's texts: about so many tokens, characters of a text, and bytes at most.
 WARM_TOKENS, WARM_TEXT, WARM_BYTES = 400_000, 1 << 16, 4 << 20
 #: Parameters sent to be averaged, as a part of the texts' bytes; floats of a block; tasks averaged at a time.
@@ -256,9 +256,9 @@ class LogBilinear:
             dh[at] += np.einsum("nk,nks->ns", gw, vectors)
             rows, order, head = _grouped(all_.ravel())
             flat = gw.ravel()
-            dw = np.add.reduceat((flat[:, None] * np.repeat(hw, 1 + OWN_NOISE, axis=0)).take(order, axis=0), head)
-            self._step(4, dw, rows)
-            self._step(5, np.add.reduceat(flat[order], head), rows)
+            flat = flat[order]
+            self._step(4, np.add.reduceat(hw.take(order // (1 + OWN_NOISE), axis=0) * flat[:, None], head), rows)
+            self._step(5, np.add.reduceat(flat, head), rows)
         dh = dh.reshape(*real.shape, SIZE)
         d, dp = np.zeros_like(found), np.empty_like(self.position)
         for j, w in enumerate(before):
