@@ -13,8 +13,57 @@ from typing import NamedTuple
 from pyspark.sql import Column
 
 _WORD = "0-9A-Za-z_"
-_BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
+BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 SPACES = r"\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+_LETTER = re.compile(r"[0-9A-Za-z_]")
+
+
+def _group(s: str) -> tuple[list[str], int] | None:
+    """The alternatives of the plain group that s begins with, and where it ends; None if there is none."""
+    if not s.startswith("(") or s.startswith("(?") and not s.startswith("(?:"):
+        return None
+    depth, out, i = 0, [], 3 if s.startswith("(?:") else 1
+    begin = i
+    while i < len(s):
+        if s[i] == "\\":
+            i += 1
+        elif s[i] == "[":
+            i = s.index("]", i + 2)
+        elif s[i] == "(":
+            depth += 1
+        elif s[i] == ")" and depth:
+            depth -= 1
+        elif s[i] in "|)" and not depth:
+            out.append(s[begin:i])
+            begin = i + 1
+            if s[i] == ")":
+                return out, i + 1
+        i += 1
+    return None
+
+
+def _starts(s: str) -> bool:
+    """Whether what s matches surely begins with a word character, as far as its first token tells."""
+    if found := _group(s):
+        return s[found[1] : found[1] + 1] not in ("?", "*", "{") and all(map(_starts, found[0]))
+    return bool(_LETTER.match(s)) and s[1:2] not in ("?", "*", "{")
+
+
+def _ends(s: str) -> bool:
+    """Whether what s matches surely ends with a word character, as far as its last token tells."""
+    if s.endswith(")"):
+        whole = (g[0] for i, c in enumerate(s) if c == "(" and (i == 0 or s[i - 1] != "\\") and (g := _group(s[i:])) and g[1] == len(s) - i)
+        return all(map(_ends, next(whole, [""])))
+    if s.endswith("?"):
+        return bool(_LETTER.match(s[-2:-1])) and _ends(s[:-1]) and _ends(s[:-2])
+    return bool(_LETTER.match(s[-1:])) and s[-2:-1] != "\\"
+
+
+def _boundary(s: str, i: int) -> str:
+    """The word boundary behind which s goes on at i: one look-around where a neighbour is known to be a word character."""
+    if _starts(s[i:]):
+        return f"(?<![{_WORD}])"
+    return f"(?![{_WORD}])" if _ends(s[: i - 2]) else BOUNDARY
 
 
 class P(NamedTuple):
@@ -34,7 +83,7 @@ def to_java(p: P) -> str:
             pair = s[i : i + 2]
             i += 2
             if pair == r"\b" and not inside:
-                out.append(_BOUNDARY)
+                out.append(_boundary(s, i))
             elif pair == r"\s":
                 out.append(SPACES if inside else f"[{SPACES}]")
             elif pair == r"\S":

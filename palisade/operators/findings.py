@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions.regexes import has
-from palisade.operators.taint import find_taint
 from palisade.rules.catalogue import FAMILIES, RULES
 from palisade.rules.model import MATCH, Prompt, Rule, compile_rule
 
@@ -49,7 +48,7 @@ def _column(app: str, rules: tuple[Rule, ...]) -> Column:
     """The rules' matches over columns of fixed names; made once for each application, as it takes many calls into the JVM."""
     key = (app, rules)
     if key not in _compiled:
-        prompt = Prompt(*(F.col(c) for c in ("text", "lines", "kind", "ext", "path", "line_start", "line_end")))
+        prompt = Prompt(*(F.col(c) for c in ("text", "low", "lines", "kind", "ext", "path", "line_start", "line_end")))
         _compiled[key] = F.concat(*[compile_rule(r, prompt) for r in rules])
     return _compiled[key]
 
@@ -57,20 +56,16 @@ def _column(app: str, rules: tuple[Rule, ...]) -> Column:
 def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every match, duplicates among overlapping prompts included, with the prompt's reductions."""
     own = ["path", *keep, "prompt_ord", "kind"]
-    df = prompts.withColumn("lines", F.split("text", "\n", -1))
-    families = [tuple(r for r in family if r in rules and not r.arrow) for family in FAMILIES.values()]
-    plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()) and not r.arrow)
+    df = prompts.withColumns({"lines": F.split("text", "\n", -1), "low": F.lower("text")})
+    families = [tuple(r for r in family if r in rules) for family in FAMILIES.values()]
+    plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()))
     app = prompts.sparkSession.sparkContext.applicationId
     columns = [_column(app, family) for family in (*families, plugged) if family]
     soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text")).items()), strict=True)))
     # a projection for each family keeps the expressions small; the arrays meet in one explode
     wide = df.select(*own, soft.alias("soft"), *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
     found = F.concat(*[F.col(f"__f{i}") for i in range(len(columns))]) if columns else F.array().cast(MATCH)
-    out = wide.select(*own, "soft", F.inline(found))
-    if any(r.arrow for r in rules):
-        taint = find_taint(df.select(*own, "text", "line_start", soft.alias("soft")), [*own, "soft"])
-        out = out.unionByName(taint)
-    return out
+    return wide.select(*own, "soft", F.inline(found))
 
 
 def first_of_duplicates(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

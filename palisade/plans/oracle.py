@@ -16,7 +16,7 @@ def _patterns(rule: Rule):
 
 
 def expressible(rule: Rule) -> bool:
-    own = rule.test or rule.finds or rule.evidence or rule.arrow
+    own = rule.test or rule.finds or rule.evidence
     return not own and all(to_re2(p if isinstance(p, P) else P(p)) is not None for p in _patterns(rule))
 
 

@@ -1,7 +1,8 @@
 """A rule is data: which prompts it looks at, what a line must hold, and what must stand around it.
 
 compile_rule turns it into a Column of type array<finding> over the prompt columns, so rules are plain
-expressions that Spark plans; one rule that needs iteration (taint) runs as an Arrow function instead.
+expressions that Spark plans. Before any expression is tried on a text, strings are looked for without which it
+cannot match (functions/literals.py).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.literals import required
 from palisade.functions.regexes import SPACES, P, has
 
 SEVERITIES = {"low": 5, "medium": 15, "high": 30, "critical": 50}
@@ -53,8 +55,6 @@ class Rule:
     test: Callable | None = None
     finds: Callable | None = None
     evidence: Callable | None = None
-    #: Checked by the taint function, not by a column.
-    arrow: bool = False
     remediation: str = field(default="Keep untrusted content apart from instructions, and check what the finding shows.")
 
     @property
@@ -68,9 +68,10 @@ class Rule:
 
 @dataclass(frozen=True)
 class Prompt:
-    """The columns a rule sees."""
+    """The columns a rule sees; low is the text in lower case."""
 
     text: Column
+    low: Column
     lines: Column
     kind: Column
     ext: Column
@@ -110,6 +111,12 @@ def _any(parts) -> Column | None:
     return out
 
 
+def holds(low: Column, patterns) -> Column | None:
+    """Whether a text in lower case has one of the strings that a match of one of the patterns needs; None if they need none."""
+    words = [required(p.regex if isinstance(p, P) else p) for p in patterns]
+    return _any(low.contains(w) for w in dict.fromkeys(x for own in words for x in own)) if all(words) else None
+
+
 def gate(rule: Rule, prompt: Prompt) -> Column | None:
     """What the prompt must meet before any line is looked at; the cheapest tests come first."""
     parts = []
@@ -121,6 +128,10 @@ def gate(rule: Rule, prompt: Prompt) -> Column | None:
         parts.append(prompt.ext.isin(*rule.exts))
     if rule.skill:
         parts.append(is_skill(prompt.path))
+    # every one of these is found within the text, if anywhere
+    parts += [holds(prompt.low, (p,)) for p in (*rule.need, *(() if rule.finds else (*rule.line, *rule.near)))]
+    parts += [holds(prompt.low, some) for some in (rule.some, rule.near_some) if some and not rule.finds]
+    parts = [p for p in parts if p is not None]
     parts += [has(prompt.text, p) for p in rule.need]
     parts += [~has(prompt.text, p) for p in rule.absent]
     if not rule.whole:
@@ -151,8 +162,6 @@ def line_test(rule: Rule, prompt: Prompt, line: Column, i: Column) -> Column:
 def compile_rule(rule: Rule, prompt: Prompt) -> Column:
     """array<finding> of the rule in the prompt, in line order."""
     none = F.array().cast(MATCH)
-    if rule.arrow:
-        return none
     if rule.finds is not None:
         found = rule.finds(prompt)
     elif rule.whole:
