@@ -55,3 +55,21 @@ def rule_quality(expected: DataFrame, found: DataFrame) -> DataFrame:
     n = n.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     p, r = F.col("precision"), F.col("recall")
     return n.withColumn("f1", F.when((p + r) > 0, 2 * p * r / (p + r)))
+
+
+def file_quality(files: DataFrame, expected: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of file-level figures for files (path, is_safe) and pairs (path, rule_id) expected of the others and found.
+
+    fp_rate: per cent of safe files with a finding; detection_rate: per cent of the expected pairs found. passed: no safe
+    file has a finding and no pair is missed."""
+    hit = found.select("path", "rule_id").distinct()
+    safe = files.where("is_safe").select("path").distinct().join(hit.select("path").distinct().withColumn("hit", F.lit(1)), "path", "left")
+    safe = safe.agg(F.count("*").alias("safe_files"), F.count("hit").alias("safe_fp_files"))
+    pairs = expected.select("path", "rule_id").distinct().join(hit.withColumn("hit", F.lit(1)), ["path", "rule_id"], "left")
+    pairs = pairs.agg(F.count("*").alias("expected_findings"), F.count("hit").alias("detected_findings"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.round(100 * F.col(a) / F.col(b), 1)).otherwise(F.lit(0.0))
+    one = pairs.select(F.struct("*").alias("p")).scalar()
+    return safe.withColumn("p", one).select("safe_files", "safe_fp_files", "p.*").select(
+        "*", rate("safe_fp_files", "safe_files").alias("fp_rate"), rate("detected_findings", "expected_findings").alias("detection_rate"),
+        ((F.col("safe_fp_files") == 0) & (F.col("detected_findings") == F.col("expected_findings"))).alias("passed"),
+    )

@@ -53,9 +53,9 @@ def _column(app: str, rules: tuple[Rule, ...]) -> Column:
     return _compiled[key]
 
 
-def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Every match, duplicates among overlapping prompts included, with the prompt's reductions."""
-    own = ["path", *keep, "prompt_ord", "kind"]
+    own = ["path", *keep, *carry, "prompt_ord", "kind"]
     df = prompts.withColumns({"lines": F.split("text", "\n", -1), "low": F.lower("text")})
     families = [tuple(r for r in family if r in rules) for family in FAMILIES.values()]
     plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()))
@@ -74,10 +74,12 @@ def first_of_duplicates(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     return matches.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def findings(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(path, keep, rule columns, line_start, line_end, evidence, risk_points) of prompts (path, ext, prompt_ord, kind, text, line_start, line_end)."""
-    found = first_of_duplicates(raw_matches(prompts, rules, keep), keep)
+def findings(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, keep, carry, rule columns, line_start, line_end, evidence, risk_points) of prompts (path, ext, prompt_ord, kind, text, line_start, line_end).
+
+    keep: columns that tell prompts of one path apart; carry: columns that only come along."""
+    found = first_of_duplicates(raw_matches(prompts, rules, keep, carry), keep)
     # the rules' table has a fixed number of rows
     joined = found.join(F.broadcast(rules_table(prompts.sparkSession, rules)), "rule_id")
     points = adjusted_points(F.col("base_points"), F.coalesce(F.get(F.map_values(F.map_filter("soft", lambda k, v: k == F.col("prefix"))), F.lit(0)), F.lit(0)))
-    return joined.select("path", *keep, "rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "rule_ord", "prompt_ord", "kind", "line_start", "line_end", "evidence", points.alias("risk_points"))
+    return joined.select("path", *keep, *carry, "rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "rule_ord", "prompt_ord", "kind", "line_start", "line_end", "evidence", points.alias("risk_points"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sinks.tables import written
+
 SEVERITY_FAILS = {"critical": ("critical",), "high": ("critical", "high"), "medium": ("critical", "high", "medium")}
 
 
@@ -48,7 +50,8 @@ def first_files(findings: DataFrame, most: int) -> DataFrame:
     from pyspark.sql import Window as W
 
     per = findings.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    # the range's number is fixed by writing the order down before it is used twice
+    # written down, so that both uses see the same numbers of ranges
+    per = written(per, "files-by-path")
     parts = per.groupBy("part").agg(F.sum("n").alias("m"))
     before = F.coalesce(F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("part", before.alias("before"))

@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.let import let
+
 # The directives' syntax.
 DIRECTIVE = r"(?i)hound-(disable-next-line|disable-line|disable|enable)(?![0-9A-Za-z_])([^\n]*)"
 RULE_ID = r"([A-Za-z][A-Za-z0-9]*-\d+)"
+MARKS = "array<struct<ord:int,kind:string,line:int,first:int,last:int,rule_ids:array<string>,reason:string>>"
 
 
-def directives(files: DataFrame) -> DataFrame:
-    """(path, kind, line, first, last, rule_ids, reason, ord): rule_ids null means every rule; ord is the declaration order.
+def marks_of(content: Column) -> Column:
+    """array of (ord, kind, line, first, last, rule_ids, reason): rule_ids null means every rule; ord is the declaration order.
 
     A block runs to the first later `enable` that names none, or one of its rules, else to the last line."""
-    lines = files.select("path", F.size(F.split("content", "\n", -1)).alias("n_lines"), F.posexplode(F.split("content", "\n", -1)).alias("pos", "l")).where(F.col("l").rlike(DIRECTIVE))
-    tail = F.regexp_extract("l", DIRECTIVE, 2)
-    at = F.instr(tail, "--")
-    ids = F.transform(F.regexp_extract_all(F.when(at > 0, F.substring(tail, F.lit(1), at - 1)).otherwise(tail), F.lit(RULE_ID), F.lit(1)), F.upper)
-    reason = F.trim(F.when(at > 0, F.substring(tail, at + 2, F.length(tail))))
-    parsed = lines.select(
-        "path", "n_lines", (F.col("pos") + 1).alias("line"), F.lower(F.regexp_extract("l", DIRECTIVE, 1)).alias("kind"),
-        F.when(F.size(ids) > 0, ids).alias("rule_ids"), F.when(reason != "", reason).alias("reason"),
-    )
-    # a file has few directives: all of them in one row tell each block's end
-    ends = parsed.where("kind = 'enable'").groupBy("path").agg(F.collect_list(F.struct("line", "rule_ids")).alias("ends"))
-    rows = parsed.where("kind != 'enable'").join(ends, "path", "left")
-    closes = F.filter(
-        F.coalesce("ends", F.array().cast("array<struct<line:int,rule_ids:array<string>>>")),
-        lambda e: (e["line"] > F.col("line")) & (e["rule_ids"].isNull() | F.col("rule_ids").isNull() | F.arrays_overlap(e["rule_ids"], F.col("rule_ids"))),
-    )
-    block_end = F.coalesce(F.array_min(F.transform(closes, lambda e: e["line"])), F.col("n_lines"))
-    step = F.when(F.col("kind") == "disable-next-line", 1).otherwise(0)
-    return rows.select(
-        "path", "kind", "line", (F.col("line") + step).alias("first"), F.when(F.col("kind") == "disable", block_end).otherwise(F.col("line") + step).alias("last"),
-        "rule_ids", "reason", F.row_number().over(W.partitionBy("path").orderBy("line")).alias("ord"),
-    )
+    none = F.lit(None).cast("array<string>")
+
+    def parsed(x):
+        tail = F.regexp_extract(x["l"], DIRECTIVE, 2)
+        at = F.instr(tail, "--")
+        ids = F.transform(F.regexp_extract_all(F.when(at > 0, F.substring(tail, F.lit(1), at - 1)).otherwise(tail), F.lit(RULE_ID), F.lit(1)), F.upper)
+        reason = F.trim(F.when(at > 0, F.substring(tail, at + 2, F.length(tail))))
+        return F.struct(
+            (x["i"] + 1).alias("line"), F.lower(F.regexp_extract(x["l"], DIRECTIVE, 1)).alias("kind"),
+            F.when(F.size(ids) > 0, ids).otherwise(none).alias("rule_ids"), F.when(reason != "", reason).alias("reason"),
+        )
+
+    def ranged(found, n_lines):
+        ends = F.filter(found, lambda d: d["kind"] == "enable")
+
+        def of(d, i):
+            closes = F.filter(ends, lambda e: (e["line"] > d["line"]) & (e["rule_ids"].isNull() | d["rule_ids"].isNull() | F.arrays_overlap(e["rule_ids"], d["rule_ids"])))
+            first = d["line"] + F.when(d["kind"] == "disable-next-line", 1).otherwise(0)
+            last = F.when(d["kind"] == "disable", F.coalesce(F.array_min(F.transform(closes, lambda e: e["line"])), n_lines)).otherwise(first)
+            return F.struct((i + 1).cast("int").alias("ord"), d["kind"].alias("kind"), d["line"].alias("line"), first.alias("first"), last.alias("last"), d["rule_ids"].alias("rule_ids"), d["reason"].alias("reason"))
+
+        return F.transform(F.filter(found, lambda d: d["kind"] != "enable"), of)
+
+    def told(lines):
+        hits = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("l"), i.alias("i"))), lambda x: x["l"].rlike(DIRECTIVE))
+        return let(F.transform(hits, parsed), lambda found: ranged(found, F.size(lines)))
+
+    return F.when(content.rlike(DIRECTIVE), let(F.split(content, "\n", -1), told).cast(MARKS)).otherwise(F.array().cast(MARKS))
+
+
+def directives(files: DataFrame) -> DataFrame:
+    """The marks of files (path, content), a row each."""
+    return files.select("path", F.inline(marks_of(F.col("content"))))
+
+
+def suppressor(marks: Column) -> Column:
+    """The ord of the first mark that covers the finding's line and rule, or null."""
+    covers = F.filter(marks, lambda d: F.col("line_start").between(d["first"], d["last"]) & (d["rule_ids"].isNull() | F.array_contains(d["rule_ids"], F.col("rule_id"))))
+    return F.get(covers, F.lit(0))["ord"]
 
 
 def with_suppressor(findings: DataFrame, found: DataFrame) -> DataFrame:
@@ -45,8 +64,7 @@ def with_suppressor(findings: DataFrame, found: DataFrame) -> DataFrame:
     The join is by path, so it needs no broadcast; a file's directives come as one array."""
     per = found.groupBy(F.col("path").alias("__path")).agg(F.sort_array(F.collect_list(F.struct("ord", "first", "last", "rule_ids"))).alias("__d"))
     joined = findings.join(per, F.col("path") == F.col("__path"), "left")
-    covers = F.filter("__d", lambda d: F.col("line_start").between(d["first"], d["last"]) & (d["rule_ids"].isNull() | F.array_contains(d["rule_ids"], F.col("rule_id"))))
-    return joined.withColumn("suppressed_by", F.get(covers, F.lit(0))["ord"]).drop("__path", "__d")
+    return joined.withColumn("suppressed_by", suppressor(F.col("__d"))).drop("__path", "__d")
 
 
 def unused(found: DataFrame, judged: DataFrame) -> DataFrame:

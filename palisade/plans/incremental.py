@@ -12,6 +12,11 @@ from palisade.plans.scan import signature
 from palisade.rules.catalogue import RULES
 from palisade.rules.model import Rule
 
+def from_cache(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """The findings that a renewed cache has of these files."""
+    return cache.join(files.select("path").distinct(), "path", "left_semi").select("path", F.inline("findings"))
+
+
 COLUMNS = ("rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "line_start", "line_end", "evidence", "risk_points")
 
 

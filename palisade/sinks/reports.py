@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 # Names and levels of the formats.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
 ANNOTATIONS = {"critical": "error", "high": "error", "medium": "warning", "low": "notice"}
-CSV_COLUMNS = ("id", "severity", "confidence", "title", "file", "lineStart", "lineEnd", "riskPoints", "evidence", "remediation")
+#: Column of the csv report and the finding's field.
+CSV_COLUMNS = {
+    "rule_id": "id", "severity": "severity", "confidence": "confidence", "file": "file", "line_start": "lineStart", "line_end": "lineEnd", "title": "title",
+    "evidence": "evidence", "remediation": "remediation", "mitre_technique": "mitre",
+}
+CSV_HEADER = ",".join(CSV_COLUMNS)
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 MITRE_URL = "https://attack.mitre.org/techniques/"
 SEVERITY_ORDER = ("critical", "high", "medium", "low")
@@ -35,33 +40,54 @@ def json_lines(findings: DataFrame) -> DataFrame:
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
+    """One finding a row, without the header; a missing tag is empty."""
     f = findings.select(finding_struct().alias("f"))
 
     def cell(name):
-        text = F.col(f"f.{name}").cast("string")
+        text = F.coalesce(F.col(f"f.{name}").cast("string"), F.lit(""))
         return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    return f.select(F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS]).alias("value"))
+    return f.select(F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS.values()]).alias("value"))
+
+
+def csv_parts(findings: DataFrame) -> Iterator[str]:
+    """The csv report, its rows by path, line and rule."""
+    yield CSV_HEADER + "\n"
+    for r in csv_rows(findings.orderBy("path", "line_start", "rule_id")).toLocalIterator():
+        yield r["value"] + "\n"
 
 
 def annotation_rows(findings: DataFrame) -> DataFrame:
     """Workflow commands, one a finding."""
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in ANNOTATIONS.items() for x in kv]), F.col("severity"))
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(
+        F.lit("::"), level, F.lit(" file="), F.translate("path", "\\", "/"), F.lit(",line="), text("line_start"), F.lit(",endLine="), text("line_end"), F.lit(",title="), "rule_id",
+        F.lit("::"), "title", F.lit(" ["), F.upper("severity"), F.lit("]"),
+    )
+    return findings.select(line.alias("value"))
 
-    def clean(c):
-        return F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
-    level = F.element_at(F.create_map(*[F.lit(x) for kv in ANNOTATIONS.items() for x in kv]), F.col("severity"))
-    return findings.select(F.concat(F.lit("::"), level, F.lit(" file="), "path", F.lit(",line="), F.col("line_start").cast("string"), F.lit("::["), "rule_id", F.lit("] "), clean(F.col("title"))).alias("value"))
+def summary(result: dict, counts: list[tuple[str, int]]) -> str:
+    """A short table for a workflow's summary page."""
+    state = "passed" if result["passed"] else "failed"
+    out = ["## Palisade scan", "", f"**Score:** {result['repoScore']}/100 ({result['scoreLabel'].upper()}), {state}", "", "| Severity | Count |", "|----------|-------|"]
+    return "\n".join([*out, *(f"| {s} | {n} |" for s, n in counts)]) + "\n"
 
 
 class Findings:
     """All findings by path, line and rule; every iteration reads them anew. Counts are a Spark aggregate."""
 
     def __init__(self, findings: DataFrame):
-        self.rows = findings.select(finding_struct().alias("f")).orderBy("f.file", "f.lineStart", "f.id")
+        """With a column file_score, that is a file's score; else the sum of its findings' points is."""
+        score = F.col("file_score") if "file_score" in findings.columns else F.lit(None).cast("long")
+        self.rows = findings.select(finding_struct().alias("f"), score.alias("score")).orderBy("f.file", "f.lineStart", "f.id")
 
     def __iter__(self) -> Iterator[dict]:
-        return ({k: v for k, v in r["f"].asDict().items() if v is not None} for r in self.rows.toLocalIterator())
+        return (row for row, _ in self.scored())
+
+    def scored(self) -> Iterator[tuple[dict, int | None]]:
+        return (({k: v for k, v in r["f"].asDict().items() if v is not None}, r["score"]) for r in self.rows.toLocalIterator())
 
     def counts(self) -> list[tuple[str, int]]:
         n = dict(map(tuple, self.rows.groupBy("f.severity").count().collect()))
@@ -82,6 +108,14 @@ def _by_file(rows: Iterable[dict]):
     return itertools.groupby(rows, key=lambda r: r["file"])
 
 
+def _files(rows: Iterable[dict]) -> Iterator[tuple[str, list[dict], int]]:
+    """(file, its findings, its score); the findings of one file are held at a time."""
+    scored = rows.scored() if isinstance(rows, Findings) else ((r, None) for r in rows)
+    for f, own in itertools.groupby(scored, key=lambda x: x[0]["file"]):
+        own = list(own)
+        yield f, [r for r, _ in own], sum(r["riskPoints"] for r, _ in own) if own[0][1] is None else own[0][1]
+
+
 def _dumped(x, depth: int) -> str:
     return json.dumps(x, indent=2, ensure_ascii=False).replace("\n", "\n" + "  " * depth)
 
@@ -97,18 +131,10 @@ def _listed(items: Iterable[dict], depth: int) -> Iterator[str]:
 
 def json_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
     yield "{\n" + "".join(f"  {json.dumps(k)}: {_dumped(v, 1)},\n" for k, v in result.items()) + '  "files": ['
-    comma, score = "", 0
-
-    def scored(own):
-        nonlocal score
-        for r in own:
-            score += r["riskPoints"]
-            yield r
-
-    for f, own in _by_file(rows):
-        score = 0
+    comma = ""
+    for f, own, score in _files(rows):
         yield comma + '\n    {\n      "file": ' + json.dumps(f, ensure_ascii=False) + ',\n      "findings": '
-        yield from _listed(scored(own), 3)
+        yield from _listed(own, 3)
         yield f',\n      "fileScore": {score}\n    }}'
         comma = ","
     yield ("\n  " if comma else "") + '],\n  "allFindings": '
@@ -171,14 +197,26 @@ def _counts(rows: Iterable[dict]) -> list[tuple[str, int]]:
     return [(s, own.count(s)) for s in SEVERITY_ORDER]
 
 
+BADGE = "![{0}](https://img.shields.io/badge/palisade-{0}-{1})"
+
+
 def markdown_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
     clean = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
-    out = ["# Palisade report", "", f"**{'PASSED' if result['passed'] else 'FAILED'}**: score {result['repoScore']}/100 ({result['scoreLabel']})", "", "| Severity | Count |", "| --- | --- |"]
-    out += [f"| {s} | {n} |" for s, n in _counts(rows)]
-    out += ["", "| File | Line | Rule | Severity | Finding |", "| --- | --- | --- | --- | --- |"]
+    link = lambda r: f"[{r['mitre']}]({MITRE_URL}{r['mitre'].replace('.', '/')})" if "mitre" in r else ""
+    badge = BADGE.format("PASSED", "brightgreen") if result["passed"] else BADGE.format("FAILED", "red")
+    counts = _counts(rows)
+    out = [f"# Palisade report {badge}", "", f"**Score:** {result['repoScore']}/100 ({result['scoreLabel'].upper()})  "]
+    out += [f"**Threshold:** {result['threshold']}  "] if "threshold" in result else []
+    out += [f"**Total findings:** {sum(n for _, n in counts)}", "", "## Severity Summary", "", "| Severity | Count |", "|----------|-------|", *(f"| {s} | {n} |" for s, n in counts), ""]
     yield "\n".join(out) + "\n"
-    for r in rows:
-        yield f"| {clean(r['file'])} | {r['lineStart']} | {r['id']} | {r['severity']} | {clean(r['title'])} |\n"
+    for i, (f, own, score) in enumerate(_files(rows)):
+        yield ("" if i else "## Findings by File\n\n") + f"### `{f}`\n*File score: {score}*\n\n| Rule | Severity | Line | Title | MITRE |\n|------|----------|------|-------|-------|\n"
+        for r in own:
+            yield f"| {r['id']} | {r['severity']} | {r['lineStart']} | {clean(r['title'])} | {link(r)} |\n"
+        for r in own:
+            tag = f"**MITRE ATT&CK:** {link(r)}\n\n" if "mitre" in r else ""
+            yield f"\n<details>\n<summary><strong>{r['id']}</strong>: {html.escape(r['title'])}</summary>\n\n**Evidence:** `{r['evidence']}`\n\n{tag}**Remediation:** {r['remediation']}\n\n</details>\n"
+        yield "\n"
 
 
 def markdown(result: dict, rows: Iterable[dict]) -> str:
@@ -203,15 +241,19 @@ def html_page(result: dict, rows: Iterable[dict]) -> str:
 
 
 def console_parts(result: dict, rows: Iterable[dict], verbose: bool = False) -> Iterator[str]:
-    last = None
-    for r in rows:
-        if r["file"] != last:
-            last = r["file"]
-            yield f"{last}\n"
-        yield f"  {r['lineStart']:>5}  {r['severity']:<8}  {r['id']:<8}  {r['title']}\n"
-        if verbose:
-            yield f"         {r['confidence']} confidence, {r['riskPoints']} points{', ' + r['mitre'] if 'mitre' in r else ''}: {r['remediation']}\n"
-    yield f"{'passed' if result['passed'] else 'failed'}: score {result['repoScore']} ({result['scoreLabel']}); " + ", ".join(f"{n} {s}" for s, n in _counts(rows))
+    counts = _counts(rows)
+    if not any(n for _, n in counts):
+        yield "No findings.\n"
+    for f, own, score in _files(rows):
+        yield f"{f} (file score: {score})\n"
+        for r in own:
+            yield f"  [{r['severity'].upper()}] {r['id']}: {r['title']}\n    {f}:{r['lineStart']}\n    {r['evidence']}\n"
+            if verbose:
+                yield f"    {r['confidence']} confidence, {r['riskPoints']} points{', ' + r['mitre'] if 'mitre' in r else ''}\n    {r['remediation']}\n"
+    yield f"Score: {result['repoScore']}/100 ({result['scoreLabel'].upper()})\n"
+    yield f"Threshold: {result['threshold']}\n" if "threshold" in result else ""
+    yield f"Findings: {sum(n for _, n in counts)}" + "".join(f"  {s}: {n}" for s, n in counts if n) + "\n"
+    yield "PASSED" if result["passed"] else "FAILED"
 
 
 def console(result: dict, rows: Iterable[dict], verbose: bool = False) -> str:

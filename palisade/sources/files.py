@@ -6,6 +6,7 @@ import json
 import os
 import re
 import subprocess
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 #: What is scanned by default.
 INCLUDE = ("**/*.md", "**/*.txt", "**/*.yaml", "**/*.yml", "**/*.json", "**/*.ts", "**/*.js", "**/*.prompt", "**/*.prompt.*")
 EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/coverage/**", "**/*.min.js", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml")
-DEFAULTS = {"threshold": 60, "maxFindings": 0, "failOn": None, "minConfidence": None, "includeRules": [], "excludeRules": [], "include": list(INCLUDE), "exclude": list(EXCLUDE)}
-ENVIRONMENT = {"HOUND_THRESHOLD": ("threshold", int), "HOUND_FAIL_ON": ("failOn", str), "HOUND_MIN_CONFIDENCE": ("minConfidence", str), "HOUND_VERBOSE": ("verbose", lambda v: v == "true")}
-#: The names of settings and of the ignore file, as existing projects have them; the configuration file is our own.
+DEFAULTS = {"threshold": 60, "failFileThreshold": None, "baseline": None, "cache": True, "plugins": [], "verbose": False, "maxFindings": 0, "failOn": None, "minConfidence": None, "includeRules": [], "excludeRules": [], "include": list(INCLUDE), "exclude": list(EXCLUDE)}
+ENVIRONMENT = {"PALISADE_THRESHOLD": ("threshold", int), "PALISADE_FAIL_ON": ("failOn", str), "PALISADE_MIN_CONFIDENCE": ("minConfidence", str), "PALISADE_VERBOSE": ("verbose", lambda v: v == "true")}
+#: Fixed value: the ignore file, as existing projects have it; the configuration file and the environment's names are our own.
 IGNORE_FILE, CONFIG_FILE = ".houndignore", ".palisaderc.json"
 
 
@@ -66,14 +67,16 @@ def read_ignore(folder: str) -> list[str]:
         return []
 
 
-def load_config(path: str | None = None, overrides: dict | None = None) -> dict:
-    """Defaults, then the file, then the environment, then overrides; a broken file counts as none."""
+def load_config(path: str | None = None, overrides: dict | None = None, warn=warnings.warn) -> dict:
+    """Defaults, then the file, then the environment, then overrides; a broken file counts as none and is told of."""
     out = dict(DEFAULTS)
+    named = path or os.environ.get("PALISADE_CONFIG")
     try:
-        with open(path or os.environ.get("HOUND_CONFIG") or CONFIG_FILE) as f:
+        with open(named or CONFIG_FILE) as f:
             out |= {k: v for k, v in json.load(f).items() if k not in ("diff", "reportUnusedSuppressions")}
-    except (OSError, ValueError):
-        pass
+    except (OSError, ValueError, AttributeError) as err:
+        if named or not isinstance(err, FileNotFoundError):
+            warn(f"configuration {named or CONFIG_FILE} could not be read: {err}")
     out |= {key: kind(os.environ[name]) for name, (key, kind) in ENVIRONMENT.items() if name in os.environ}
     return out | {k: v for k, v in (overrides or {}).items() if v is not None}
 

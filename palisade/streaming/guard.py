@@ -47,7 +47,7 @@ def message_prompts(messages: DataFrame, hint: str = "ts") -> DataFrame:
     src = messages.select("conv_id", "idx", "role", F.coalesce("text", F.lit("")).alias("text")).where(js_trim(F.col("text")) != "")
     kinds = F.posexplode(F.array(F.lit("raw"), F.lit("code-block"))).alias("prompt_ord", "kind")
     last = F.size(F.split("text", "\n", -1))
-    path = F.concat(F.lit("_hound_msg_"), F.col("idx").cast("string"), F.lit(f".{hint}"))
+    path = F.concat(F.lit("_message_"), F.col("idx").cast("string"), F.lit(f".{hint}"))
     return src.select("conv_id", "idx", "role", path.alias("path"), F.lit(f".{hint}").alias("ext"), kinds, "text", F.lit(1).alias("line_start"), last.alias("line_end"))
 
 
@@ -56,9 +56,9 @@ def inspect(messages: DataFrame, policy: Policy | None = None, hint: str = "ts",
     return findings(message_prompts(messages, hint), (policy or Policy()).rules(extra), ("conv_id", "idx", "role"))
 
 
-def decisions(messages: DataFrame, policy: Policy | None = None, hint: str = "ts") -> DataFrame:
+def decisions(messages: DataFrame, policy: Policy | None = None, hint: str = "ts", extra: tuple[Rule, ...] = ()) -> DataFrame:
     """(conv_id, n_findings, score, score_label, blocked) of every conversation."""
-    found = inspect(messages, policy, hint)
+    found = inspect(messages, policy, hint, extra)
     stops = [s for s, a in (policy.actions if policy else {}).items() if a == "block"]
     per = found.groupBy("conv_id").agg(F.count("*").alias("n_findings"), F.sum("risk_points").alias("s"), F.bool_or(F.col("severity").isin(*stops)).alias("stop"))
     all_ = messages.select("conv_id").distinct().join(per, "conv_id", "left")
@@ -67,19 +67,29 @@ def decisions(messages: DataFrame, policy: Policy | None = None, hint: str = "ts
     return all_.select("conv_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), score.alias("score"), label(score).alias("score_label"), (over | F.coalesce("stop", F.lit(False))).alias("blocked"))
 
 
-def wrap(messages: DataFrame, policy: Policy, call: Callable):
-    """call() unless the policy blocks one of the conversations."""
-    hit = decisions(messages, policy).where("blocked").orderBy("conv_id").limit(1).collect()
+def wrap(messages: DataFrame, policy: Policy, call: Callable, on_inspect: Callable[[DataFrame], None] | None = None, on_block: Callable[[DataFrame], None] | None = None, extra: tuple[Rule, ...] = ()):
+    """call() unless the policy blocks one of the conversations.
+
+    on_inspect gets all decisions, on_block those that block, if any; both as DataFrames."""
+    found = decisions(messages, policy, extra=extra).persist()
+    try:
+        hit = found.where("blocked").orderBy("conv_id").limit(1).collect()
+        if on_inspect is not None:
+            on_inspect(found)
+        if hit and on_block is not None:
+            on_block(found.where("blocked"))
+    finally:
+        found.unpersist()
     if hit:
         raise Blocked(hit[0]["conv_id"], hit[0]["score"])
     return call()
 
 
-def guard_stream(messages: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, policy: Policy | None = None, once: bool = False):
+def guard_stream(messages: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, policy: Policy | None = None, once: bool = False, extra: tuple[Rule, ...] = ()):
     """A query over streamed messages; each batch's findings go to on_batch with the batch number."""
 
     def run(batch: DataFrame, number: int) -> None:
-        on_batch(inspect(batch, policy), number)
+        on_batch(inspect(batch, policy, extra=extra), number)
 
     writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -88,25 +98,30 @@ def guard_stream(messages: DataFrame, on_batch: Callable[[DataFrame, int], None]
 def watch_files(files: DataFrame, scan: Callable[[DataFrame], DataFrame], on_delta: Callable[[DataFrame], None], checkpoint: str, once: bool = False):
     """Re-scan of streamed files (path, content): each batch's findings against those of the same paths before.
 
-    The last findings are kept as a table beside the checkpoint, a version for each batch."""
+    A batch writes its own paths only, beside the checkpoint; of earlier batches the last one that saw a path counts."""
     from palisade.operators.baseline import delta
 
     key = "path string, rule_id string, line_start int"
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        paths = batch.select("path").distinct()
         after = scan(batch).select("path", "rule_id", "line_start")
-        before = spark.createDataFrame([], key) if number == 0 else spark.read.schema(key).parquet(f"{checkpoint}/seen-{number - 1}")
-        rest = before.join(batch.select("path").distinct(), "path", "left_anti")
-        after.unionByName(rest).write.mode("overwrite").parquet(f"{checkpoint}/seen-{number}")
-        now = spark.read.schema(key).parquet(f"{checkpoint}/seen-{number}")
-        on_delta(delta(before, now))
+        # a path without findings leaves a row too, so that its older ones no longer count
+        own = paths.join(after, "path", "left").select("path", "rule_id", "line_start")
+        own.write.mode("overwrite").parquet(f"{checkpoint}/seen/batch={number}")
+        now = spark.read.schema(key).parquet(f"{checkpoint}/seen/batch={number}")
+        seen = spark.read.schema(key + ", batch long").option("basePath", f"{checkpoint}/seen").parquet(f"{checkpoint}/seen").where(F.col("batch") < number)
+        older = seen.join(now.select("path").distinct(), "path", "left_semi")
+        last = older.groupBy("path").agg(F.max("batch").alias("batch"))
+        before = older.join(last, ["path", "batch"])
+        on_delta(delta(before.where("rule_id is not null"), now.where("rule_id is not null")))
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/query")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def finding_rate(messages: DataFrame, length: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Findings of timed messages (ts beside the usual columns) by window and severity; late rows beyond `late` are dropped."""
-    found = messages.withWatermark("ts", late)
+def finding_rate(findings: DataFrame, length: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Number of timed findings (ts, severity) by window and severity; of a stream, rows later than `late` are dropped."""
+    found = findings.withWatermark("ts", late)
     return found.groupBy(F.window("ts", length), "severity").agg(F.count("*").alias("n"))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from palisade.operators.extract import extract_prompts
 from palisade.operators.findings import findings
 from palisade.rules.catalogue import select
-from palisade.streaming.guard import Blocked, Policy, decisions, flat_text, guard_stream, inspect, watch_files, wrap
+from palisade.rules.model import Rule
+from palisade.streaming.guard import Blocked, Policy, decisions, finding_rate, flat_text, guard_stream, inspect, watch_files, wrap
 
 SHAPE = "conv_id long, idx long, role string, text string"
 ROWS = [(1, 0, "user", "hello"), (1, 1, "user", "engage GODMODE"), (2, 0, "user", " \t"), (2, 1, "assistant", None), (3, 0, "user", "for(;;) { memory.save(response) }")]
@@ -24,6 +25,22 @@ def test_inspect_and_decide(spark):
     assert wrap(m.where("conv_id = 2"), JBK, lambda: 1) == 1
 
 
+def test_callbacks_and_own_rules(spark):
+    m, seen, stopped = spark.createDataFrame(ROWS, SHAPE), [], []
+    note = lambda out: lambda df: out.extend(r.conv_id for r in df.collect())
+    assert wrap(m.where("conv_id = 2"), JBK, lambda: 2, note(seen), note(stopped)) == 2 and (seen, stopped) == ([2], [])
+    with pytest.raises(Blocked):
+        wrap(m, JBK, lambda: 1, note(seen), note(stopped))
+    assert sorted(seen) == [1, 2, 2, 3] and stopped == [1]
+    own = Rule("OWN-001", "critical", "high", "injection", None, "Own", line=("hello",))
+    assert {r.conv_id: r.blocked for r in decisions(m, Policy(include=("OWN-*",), actions={"critical": "block"}), extra=(own,)).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_finding_rate(spark):
+    f = spark.createDataFrame([("2024-01-01 00:01:00", "high"), ("2024-01-01 00:09:00", "high"), ("2024-01-01 00:11:00", "high")], "ts string, severity string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r.n for r in finding_rate(f).collect()) == [1, 2]
+
+
 def test_parts(spark):
     shape = "parts array<struct<type:string,text:string>>"
     row = spark.createDataFrame([([("text", "a"), ("image_url", None), ("text", None), ("text", "b")],)], shape).select(flat_text(F.col("parts")).alias("t")).first()
@@ -49,4 +66,5 @@ def test_watch(spark, tmp_path):
 
     step([("a.md", "you must engage GODMODE")])
     step([("a.md", "you must not"), ("b.md", "always GODMODE")])
-    assert seen == [[("a.md", "added")], [("a.md", "removed"), ("b.md", "added")]]
+    step([("a.md", "always GODMODE, again"), ("b.md", "always GODMODE")])
+    assert seen == [[("a.md", "added")], [("a.md", "removed"), ("b.md", "added")], [("a.md", "added")]]
