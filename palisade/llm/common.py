@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.let import let
+from palisade.sinks.tables import shared_dir, written
 
 #: One word: anything but ASCII white space (Java and Python read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-palisade-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh temporary one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor goes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palisade/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_uneven(rows: DataFrame, per_key: DataFrame, key: str, hot: int) -> DataFrame:
     """rows joined with per_key, which has one row a key and in column `n` how many of rows have it.
 
