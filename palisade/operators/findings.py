@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.regexes import has
 from palisade.rules.catalogue import FAMILIES, RULES
-from palisade.rules.model import MATCH, Prompt, Rule, compile_rule
+from palisade.rules.model import MATCH, Prompt, Rule, compile_rule, holds
 
 #: What softens a finding, its reduction in per cent, the rule prefixes it applies to.
 MITIGATIONS = (
@@ -27,11 +27,14 @@ def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFra
     return spark.createDataFrame(rows, "rule_ord int, rule_id string, prefix string, title string, severity string, confidence string, category string, mitre string, remediation string, base_points int")
 
 
-def mitigations(text: Column) -> dict[str, Column]:
-    """Reduction in per cent for each rule prefix that has one."""
+def mitigations(text: Column, low: Column) -> dict[str, Column]:
+    """Reduction in per cent for each rule prefix that has one; low is the text in lower case."""
     out: dict[str, Column] = {}
     for regex, percent, prefixes in MITIGATIONS:
-        part = F.when(has(text, regex), F.lit(percent)).otherwise(F.lit(0))
+        met = has(text, regex)
+        if (near := holds(low, (regex,))) is not None:
+            met = near & met
+        part = F.when(met, F.lit(percent)).otherwise(F.lit(0))
         for p in prefixes:
             out[p] = out[p] + part if p in out else part
     return out
@@ -61,11 +64,14 @@ def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple
     plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()))
     app = prompts.sparkSession.sparkContext.applicationId
     columns = [_column(app, family) for family in (*families, plugged) if family]
-    soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text")).items()), strict=True)))
-    # a projection for each family keeps the expressions small; the arrays meet in one explode
-    wide = df.select(*own, soft.alias("soft"), *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
-    found = F.concat(*[F.col(f"__f{i}") for i in range(len(columns))]) if columns else F.array().cast(MATCH)
-    return wide.select(*own, "soft", F.inline(found))
+    # an expression for each family; the arrays meet in one explode
+    wide = df.select(*own, "text", "low", *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
+    found = wide.select(*own, "text", "low", (F.concat(*[F.col(f"__f{i}") for i in range(len(columns))]) if columns else F.array().cast(MATCH)).alias("__found"))
+    # what softens a finding is looked for only where there is one
+    soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text"), F.col("low")).items()), strict=True)))
+    told = found.select(*own, F.when(F.size("__found") > 0, soft).alias("soft"), "__found")
+    # the outer form, as for the other one the optimiser infers a filter that runs every rule once more
+    return told.select(*own, "soft", F.inline_outer("__found")).where("rule_id is not null")
 
 
 def first_of_duplicates(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
