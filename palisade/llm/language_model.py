@@ -42,7 +42,7 @@ VOCABULARY, GROWTH, RARE = 4, 0.4, 32
 CONTEXT, SIZE = 6, 32
 #: Noise samples that a batch shares for the first factor, and of each position for the second.
 NOISE, OWN_NOISE = 64, 2
-BATCH, RUN, STEP, EPOCHS = 2048, 64, 0.15, 2
+BATCH, RUN, STEP, EPOCHS = 4096, 64, 0.2, 2
 #: The start's texts: about so many tokens, characters of a text, and bytes at most.
 WARM_TOKENS, WARM_TEXT, WARM_BYTES = 400_000, 1 << 16, 4 << 20
 #: Parameters sent to be averaged, as a part of the texts' bytes; floats of a block; tasks averaged at a time.
