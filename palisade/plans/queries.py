@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from palisade.functions.normalise import FOLD_FROM, FOLD_TO, normalised, vowels_folded
 from palisade.functions.regexes import P, to_re2
+from palisade.functions.sql import quoted
 from palisade.operators import baseline as base
-from palisade.operators.extract import PROMPT_KEY, STRUCTURED_LINES, extract_prompts
+from palisade.operators.extract import CHAT_LINES, OBJECT_LINES, PROMPT_KEY, ROLE_CONTENT, STRUCTURED_LINES, extract_prompts
 from palisade.operators.findings import findings
 from palisade.operators.scoring import capped, file_scores, first_files, label, repo_result
 from palisade.operators.suppress import directives, marks_of, suppressor, unused
-from palisade.plans.oracle import expressible, findings_sql, quoted
+from palisade.plans.oracle import expressible, findings_sql, in_sql
 from palisade.plans.payloads import PAYLOADS
 from palisade.plans.scan import scan
 from palisade.rules.catalogue import FAMILIES, preset_patterns, select
@@ -72,8 +73,8 @@ def detect(family: str, told: bool):
     return query
 
 
-def detect_sql(family: str) -> str:
-    return findings_sql(slots_of(family), _rules((family,), True)) + "select doc_id, rule_id, cast(line_start as bigint) as line_start, cast(risk_points as bigint) as risk_points from f"
+def detect_sql(family: str, told: bool = True) -> str:
+    return findings_sql(slots_of(family), _rules((family,), told), front=family == "skills" and not told) + "select doc_id, rule_id, cast(line_start as bigint) as line_start, cast(risk_points as bigint) as risk_points from f"
 
 
 def hits_by_severity(spark, sf_dir):
@@ -268,6 +269,15 @@ def full_scan(spark, sf_dir):
     return scan(files).kept.groupBy("rule_id", "kind").agg(F.count("*").alias("n"), F.sum("risk_points").alias("points"))
 
 
+def quality_by_file(spark, sf_dir):
+    """File-level figures against the seeds: documents without a rule's text ought to have no finding."""
+    slots = slots_of(*MAIN)
+    want = F.element_at(F.array(*[F.lit(s[0]) for s in slots]), (F.col("doc_id") % len(slots) + 1).cast("int"))
+    ids = [r.id for r in _MAIN_RULES]
+    docs = seeded(spark, sf_dir, slots).select("path", want.alias("rule_id"))
+    return base.file_quality(docs.select("path", (~F.col("rule_id").isin(*ids)).alias("is_safe")), docs.where(F.col("rule_id").isin(*ids)), _main(spark, sf_dir))
+
+
 def _text_findings(table, key, kind):
     """Findings of the wording rules in a table of texts as it is."""
 
@@ -302,7 +312,7 @@ def queries() -> dict:
         "normalise_vowels": vowels, "normalise_all": all_normalised, "extract_structured": structured, "extract_code": code_prompts,
         "suppressed": suppressed, "unused_directives": unused_directives, "baseline_new": baseline_new, "baseline_resolved": baseline_resolved,
         "baseline_score": baseline_score, "changed_files": changed_files, "max_findings": limited_files, "rule_filter": by_prefix, "min_confidence": by_confidence,
-        "preset_rules": by_preset, "rule_quality": quality_by_rule, "rescan_delta": rescan_delta, "severity_cube": severity_cube, "riskiest_sources": riskiest,
+        "preset_rules": by_preset, "rule_quality": quality_by_rule, "file_quality": quality_by_file, "rescan_delta": rescan_delta, "severity_cube": severity_cube, "riskiest_sources": riskiest,
         "guard_decisions": guard_decisions, "guard_roles": guard_roles, "guard_all_rules": guard_all_rules, "event_windows": event_windows,
         "scan_pages": _pages, "scan_benchmark": _items, "full_scan": full_scan,
     }
@@ -313,6 +323,7 @@ _LABEL = "case when {0} < 30 then 'low' when {0} < 60 then 'medium' when {0} < 8
 
 def oracle_sql() -> dict[str, str]:
     out = {f"detect_{f}": detect_sql(f) for f in FAMILIES if _rules((f,), True)}
+    out |= {f"detect_{f}_more": detect_sql(f, False) for f in FAMILIES if (rest := _rules((f,), False)) and all(map(in_sql, rest))}
     n = "count(*)::bigint as n"
     score = "least(100, coalesce(sum(risk_points), 0))::bigint"
     old = "o as (select path, rule_id from f where doc_id % 3 <> 0 union all select distinct path, 'OLD-001' from f where doc_id % 5 = 0)"
@@ -342,6 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "mitigated_points": _MAIN_SQL + f"select rule_id, risk_points::bigint as risk_points, {n} from f where category = 'jailbreak' group by all",
         "normalise_vowels": f"select doc_id, md5(translate(text, {quoted(FOLD_FROM)}, {quoted(FOLD_TO)})) as folded_md5 from documents",
         "extract_structured": f"with s as (select doc_id || '.yaml' as path, string_split(text || {quoted(_KEYED)}, chr(10)) as lines from documents), x as (select *, unnest(range(1, len(lines) + 1)) as i from s) select path, i::bigint as line_start, least(i + {STRUCTURED_LINES - 1}, len(lines))::bigint as line_end, 'object-field' as kind from x where regexp_matches(lines[i], {quoted(to_re2(P(PROMPT_KEY)))})",
+        # the documents' own texts hold no back-tick, so the one template is the added text's
+        "extract_code": f"with s as (select string_split(text || {quoted(_CODE)}, chr(10)) as lines from documents), x as (select lines[i] as line, i, len(lines) as size from (select lines, unnest(range(1, len(lines) + 1)) as i from s)), p as (select 'chat-message' as kind, least(i + {CHAT_LINES - 1}, size) - i as size from x where regexp_matches(line, {quoted(to_re2(P(ROLE_CONTENT)))}) union all select 'object-field', least(i + {OBJECT_LINES - 1}, size) - i from x where regexp_matches(line, {quoted(to_re2(P(PROMPT_KEY)))}) and not regexp_matches(line, {quoted(to_re2(P(ROLE_CONTENT)))}) union all select 'template-string', 1 from x where i = 1 union all select 'code-block', size - 1 from x where i = 1) select kind, {n}, sum(size)::bigint as lines from p group by kind",
         "suppressed": sup + f"select rule_id, silenced, {n} from j group by all",
         "unused_directives": f"with d as (select doc_id, source || '/' || doc_id || '.md' as path, len(string_split(text || chr(10) || {silenced}, chr(10))) as n_lines from documents) select path, (n_lines - 1)::bigint as line, 'disable-line' as kind from d where doc_id % {len(_SILENCED)} = 3",
         "baseline_new": _MAIN_SQL + f", {old} select path, rule_id, line_start::bigint as line_start from f where not exists (select 1 from o where o.path = f.path and o.rule_id = f.rule_id)",
@@ -353,6 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "min_confidence": _MAIN_SQL + f"select rule_id, {n} from f where confidence = 'high' group by rule_id",
         "preset_rules": _MAIN_SQL + f"select rule_id, {n} from f where rule_id like 'JBK-%' group by rule_id",
         "rule_quality": _MAIN_SQL + f", e as (select path, {want} as rule_id from d), e2 as (select path, rule_id, 1 as e from e where rule_id in ({picked(_MAIN_RULES)})), g as (select distinct path, rule_id, 1 as f from f), w as (select rule_id, count_if(e is not null and f is not null)::bigint as tp, count_if(e is null)::bigint as fp, count_if(f is null)::bigint as fn from e2 full outer join g using (path, rule_id) group by rule_id) select *, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall from w",
+        "file_quality": _MAIN_SQL + f", e as (select path, {want} as rule_id from d), k as (select path, rule_id, rule_id in ({picked(_MAIN_RULES)}) as told from e), g as (select distinct path, rule_id from f), w as (select (select count(*) from k where not told) as safe_files, (select count(*) from k where not told and path in (select path from g)) as safe_fp_files, (select count(*) from k where told) as expected_findings, (select count(*) from k join g using (path, rule_id) where told) as detected_findings) select *, case when safe_files > 0 then round(100 * safe_fp_files / safe_files, 1) else 0.0::double end as fp_rate, case when expected_findings > 0 then round(100 * detected_findings / expected_findings, 1) else 0.0::double end as detection_rate, safe_fp_files = 0 and detected_findings = expected_findings as passed from w",
         "rescan_delta": _MAIN_SQL + ", a as (select distinct path, rule_id, line_start, doc_id from f) select path, rule_id, line_start::bigint as line_start, case when doc_id % 7 = 0 then 'added' else 'removed' end as change from a where doc_id % 7 in (0, 1)",
         "severity_cube": _MAIN_SQL + f"select severity, category, {n}, sum(risk_points)::bigint as points from f group by cube (severity, category)",
         "riskiest_sources": _MAIN_SQL + ", q as (select source, sum(risk_points)::bigint as points from f group by source), w as (select *, rank() over (order by points desc)::int as place from q) select * from w where place <= 5",
