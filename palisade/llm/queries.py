@@ -78,8 +78,20 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, lambda c: c % 20 == 0)
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op10 by themselves: they are what SQL can tell."""
+    return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op3 by themselves: they are what SQL can tell."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict:
     return {
+        "quality_base": quality_base,
+        "secret_counts": secret_counts,
         "op1_lm_scores": op1_lm_scores,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
@@ -104,6 +116,25 @@ select doc_id, count(*)::bigint as n_lines, count_if(gone)::bigint as n_dropped,
 from m group by doc_id
 """
 
+_QUALITY = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from d),
+g as (select r, i, array_to_string(words[i:i + 4], ' ') as g from (select r, words, unnest(range(1, len(words) - 3)) as i from w)),
+p as (select r, i from (select *, count(*) over (partition by r, g) as n from g) where n > 1),
+c as (select r, count(distinct i + k) as n from (select r, i, unnest(range(5)) as k from p) group by r),
+l as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+m as (select doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words from d join w using (r) left join l using (r) left join c using (r))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m
+"""
+
+_SECRETS = r"""
+select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::bigint as n_assign,
+len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint as n_access,
+len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex from documents
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others rest on hashes or models that SQL does not have, or (op9) are too slow in it; tests hold them against brute force."""
-    return {"op8_line_dedup": _LINES}
+    return {"op8_line_dedup": _LINES, "quality_base": _QUALITY, "secret_counts": _SECRETS}
