@@ -176,20 +176,20 @@ def find_secrets(docs: DataFrame, rules=RULES, broadcast_bytes: int = BROADCAST_
     plan = index_plan(rules)
     cand = written(candidates(postings(docs, plan), plan).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("rules").alias("__rules")), "candidates")
     cand = F.broadcast(cand) if cand.count() * ENTRY_BYTES <= broadcast_bytes else cand.hint("shuffle_hash")
-    df = docs.withColumn("__text", whole_text(docs))
-    df = df.join(cand, docs["doc_id"].eqNullSafe(cand["__id"]) & (F.xxhash64("__text") == cand["__mark"]), "left").drop("__id", "__mark")
+    text = whole_text(docs)
+    df = docs.join(cand, docs["doc_id"].eqNullSafe(cand["__id"]) & (F.xxhash64(text) == cand["__mark"]), "left").drop("__id", "__mark")
     none = F.array().cast("array<struct<s:int,e:int>>")
     parts = []
     for k, rule in enumerate(rules):
-        found = match_spans(F.col("__text"), rule)
+        found = match_spans(text, rule)
         if plan.clauses[k] is not None:
             found = F.when(F.col("__rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, found).otherwise(none)
         elif rule.group == 0 and rule.least > 1 and rule.regex.endswith("+"):
             # a cheap test whether a long enough match can be there at all
-            found = F.when(F.col("__text").rlike(rule.regex[:-1] + "{%d}" % rule.least), found).otherwise(none)
+            found = F.when(text.rlike(rule.regex[:-1] + "{%d}" % rule.least), found).otherwise(none)
         number = F.lit(k)
         parts.append(F.transform(found, lambda x: F.struct(x["s"].alias("s"), number.alias("k"), x["e"].alias("e"))))
-    return df.withColumn("__spans", F.sort_array(F.concat(*parts))).drop("__rules", "__text")
+    return df.withColumn("__spans", F.sort_array(F.concat(*parts))).drop("__rules")
 
 
 def spans_text(spans: Column, rules=RULES) -> Column:
