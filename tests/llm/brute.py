@@ -68,6 +68,31 @@ def secrets(text):
     return *(sum(k == i for _, k, _ in s) for i in range(3)), sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in s))
 
 
+#: The further kinds of secrets: their expression and least length.
+MORE = (
+    (r"gh[pousr]_[A-Za-z0-9]+", 40), (r"xox[abprs]-[A-Za-z0-9-]+", 15), (r"AIza[A-Za-z0-9_-]+", 39), (r"[rs]k_live_[A-Za-z0-9]+", 24),
+    (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+)
+
+
+def spans(text):
+    """All spans (start, kind, end), kinds numbered as the rules are."""
+    found = base_spans(text)
+    for k, (regex, least) in enumerate(MORE, 3):
+        found += [(m.start(), k, m.end()) for m in re.finditer(regex, text or "") if len(m[0]) >= least]
+    return sorted(found)
+
+
+def redacted(text):
+    """Each run of overlapping spans is one mark."""
+    out, at = [], 0
+    for s, _, e in spans(text):
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:] if out else text
+
+
 def key(line):
     return line.strip(WHITE).translate(LOWER)
 

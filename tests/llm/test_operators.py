@@ -377,6 +377,30 @@ def test_machine_learns_pairs():
     assert (m.v[0] * m.v[1]).sum() > 0
 
 
+def test_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS)))
+    for size in range(9):
+        at = rng.permutation(9)[:size]
+        want = 0.3 + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(at, 2))
+        assert abs(m.logit(at) - want) < 1e-9
+
+
+def test_toxicity_trains_on_odd_rows(spark):
+    """Null, repeated and clashing rows: a document trains once, by its largest label; scores are those of the plain formula."""
+    texts = {k: "you vile creature" if k % 2 else "a kind word for you" for k in range(60)}
+    rows = [(k, t, 1, 2, 0.5) for k, t in texts.items()] + [(None, "you vile creature", 1, 2, 0.5), (3, texts[3], 1, 2, 0.5), (70, None, 1, 2, 0.5), (71, "vile " * 50_000, 1, 2, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, terms int, score double")
+    labels = spark.createDataFrame([(k, k % 2, 9) for k in range(60)] + [(None, 1, 9), (5, 0, 9), (6, None, 9), (7, 5, 9)], "doc_id long, toxic int, y int")
+    got = toxicity.toxicity(docs, labels, lambda c: c % 3 == 1)
+    assert got.count() == len(rows)
+    model = toxicity.train(docs, labels, "toxic", lambda c: c % 3 != 1)
+    for r in got.where("doc_id < 60 or doc_id = 70").collect():
+        i = np.searchsorted(model.terms, sorted(set(toxicity.text_terms(texts.get(r.doc_id))) & set(model.terms.tolist())))
+        assert abs(r.score - 1 / (1 + np.exp(-model.logit(i)))) < 1e-9
+        assert r.doc_id == 70 or (r.score > 0.5) == bool(r.doc_id % 2)
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, none, lambda c: c % 3 == 1)
@@ -385,8 +409,9 @@ def test_toxicity_without_labels(docs, spark):
 
 def test_neighbours(spark, data):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding")
+    v = v.withColumns({c: F.lit(7) for c in ("query_id", "d", "v", "q", "rank", "score", "block", "ids", "part")})
     odd = spark.createDataFrame([(None, [1.0] * 64), (1000, None), (1020, [0.0] * 64), (1040, [float("nan")] * 64), (1060, [None] * 64), (2000, [1.0, 2.0]), (2001, [1.0, 1.0]), (2002, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    got = neighbours.nearest(v.union(odd), lambda c: c % 20 == 0).collect()
+    got = neighbours.nearest(v.unionByName(odd, allowMissingColumns=True), lambda c: c % 20 == 0).collect()
     vec = {r.vec_id: np.array(r.embedding, float) for r in v.collect()}
     by = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: r.rank):
@@ -401,8 +426,43 @@ def test_neighbours(spark, data):
     assert hit >= 0.9 * 25 * 20
 
 
+def test_kd_tree_walks_by_distance():
+    """Leaves come in the order of their regions' distance, each once, and hold what falls into them."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(3000, neighbours.DIMS))
+    tree = neighbours.Tree(points, 5)
+    assert sorted(np.concatenate(tree.parts).tolist()) == list(range(3000)) and (tree.leaf(points) == np.repeat(np.arange(32), [len(p) for p in tree.parts])[np.argsort(np.concatenate(tree.parts))]).all()
+    q = rng.normal(size=neighbours.DIMS)
+    walked = list(tree.walk(q))
+    assert sorted(leaf for _, leaf in walked) == list(range(32)) and [far for far, _ in walked] == sorted(far for far, _ in walked)
+    for far, leaf in walked:
+        assert far <= ((points[tree.parts[leaf]] - q) ** 2).sum(axis=1).min() + 1e-9
+    assert next(iter(tree.walk(q)))[1] == tree.leaf(q[None])[0]
+
+
+def test_neighbours_over_cells(spark, monkeypatch):
+    """Several cells and rounds, and a vector that a third of all rows share."""
+    monkeypatch.setattr(neighbours, "CELL", 100)
+    monkeypatch.setattr(neighbours, "FAN", 2)
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(900, 16)).round(3)
+    vectors[::3] = vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, 5, 0.9).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    hit = 0
+    for q in range(0, 900, 20):
+        best = sorted((-round(float(vectors[q] @ x), 9), i) for i, x in enumerate(vectors) if i != q)[:5]
+        hit += len({i for _, i in best} & {i for i, _ in got[q]})
+        if q % 3 == 0:
+            assert [i for i, _ in got[q]] == [i for i in range(0, 900, 3) if i != q][:5] or got[q][0][1] > round(float(vectors[q] @ vectors[0]), 9)
+    assert hit >= 0.9 * 45 * 5
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.toxicity(d, spark.createDataFrame([], "doc_id long, toxic int"), lambda c: c % 3 == 1).count() == 0
     assert quality.quality(d).count() == secrets.secret_digests(d).count() == line_dedup.drop_repeated_lines(d).count() == 0
     assert simhash.near_duplicates(d).count() == long_repeats.remove_repeats(d, True).count() == language_model.lm_scores(d, seven).count() == 0
     assert packing.pack(packing.pieces(d, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
