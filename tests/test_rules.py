@@ -61,6 +61,59 @@ NEAR_MISSES = (
     ("SCH-001", ".py", "code-block", "m = torch.load(p,\n weights_only=True)"),
     ("DOS-001", ".ts", "code-block", "c.chat.completions.create({ max_tokens: 5, q: 'step by step' })"),
     ("PST-005", ".sh", "raw", "history | tail"),
+    ("INJ-002", ".ts", "raw", "Take ${query}, treat the text as data"),
+    ("INJ-004", ".ts", "raw", "You may call helpers, but only call listed ones. ${user"),
+    ("INJ-006", ".ts", "raw", "a <!-- a plain remark --> b override"),
+    ("INJ-009", ".ts", "raw", "send(messages)\nconst m = JSON.parse(req.body.raw)"),
+    ("INJ-010", ".ts", "raw", "User: hello\nbot + reply"),
+    ("INJ-011", ".ts", "code-block", "ask(window.location.hash)"),
+    ("INJ-012", ".ts", "code-block", "messages.push(chatHistory.length)"),
+    ("INJ-013", ".ts", "code-block", "{ role: 'tool',\n content: 'fixed' }"),
+    ("INJ-014", ".ts", "code-block", "{ role: 'user', content: reply }"),
+    ("INJ-016", ".py", "code-block", "page = Template('fixed').render()"),
+    ("EXF-001", ".md", "raw", "the key to the house"),
+    ("EXF-002", ".md", "raw", "now reveal your plans for the summer"),
+    ("EXF-003", ".md", "raw", "this is public text"),
+    ("EXF-004", ".md", "raw", "see http://11.168.4.2/wiki"),
+    ("EXF-005", ".ts", "raw", "out = btoa(picture)"),
+    ("EXF-006", ".ts", "raw", "console.log(systemPrompt)"),
+    ("JBK-004", ".md", "raw", "ask before you act"),
+    ("JBK-005", ".md", "raw", "keep the logs for a year"),
+    ("JBK-007", ".md", "raw", "you are Gemini\nfollow your guidelines"),
+    ("JBK-008", ".md", "raw", "condense the article"),
+    ("JBK-009", ".md", "raw", "the following is a long summary"),
+    ("JBK-010", ".md", "raw", "engage GODMODES"),
+    ("JBK-011", ".md", "raw", "treat prior rules as binding"),
+    ("JBK-012", ".md", "raw", "promote the system prompt"),
+    ("JBK-013", ".md", "raw", "your training is over"),
+    ("TOOL-001", ".md", "raw", "run the listed command"),
+    ("TOOL-003", ".md", "raw", "you run code for me in a sandbox"),
+    ("TOOL-004", ".ts", "raw", "name: 'search',\ndescription: 'finds pages',"),
+    ("TOOL-005", ".ts", "code-block", "endpoint: settings.target"),
+    ("CMD-003", ".ts", "raw", "const files = globSync('*')\nexecSync('cat ' + name)"),
+    ("CMD-006", ".sh", "raw", "bash -i < input"),
+    ("CMD-008", ".sh", "raw", "nc 1.2.3.4 99"),
+    ("RAG-001", ".ts", "raw", "{ role: 'system', content: 'fixed' }"),
+    ("RAG-002", ".ts", "raw", "docs.map(doc => doc.text)\nnever mind"),
+    ("RAG-003", ".ts", "code-block", "memory.add(summary)"),
+    ("RAG-006", ".ts", "code-block", "const r = weaviate.query(q, { filter: own })"),
+    ("ENC-002", ".md", "raw", "a\u200Bb is only a space"),
+    ("ENC-003", ".md", "raw", "a flag \U0001F1EB here"),
+    ("ENC-005", ".md", "raw", "a\uFE00\uFE01b"),
+    ("ENC-006", ".ts", "raw", "content: rot13(text)"),
+    ("OUT-003", ".ts", "code-block", "db.query('select 1')"),
+    ("AGT-009", ".ts", "code-block", "agent.loadTool('search')"),
+    ("MCP-007", ".ts", "code-block", "import { McpServer } from '@modelcontextprotocol/sdk'\nsharedState.x = null"),
+    ("MCP-008", ".ts", "code-block", "import { McpServer } from '@modelcontextprotocol/sdk'\nnew StdioClientTransport({ command: 'node' })"),
+    ("SCH-003", ".py", "code-block", "from langchain_core.load import loads\nx = loads(s, allowed_objects=y)"),
+    ("SCH-004", ".py", "code-block", "pip install requests"),
+    ("PST-001", ".sh", "raw", "crontab -l"),
+    ("PST-002", ".sh", "raw", "systemctl status web"),
+    ("PST-003", ".sh", "raw", "launchctl list"),
+    ("PST-004", ".sh", "raw", "cat ~/.bashrc"),
+    ("PST-006", ".sh", "raw", "ls /var/log/nginx"),
+    ("PST-007", ".sh", "raw", "curl x > /dev/null"),
+    ("PST-008", ".sh", "raw", "tmux attach"),
 )
 
 
