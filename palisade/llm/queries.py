@@ -78,6 +78,25 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, lambda c: c % 20 == 0)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.sharding import placements
+
+    out = placements(_documents(spark, sf_dir), 16)
+    return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.periodic_runs import run_digests
+
+    return run_digests(_documents(spark, sf_dir))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.divergence import divergence
+
+    return divergence(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures of op10 by themselves: they are what SQL can tell."""
     return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -102,6 +121,9 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_long_repeats": op9_long_repeats,
         "op10_quality": op10_quality,
+        "op11_sharding": op11_sharding,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -134,7 +156,58 @@ len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda
 len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex from documents
 """
 
+# CRC-32 over bytes given in hexadecimal, by the table of the 256 bytes' remainders
+_BYTES = "tab as (select list(list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), i) order by i) as tab from range(256) as z(i))"
+_CRC = """xor(4294967295, list_reduce(list_transform(range(length({0}) // 2), lambda i: ('0x' || substr({0}, (2 * i + 1)::int, 2))::bigint),
+lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::bigint))"""
+
+_SHARDS = f"""
+with recursive {_BYTES}, d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+s as (select r, doc_id, length(x) // 2 + 1 as size, {_CRC.format("x")} as text_crc32 from d, tab),
+j as (select r, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 16))::ubigint as k, 0::bigint as j from d
+union all select r, n::ubigint, floor((j + 1) * (2147483648.0::double / ((n >> 33) + 1)::double))::bigint from (select r, j, (k::uhugeint * 2862933555777941757 + 1) % 18446744073709551616 as n from j where j < 17)),
+p as (select r, max(j) filter (where j < 16)::int as shard, max(j) filter (where j < 17)::int as grown_shard from j group by r)
+select doc_id, size::bigint as size, text_crc32, 'key' as law, shard, grown_shard,
+row_number() over (partition by shard order by substr(md5(coalesce(doc_id::varchar, '') || ':' || text_crc32 || ':' || size), 1, 16), doc_id nulls first, text_crc32, size) - 1 as slot
+from s join p using (r)
+"""
+
+_RUNS = rf"""
+with {_BYTES}, d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as o, {_CRC.format("hex(encode(coalesce(doc_id::varchar, '')))")} as h from documents, tab),
+e as (select *, len(o) as n, h // 10 as g, doc_id is not null and h % 10 = 0 and len(o) > 0 as planted from d),
+b as (select *, case when planted then g % n end as a from e),
+c as (select *, case when planted then 1 + (n - a) // (3 + g % 8) end as p from b),
+x as (select r, doc_id, case when planted then list_transform(o, lambda w, i: case when i - 1 < a then w else o[a + (i - 1 - a) % p + 1] end) else o end as ws from c),
+w as (select r, unnest(ws) as w, unnest(range(len(ws))) as i from x),
+q as (select l.r, l.i, m.i - l.i as q from w l join w m on l.r = m.r and l.w = m.w and l.i < m.i),
+s as (select r, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by r, q order by i) as island from q) group by r, q, island),
+u as (select r, start, length, min(q) as period from s where length >= greatest(12, 2 * q) group by r, start, length),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from u),
+t as (select w.r, string_agg(w.w, ' ' order by w.i) as kept from w left join gone using (r, i) where gone.i is null group by w.r),
+y as (select r, count(*) as n_runs, first(struct_pack(start, length, period) order by length desc, start, period) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from u group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.start::bigint as start, best.length::bigint as length, best.period::bigint as period, (1000 * best.length // best.period)::bigint as exponent_milli,
+sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from x left join y using (r) left join t using (r)
+"""
+
+_DIVERGENCE = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_DOWN}') as t from documents),
+g as (select distinct lang, source from d),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term from w group by all having count(distinct r) >= 10),
+v as (select lang, count(*) as v from k group by lang),
+c as (select lang, source, term, count(*) as c from w semi join k using (lang, term) group by all),
+n as (select lang, source, coalesce(sum(c), 0)::hugeint as n from g left join c using (lang, source) group by all),
+a as (select g.lang, g.source, k.term, coalesce(c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c, 0) + 2)) // (n + 2 * v) as p
+from g join k using (lang) join n on n.lang = g.lang and n.source = g.source join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+m as (select lang, sum(n)::hugeint as n from n group by lang),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(c)::hugeint + 2)) // (any_value(m.n) + 2 * any_value(v)) as q from a join m using (lang) join v using (lang) group by lang, term),
+f as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(sum(((p.p - o.p) * (p.p - o.p)) // (p.p + o.p)), 0)::bigint as value
+from g x join g y on x.lang = y.lang and x.source <> y.source left join a p on p.lang = x.lang and p.source = x.source left join a o on o.lang = y.lang and o.source = y.source and o.term = p.term group by all),
+t as (select a.lang, source, 'term' as part, a.term as item, ((p - q) * (p - q) // (p + q))::bigint as value from a join q using (lang, term) where c > 0 and p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from f union all select * from t) qualify part = 'pair' or rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on hashes or models that SQL does not have, or (op9) are too slow in it; tests hold them against brute force."""
-    return {"op8_line_dedup": _LINES, "quality_base": _QUALITY, "secret_counts": _SECRETS}
+    return {"op8_line_dedup": _LINES, "quality_base": _QUALITY, "secret_counts": _SECRETS, "op11_sharding": _SHARDS, "op12_periodic_runs": _RUNS, "op13_divergence": _DIVERGENCE}
