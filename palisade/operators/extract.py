@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.normalise import normalised
 from palisade.functions.regexes import has
+from palisade.functions.utf16 import longer
 from palisade.rules.model import is_skill
 
 # Results depend on these patterns and numbers.
@@ -19,7 +20,7 @@ CODE_EXTS = (".ts", ".js", ".tsx", ".jsx", ".py", ".go", ".rs", ".java", ".kt",
 PROMPT_KEY = r"""(?:^|["'])(?:system|prompt|instructions?|messages?|role|content|context|directive)(?:["']|\s*:)"""
 ROLE_CONTENT = r"""\{\s*["']?role["']?\s*:\s*["'][^"']+["']\s*,\s*["']?content["']?\s*:"""
 SYSTEM_PHRASE = r"(?:you are|your (role|task|job|purpose) is|do not|don't|never|always|must|system:|instructions?:|you must|as an? (ai|assistant|bot))"
-RAW_CHARS, STRUCTURED_LINES, OBJECT_LINES, CHAT_LINES, TEMPLATE_LINES = 50, 21, 16, 6, 200
+RAW_UNITS, STRUCTURED_LINES, OBJECT_LINES, CHAT_LINES, TEMPLATE_LINES = 50, 21, 16, 6, 200
 CODE_TRIGGERS = (
     r"""(?:execSync|execFile|spawnSync)\s*\(|(?:exec|spawn)\s*\(\s*[`"']""",
     r"messages\s*(?:\??\.)?\s*push\s*\(\s*\{",
@@ -99,7 +100,7 @@ def prompts_of(path: Column, content: Column, lines: Column, ext: Column) -> Col
     """array<prompt> of one file, in discovery order."""
     none = F.array().cast(PROMPTS)
     whole = lambda kind: F.array(_prompt(content, F.lit(1), F.size(lines), kind))
-    raw = F.when(has(content, SYSTEM_PHRASE) | (F.length(content) > RAW_CHARS), whole("raw")).otherwise(none)
+    raw = F.when(has(content, SYSTEM_PHRASE) | longer(content, RAW_UNITS), whole("raw")).otherwise(none)
     skill = F.when(is_skill(path), whole("code-block")).otherwise(none)
     structured = F.transform(_windows(lines, lambda x: has(x, PROMPT_KEY), STRUCTURED_LINES, "object-field", 0), lambda r: r["p"])
     chat = _windows(lines, lambda x: has(x, ROLE_CONTENT), CHAT_LINES, "chat-message", 1)

@@ -20,6 +20,7 @@ from palisade.operators.extract import CHAT_LINES, OBJECT_LINES, PROMPT_KEY, ROL
 from palisade.operators.findings import findings
 from palisade.operators.scoring import capped, file_scores, first_files, label, repo_result
 from palisade.operators.suppress import directives, marks_of, suppressor, unused
+from palisade.plans import text_queries
 from palisade.plans.oracle import expressible, findings_sql, in_sql
 from palisade.plans.payloads import PAYLOADS
 from palisade.plans.scan import scan
@@ -307,7 +308,7 @@ _items, _items_sql = _text_findings("benchmark", "item_id", "text")
 def queries() -> dict:
     out = {f"detect_{f}": detect(f, True) for f in FAMILIES if _rules((f,), True)}
     out |= {f"detect_{f}_more": detect(f, False) for f in FAMILIES if _rules((f,), False)}
-    return out | {
+    return out | text_queries.queries() | {
         "hits_by_severity": hits_by_severity, "file_scores": scores_by_file, "repo_score": repo, "score_by_source": score_by_source, "mitigated_points": mitigated,
         "normalise_vowels": vowels, "normalise_all": all_normalised, "extract_structured": structured, "extract_code": code_prompts,
         "suppressed": suppressed, "unused_directives": unused_directives, "baseline_new": baseline_new, "baseline_resolved": baseline_resolved,
@@ -345,7 +346,7 @@ def oracle_sql() -> dict[str, str]:
         f"m as ({' union all '.join(_line_sql(r) for r in jbk)}), b as (select m.*, d.path, len(s.lines) as n_lines, doc_id % {len(_SILENCED)} as slot from m join d using (doc_id) join s using (doc_id)), "
         "j as (select *, (slot = 0 and rule_id = 'JBK-011' and line_start = n_lines) or (slot = 1 and line_start = n_lines) or (slot = 2 and rule_id = 'JBK-008' and line_start between n_lines - 3 and n_lines - 1) as silenced from b) "
     )
-    return out | {
+    return out | text_queries.oracle_sql() | {
         "hits_by_severity": _MAIN_SQL + f"select severity, {n}, sum(risk_points)::bigint as points, count(distinct path)::bigint as files from f group by severity",
         "file_scores": _MAIN_SQL + f", q as (select path, sum(risk_points)::bigint as file_score, count(*)::bigint as n_findings from f group by path) select *, {_LABEL.format('file_score')} as score_label from q",
         "repo_score": _MAIN_SQL + f", q as (select path, sum(risk_points) as s, count(*) as n, bool_or(severity = 'critical') as hit from f group by path), w as (select least(100, sum(s))::bigint as repo_score, sum(n)::bigint as n_findings, max(s)::bigint as max_file_score, bool_or(hit) as fail_on_hit, max(s) >= 500 as file_threshold_breached from q) select *, {_LABEL.format('repo_score')} as score_label, repo_score < 60 and not fail_on_hit and not file_threshold_breached as passed from w",

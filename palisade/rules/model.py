@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from palisade.functions.literals import required
 from palisade.functions.regexes import SPACES, P, has
+from palisade.functions.utf16 import prefix
 
 SEVERITIES = {"low": 5, "medium": 15, "high": 30, "critical": 50}
 CONFIDENCES = {"low": 50, "medium": 75, "high": 100}
 CONFIDENCE_ORDER = ("low", "medium", "high")
-EVIDENCE_CHARS = 200
+EVIDENCE_UNITS = 200
 MATCH = "array<struct<rule_id:string,line_start:int,line_end:int,evidence:string>>"
 _TRIM = f"^[{SPACES}]+|[{SPACES}]+\\z"
 
@@ -89,7 +90,7 @@ def js_trim(col: Column) -> Column:
 
 
 def finding(rule_id: str, start: Column, end: Column, evidence: Column) -> Column:
-    return F.struct(F.lit(rule_id).alias("rule_id"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end"), F.substring(evidence, 1, EVIDENCE_CHARS).alias("evidence"))
+    return F.struct(F.lit(rule_id).alias("rule_id"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end"), prefix(evidence, EVIDENCE_UNITS).alias("evidence"))
 
 
 def is_skill(path: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.normalise import FOLD_FROM, FOLD_TO, normalised
 from palisade.functions.regexes import P, to_java, to_re2
+from palisade.functions.utf16 import longer, prefix, suffix, units
 from palisade.operators.extract import extension, extract_prompts
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -65,3 +66,24 @@ def test_extraction(spark):
 def test_extension(spark):
     rows = spark.createDataFrame([("a/b.TS",), (".env",), ("a/.env",), ("x",), ("a.b/c",), ("a.tar.gz",)], "p string").select(extension(F.col("p")).alias("e")).collect()
     assert [r.e for r in rows] == [".ts", "", "", "", "", ".gz"]
+
+
+def test_utf16(spark):
+    """Lengths and cuts as of a language whose strings are UTF-16 units."""
+    texts = ["", "a", "\U0001f600", "ab\U0001f600cd", "\U0001f600" * 30, "é" * 9 + "\U0001d495\uffff", "x" * 50, "x" * 49 + "\U0001f600", "\ue000\U0010ffff\ud7ff"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    raw = lambda t: t.encode("utf-16-le")
+    part = lambda b: b.decode("utf-16-le", errors="ignore")
+    for n in (1, 2, 3, 10, 50, 100):
+        got = df.select("t", units(F.col("t")), longer(F.col("t"), n), prefix(F.col("t"), n), suffix(F.col("t"), n)).collect()
+        for t, size, more, head, tail in got:
+            b = raw(t)
+            end = b[max(0, len(b) - 2 * n) :]
+            # a lone half at the front is no character
+            end = end[2:] if len(end) > 1 and 0xDC <= end[1] <= 0xDF else end
+            assert (size, more, head, tail) == (len(b) // 2, len(b) // 2 > n, part(b[: 2 * n]), part(end)), (t, n)
+
+
+def test_raw_prompts_count_units(spark):
+    rows = [("u.md", "\U0001f600" * 30), ("v.md", "\U0001f600" * 25), ("w.md", "e" * 51), ("x.md", "e" * 50)]
+    assert sorted(r.path for r in extract_prompts(spark.createDataFrame(rows, "path string, content string")).collect()) == ["u.md", "w.md"]
