@@ -1,17 +1,22 @@
-"""Reports. Row formats (jsonl, csv, annotations) are written by Spark; the others are one document of
-all findings, whose ordered rows pass through the driver a partition at a time and are never held whole."""
+"""Reports on findings. What goes to a file is a Document: its text is made of column expressions, sorted and
+written by Spark, and only counts and the rules' metadata come to the driver. The console and workflow commands are printed, row by row.
+
+Findings are unique by path, rule and line, as scans give them. With a column file_score, that is a file's score; else
+the sum of its findings' points is."""
 
 from __future__ import annotations
 
 import html
 import itertools
 import json
-from collections.abc import Iterable, Iterator
-from xml.sax.saxutils import escape, quoteattr
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sinks.documents import Document, collated
+from palisade.sinks.json_text import Maybe, indented, quoted
+
 # Names and levels of the formats.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
 ANNOTATIONS = {"critical": "error", "high": "error", "medium": "warning", "low": "notice"}
@@ -24,6 +29,17 @@ CSV_HEADER = ",".join(CSV_COLUMNS)
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 MITRE_URL = "https://attack.mitre.org/techniques/"
 SEVERITY_ORDER = ("critical", "high", "medium", "low")
+_PLACE = ("path", "line_start", "rule_id")
+
+
+def in_order() -> tuple:
+    """The order of findings."""
+    return *collated(), "line_start", "rule_id"
+
+
+def _sections() -> tuple:
+    """The order of rows in a report: its sections, files, a file's parts, and lines."""
+    return "section", *collated(), "part", "line_start", "rule_id"
 
 
 def finding_struct() -> Column:
@@ -34,116 +50,122 @@ def finding_struct() -> Column:
     )
 
 
-def json_lines(findings: DataFrame) -> DataFrame:
-    """One finding a row as JSON; a missing tag is left out."""
-    return findings.select(F.to_json(finding_struct()).alias("value"))
+def _text(*parts) -> Column:
+    """Strings as they stand, and columns."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def csv_rows(findings: DataFrame) -> DataFrame:
-    """One finding a row, without the header; a missing tag is empty."""
-    f = findings.select(finding_struct().alias("f"))
+def _of(values: dict[str, str], key: str = "severity") -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key))
 
-    def cell(name):
-        text = F.coalesce(F.col(f"f.{name}").cast("string"), F.lit(""))
-        return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    return f.select(F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS.values()]).alias("value"))
+def _row(section: int, part: int, value: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"), value.alias("value"))
 
 
-def csv_parts(findings: DataFrame) -> Iterator[str]:
-    """The csv report, its rows by path, line and rule."""
-    yield CSV_HEADER + "\n"
-    for r in csv_rows(findings.orderBy("path", "line_start", "rule_id")).toLocalIterator():
-        yield r["value"] + "\n"
+def _rows(findings: DataFrame, *rows: Column) -> DataFrame:
+    """Some rows of a report for each finding."""
+    return findings.select("path", "line_start", "rule_id", F.explode(F.array(*rows)).alias("r")).select("path", "line_start", "rule_id", "r.*")
 
 
-def annotation_rows(findings: DataFrame) -> DataFrame:
-    """Workflow commands, one a finding."""
-    level = F.element_at(F.create_map(*[F.lit(x) for kv in ANNOTATIONS.items() for x in kv]), F.col("severity"))
-    text = lambda c: F.col(c).cast("string")
-    line = F.concat(
-        F.lit("::"), level, F.lit(" file="), F.translate("path", "\\", "/"), F.lit(",line="), text("line_start"), F.lit(",endLine="), text("line_end"), F.lit(",title="), "rule_id",
-        F.lit("::"), "title", F.lit(" ["), F.upper("severity"), F.lit("]"),
-    )
-    return findings.select(line.alias("value"))
+def _by_file(findings: DataFrame) -> DataFrame:
+    """A row for each file: path, score, n, and the place of its last finding."""
+    score = F.max("file_score") if "file_score" in findings.columns else F.sum("risk_points")
+    return findings.groupBy("path").agg(score.alias("score"), F.count("*").alias("n"), F.max(F.struct("line_start", "rule_id")).alias("last"))
 
 
-def summary(result: dict, counts: list[tuple[str, int]]) -> str:
-    """A short table for a workflow's summary page."""
-    state = "passed" if result["passed"] else "failed"
-    out = ["## Palisade scan", "", f"**Score:** {result['repoScore']}/100 ({result['scoreLabel'].upper()}), {state}", "", "| Severity | Count |", "|----------|-------|"]
-    return "\n".join([*out, *(f"| {s} | {n} |" for s, n in counts)]) + "\n"
+def _file_rows(files: DataFrame, *rows: Column) -> DataFrame:
+    return files.select("path", F.lit(0).alias("line_start"), F.lit("").alias("rule_id"), F.explode(F.array(*rows)).alias("r")).select("path", "line_start", "rule_id", "r.*")
 
 
-class Findings:
-    """All findings by path, line and rule; every iteration reads them anew. Counts are a Spark aggregate."""
+def counts(findings: DataFrame) -> list[tuple[str, int]]:
+    """The number of findings of each severity, 0 included."""
+    n = dict(map(tuple, findings.groupBy("severity").count().collect()))
+    return [(s, n.get(s, 0)) for s in SEVERITY_ORDER]
 
-    def __init__(self, findings: DataFrame):
-        """With a column file_score, that is a file's score; else the sum of its findings' points is."""
-        score = F.col("file_score") if "file_score" in findings.columns else F.lit(None).cast("long")
-        self.rows = findings.select(finding_struct().alias("f"), score.alias("score")).orderBy("f.file", "f.lineStart", "f.id")
 
-    def __iter__(self) -> Iterator[dict]:
-        return (row for row, _ in self.scored())
+def rules_found(findings: DataFrame) -> list[dict]:
+    """The rules that found something, as many rows as rules."""
+    names = ("title", "remediation", "mitre")
+    rows = findings.groupBy(F.col("rule_id").alias("id")).agg(*[F.first(x).alias(x) for x in names]).orderBy("id").collect()
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
 
-    def scored(self) -> Iterator[tuple[dict, int | None]]:
-        return (({k: v for k, v in r["f"].asDict().items() if v is not None}, r["score"]) for r in self.rows.toLocalIterator())
 
-    def counts(self) -> list[tuple[str, int]]:
-        n = dict(map(tuple, self.rows.groupBy("f.severity").count().collect()))
-        return [(s, n.get(s, 0)) for s in SEVERITY_ORDER]
+# json lines, csv and workflow commands
 
-    def rules(self) -> list[dict]:
-        """One finding of each rule."""
-        names = ("id", "title", "remediation", "mitre")
-        rows = self.rows.select(*[f"f.{x}" for x in names]).groupBy("id").agg(*[F.first(x).alias(x) for x in names[1:]]).orderBy("id").collect()
-        return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
 
+def json_lines(findings: DataFrame) -> DataFrame:
+    """One finding a row as JSON; a missing tag is left out."""
+    return findings.select(*_PLACE, F.to_json(finding_struct()).alias("value"))
 
-def page(findings: DataFrame) -> Findings:
-    return Findings(findings)
 
+def jsonl(findings: DataFrame) -> Document:
+    return Document(json_lines(findings), in_order())
 
-def _by_file(rows: Iterable[dict]):
-    return itertools.groupby(rows, key=lambda r: r["file"])
 
+def csv_rows(findings: DataFrame) -> DataFrame:
+    """One finding a row, without the header; a missing tag is empty."""
+    f = findings.select(*_PLACE, finding_struct().alias("f"))
+
+    def cell(name):
+        text = F.coalesce(F.col(f"f.{name}").cast("string"), F.lit(""))
+        return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return f.select(*_PLACE, F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS.values()]).alias("value"))
+
+
+def csv(findings: DataFrame) -> Document:
+    header = findings.sparkSession.createDataFrame([("", 0, "", CSV_HEADER)], "path string, line_start int, rule_id string, value string")
+    rows = csv_rows(findings).withColumn("section", F.lit(1)).unionByName(header.withColumn("section", F.lit(0)))
+    return Document(rows, ("section", *in_order()))
 
-def _files(rows: Iterable[dict]) -> Iterator[tuple[str, list[dict], int]]:
-    """(file, its findings, its score); the findings of one file are held at a time."""
-    scored = rows.scored() if isinstance(rows, Findings) else ((r, None) for r in rows)
-    for f, own in itertools.groupby(scored, key=lambda x: x[0]["file"]):
-        own = list(own)
-        yield f, [r for r, _ in own], sum(r["riskPoints"] for r, _ in own) if own[0][1] is None else own[0][1]
+
+def annotation_rows(findings: DataFrame) -> DataFrame:
+    """Workflow commands, one a finding."""
+    line = _text("::", _of(ANNOTATIONS), " file=", F.translate("path", "\\", "/"), ",line=", F.col("line_start"), ",endLine=", F.col("line_end"), ",title=", F.col("rule_id"), "::", F.col("title"), " [", F.upper("severity"), "]")
+    return findings.select(*_PLACE, line.alias("value"))
 
 
-def _dumped(x, depth: int) -> str:
-    return json.dumps(x, indent=2, ensure_ascii=False).replace("\n", "\n" + "  " * depth)
+def summary(result: dict, counted: list[tuple[str, int]]) -> str:
+    """A short table for a workflow's summary page."""
+    state = "passed" if result["passed"] else "failed"
+    out = ["## Palisade scan", "", f"**Score:** {result['repoScore']}/100 ({result['scoreLabel'].upper()}), {state}", "", "| Severity | Count |", "|----------|-------|"]
+    return "\n".join([*out, *(f"| {s} | {n} |" for s, n in counted)]) + "\n"
 
 
-def _listed(items: Iterable[dict], depth: int) -> Iterator[str]:
-    """A JSON list, item by item."""
-    gap, first = "\n" + "  " * (depth + 1), True
-    for x in items:
-        yield ("[" if first else ",") + gap + _dumped(x, depth + 1)
-        first = False
-    yield "[]" if first else "\n" + "  " * depth + "]"
+# json
 
 
-def json_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
-    yield "{\n" + "".join(f"  {json.dumps(k)}: {_dumped(v, 1)},\n" for k, v in result.items()) + '  "files": ['
-    comma = ""
-    for f, own, score in _files(rows):
-        yield comma + '\n    {\n      "file": ' + json.dumps(f, ensure_ascii=False) + ',\n      "findings": '
-        yield from _listed(own, 3)
-        yield f',\n      "fileScore": {score}\n    }}'
-        comma = ","
-    yield ("\n  " if comma else "") + '],\n  "allFindings": '
-    yield from _listed(rows, 1)
-    yield "\n}"
+def _finding(depth: int) -> Column:
+    c = lambda name: quoted(F.col(name))
+    n = lambda name: F.col(name).cast("string")
+    return indented({
+        "id": c("rule_id"), "title": c("title"), "severity": c("severity"), "confidence": c("confidence"), "evidence": c("evidence"), "file": c("path"), "lineStart": n("line_start"),
+        "lineEnd": n("line_end"), "remediation": c("remediation"), "riskPoints": n("risk_points"), "mitre": Maybe(c("mitre")),
+    }, depth)
 
 
-def json_report(result: dict, rows: Iterable[dict]) -> str:
-    return "".join(json_parts(result, rows))
+def json_report(result: dict, findings: DataFrame) -> Document:
+    """The result, its files with their findings, and all findings once more."""
+    files = _by_file(findings)
+    end = files.agg(F.max_by("path", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(collated()))))).first()[0]
+    # the last finding of a file and the last file have no comma behind them
+    found = findings.join(files.select("path", "last"), "path")
+    comma = F.when((F.col("line_start") == F.col("last.line_start")) & (F.col("rule_id") == F.col("last.rule_id")), "").otherwise(",")
+    rows = _rows(found, _row(0, 1, _text("        ", _finding(4), comma)), _row(2, 0, _text("    ", _finding(2), ",")))
+    rows = rows.unionByName(_file_rows(
+        files, _row(0, 0, _text('    {\n      "file": ', quoted(F.col("path")), ',\n      "findings": [')),
+        _row(0, 2, _text('      ],\n      "fileScore": ', F.col("score"), "\n    }", F.when(F.col("path") == F.lit(end), "").otherwise(","))),
+    ))
+    if end is not None:
+        between = findings.sparkSession.createDataFrame([("", 0, "", 1, 0, '  ],\n  "allFindings": [')], "path string, line_start int, rule_id string, section int, part int, value string")
+        rows = rows.unionByName(between)
+    told = "".join(f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)},\n" for k, v in result.items())
+    empty = end is None
+    return Document(rows, _sections(), "{\n" + told + ('  "files": []' if empty else '  "files": [\n'), "\n}" if empty else "\n  ]\n}", 1, ',\n  "allFindings": []')
+
+
+# sarif
 
 
 def _sarif_rule(r: dict) -> dict:
@@ -154,107 +176,104 @@ def _sarif_rule(r: dict) -> dict:
     return rule
 
 
-def _sarif_result(r: dict) -> dict:
-    return {
-        "ruleId": r["id"], "level": LEVELS[r["severity"]], "message": {"text": f"{r['title']}: {r['evidence']}"},
-        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"], "uriBaseId": "%SRCROOT%"}, "region": {"startLine": r["lineStart"], "endLine": r["lineEnd"]}}}],
-    }
-
+def sarif(findings: DataFrame) -> Document:
+    driver = {"name": "palisade", "version": "1.0.0", "rules": [_sarif_rule(r) for r in rules_found(findings)]}
+    tool = json.dumps({"driver": driver}, indent=2, ensure_ascii=False).replace("\n", "\n      ")
+    region = {"startLine": F.col("line_start").cast("string"), "endLine": F.col("line_end").cast("string")}
+    place = {"physicalLocation": {"artifactLocation": {"uri": quoted(F.col("path")), "uriBaseId": "%SRCROOT%"}, "region": region}}
+    item = {"ruleId": quoted(F.col("rule_id")), "level": quoted(_of(LEVELS)), "message": {"text": quoted(_text(F.col("title"), ": ", F.col("evidence")))}, "locations": [place]}
+    rows = findings.select(*_PLACE, _text("        ", indented(item, 4), ",").alias("value"))
+    head = f'{{\n  "$schema": {json.dumps(SARIF_SCHEMA)},\n  "version": "2.1.0",\n  "runs": [\n    {{\n      "tool": {tool},\n      "results": [\n'
+    return Document(rows, in_order(), head, "\n      ]\n    }\n  ]\n}", 1)
 
-def sarif_parts(rows: Iterable[dict]) -> Iterator[str]:
-    rules = rows.rules() if isinstance(rows, Findings) else list({r["id"]: r for r in rows}.values())
-    driver = {"name": "palisade", "version": "1.0.0", "rules": [_sarif_rule(r) for r in rules]}
-    yield f'{{\n  "$schema": {json.dumps(SARIF_SCHEMA)},\n  "version": "2.1.0",\n  "runs": [\n    {{\n      "tool": {_dumped({"driver": driver}, 3)},\n      "results": '
-    yield from _listed(map(_sarif_result, rows), 3)
-    yield "\n    }\n  ]\n}"
 
+# junit, markdown and html
 
-def sarif(rows: Iterable[dict]) -> str:
-    return "".join(sarif_parts(rows))
 
+def _xml(col: Column) -> Column:
+    for c, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        col = F.replace(col, F.lit(c), F.lit(written))
+    return col
 
-def junit_parts(rows: Iterable[dict]) -> Iterator[str]:
-    total = sum(n for _, n in _counts(rows))
-    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="palisade" tests="{total}" failures="{total}">\n'
-    for f, own in _by_file(rows):
-        own = list(own)  # the findings of one file
-        yield f'  <testsuite name={quoteattr(f)} tests="{len(own)}" failures="{len(own)}">\n'
-        for r in own:
-            yield f"    <testcase name={quoteattr(r['id'] + ': ' + r['title'])} classname={quoteattr(f)}>\n"
-            yield f"      <failure message={quoteattr(r['title'])} type={quoteattr(r['severity'])}>{escape(r['evidence'])} (line {r['lineStart']})</failure>\n    </testcase>\n"
-        yield "  </testsuite>\n"
-    yield "</testsuites>"
 
-
-def junit(rows: Iterable[dict]) -> str:
-    return "".join(junit_parts(rows))
+def junit(findings: DataFrame) -> Document:
+    total = sum(n for _, n in counts(findings))
+    c = F.col
+    tag = F.coalesce(_text("\nMITRE ATT&CK: ", c("mitre")), F.lit(""))
+    body = _text("File: ", c("path"), "\nLine: ", c("line_start"), "\nEvidence: ", c("evidence"), tag, "\nRemediation: ", c("remediation"))
+    case = _text(
+        '    <testcase name="', _xml(_text(c("rule_id"), ": ", c("title"))), '" classname="', _xml(c("path")), '" time="0">\n      <failure message="', _xml(_text(c("rule_id"), " [", c("severity"), "]: ", c("title"))),
+        '" type="', _xml(c("severity")), '">', _xml(body), "</failure>\n    </testcase>",
+    )
+    files = _by_file(findings)
+    rows = _rows(findings, _row(0, 1, case)).unionByName(_file_rows(
+        files, _row(0, 0, _text('  <testsuite name="', _xml(c("path")), '" tests="', c("n"), '" failures="', c("n"), '" errors="0" time="0">')), _row(0, 2, F.lit("  </testsuite>")),
+    ))
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="palisade" tests="{total}" failures="{total}" errors="0" time="0">\n'
+    return Document(rows, _sections(), head, ("\n" if total else "") + "</testsuites>")
 
 
-def _counts(rows: Iterable[dict]) -> list[tuple[str, int]]:
-    if isinstance(rows, Findings):
-        return rows.counts()
-    own = [r["severity"] for r in rows]
-    return [(s, own.count(s)) for s in SEVERITY_ORDER]
+BADGE = "![{0}](https://img.shields.io/badge/palisade-{0}-{1})"
 
 
-BADGE = "![{0}](https://img.shields.io/badge/palisade-{0}-{1})"
+def _html(col: Column) -> Column:
+    for c, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        col = F.replace(col, F.lit(c), F.lit(written))
+    return col
 
 
-def markdown_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
-    clean = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
-    link = lambda r: f"[{r['mitre']}]({MITRE_URL}{r['mitre'].replace('.', '/')})" if "mitre" in r else ""
+def markdown(result: dict, findings: DataFrame) -> Document:
+    c = F.col
+    clean = F.translate(F.replace(c("title"), F.lit("|"), F.lit("\\|")), "\n", " ")
+    link = _text("[", c("mitre"), f"]({MITRE_URL}", F.translate("mitre", ".", "/"), ")")
     badge = BADGE.format("PASSED", "brightgreen") if result["passed"] else BADGE.format("FAILED", "red")
-    counts = _counts(rows)
+    counted = counts(findings)
     out = [f"# Palisade report {badge}", "", f"**Score:** {result['repoScore']}/100 ({result['scoreLabel'].upper()})  "]
     out += [f"**Threshold:** {result['threshold']}  "] if "threshold" in result else []
-    out += [f"**Total findings:** {sum(n for _, n in counts)}", "", "## Severity Summary", "", "| Severity | Count |", "|----------|-------|", *(f"| {s} | {n} |" for s, n in counts), ""]
-    yield "\n".join(out) + "\n"
-    for i, (f, own, score) in enumerate(_files(rows)):
-        yield ("" if i else "## Findings by File\n\n") + f"### `{f}`\n*File score: {score}*\n\n| Rule | Severity | Line | Title | MITRE |\n|------|----------|------|-------|-------|\n"
-        for r in own:
-            yield f"| {r['id']} | {r['severity']} | {r['lineStart']} | {clean(r['title'])} | {link(r)} |\n"
-        for r in own:
-            tag = f"**MITRE ATT&CK:** {link(r)}\n\n" if "mitre" in r else ""
-            yield f"\n<details>\n<summary><strong>{r['id']}</strong>: {html.escape(r['title'])}</summary>\n\n**Evidence:** `{r['evidence']}`\n\n{tag}**Remediation:** {r['remediation']}\n\n</details>\n"
-        yield "\n"
-
-
-def markdown(result: dict, rows: Iterable[dict]) -> str:
-    return "".join(markdown_parts(result, rows))
-
-
-def html_parts(result: dict, rows: Iterable[dict]) -> Iterator[str]:
-    cells = lambda r: "".join(f"<td>{html.escape(str(r[k]))}</td>" for k in ("file", "lineStart", "id", "severity", "title", "evidence"))
-    data = lambda x: json.dumps(x).replace("</", "<\\/")
-    counts = ", ".join(f"{s} {n}" for s, n in _counts(rows))
-    yield f"<!doctype html><meta charset=utf-8><title>Palisade report</title><h1>Score {result['repoScore']} ({html.escape(result['scoreLabel'])})</h1><p>{counts}</p><table>"
-    for r in rows:
-        yield f"<tr>{cells(r)}</tr>"
-    yield f"</table><script type='application/json' id='data'>{{\"result\": {data(result)}, \"findings\": ["
-    for i, r in enumerate(rows):
-        yield (", " if i else "") + data(r)
-    yield "]}</script>"
-
-
-def html_page(result: dict, rows: Iterable[dict]) -> str:
-    return "".join(html_parts(result, rows))
-
-
-def console_parts(result: dict, rows: Iterable[dict], verbose: bool = False) -> Iterator[str]:
-    counts = _counts(rows)
-    if not any(n for _, n in counts):
+    out += [f"**Total findings:** {sum(n for _, n in counted)}", "", "## Severity Summary", "", "| Severity | Count |", "|----------|-------|", *(f"| {s} | {n} |" for s, n in counted), ""]
+    short = _text("| ", c("rule_id"), " | ", c("severity"), " | ", c("line_start"), " | ", clean, " | ", F.coalesce(link, F.lit("")), " |")
+    tag = F.coalesce(_text("**MITRE ATT&CK:** ", link, "\n\n"), F.lit(""))
+    long = _text("\n<details>\n<summary><strong>", c("rule_id"), "</strong>: ", _html(c("title")), "</summary>\n\n**Evidence:** `", c("evidence"), "`\n\n", tag, "**Remediation:** ", c("remediation"), "\n\n</details>")
+    rows = _rows(findings, _row(0, 1, short), _row(0, 2, long)).unionByName(_file_rows(
+        _by_file(findings), _row(0, 0, _text("### `", c("path"), "`\n*File score: ", c("score"), "*\n\n| Rule | Severity | Line | Title | MITRE |\n|------|----------|------|-------|-------|")), _row(0, 3, F.lit("")),
+    ))
+    some = sum(n for _, n in counted) > 0
+    return Document(rows, _sections(), "\n".join(out) + "\n" + ("## Findings by File\n\n" if some else ""), "\n" if some else "")
+
+
+def html_page(result: dict, findings: DataFrame) -> Document:
+    """A table, and the same rows as embedded data."""
+    cells = _text("<tr>", *(x for name in ("path", "line_start", "rule_id", "severity", "title", "evidence") for x in ("<td>", _html(F.col(name).cast("string")), "</td>")), "</tr>")
+    safe = lambda col: F.replace(col, F.lit("</"), F.lit("<\\/"))
+    rows = _rows(findings, _row(0, 0, cells), _row(2, 0, _text(safe(F.to_json(finding_struct())), ",")))
+    data = json.dumps(result).replace("</", "<\\/")
+    between = f"</table><script type='application/json' id='data'>{{\"result\": {data}, \"findings\": ["
+    counted = counts(findings)
+    some = sum(n for _, n in counted) > 0
+    if some:
+        rows = rows.unionByName(findings.sparkSession.createDataFrame([("", 0, "", 1, 0, between)], "path string, line_start int, rule_id string, section int, part int, value string"))
+    told = ", ".join(f"{s} {n}" for s, n in counted)
+    head = f"<!doctype html><meta charset=utf-8><title>Palisade report</title><h1>Score {result['repoScore']} ({html.escape(result['scoreLabel'])})</h1><p>{told}</p><table>\n"
+    return Document(rows, _sections(), head, "]}</script>", 1, between)
+
+
+# console
+
+
+def console_lines(result: dict, findings: DataFrame, verbose: bool = False) -> Iterator[str]:
+    """Lines for a terminal, which come to the driver one after the other."""
+    counted = counts(findings)
+    if not any(n for _, n in counted):
         yield "No findings.\n"
-    for f, own, score in _files(rows):
-        yield f"{f} (file score: {score})\n"
-        for r in own:
+    scored = findings.join(_by_file(findings).select("path", "score"), "path").select(*_PLACE, finding_struct().alias("f"), "score")
+    for f, own in itertools.groupby(scored.orderBy(*in_order()).select("f", "score").toLocalIterator(), key=lambda x: x["f"]["file"]):
+        for k, (r, score) in enumerate(own):
+            if not k:
+                yield f"{f} (file score: {score})\n"
             yield f"  [{r['severity'].upper()}] {r['id']}: {r['title']}\n    {f}:{r['lineStart']}\n    {r['evidence']}\n"
             if verbose:
-                yield f"    {r['confidence']} confidence, {r['riskPoints']} points{', ' + r['mitre'] if 'mitre' in r else ''}\n    {r['remediation']}\n"
+                yield f"    {r['confidence']} confidence, {r['riskPoints']} points{', ' + r['mitre'] if r['mitre'] else ''}\n    {r['remediation']}\n"
     yield f"Score: {result['repoScore']}/100 ({result['scoreLabel'].upper()})\n"
     yield f"Threshold: {result['threshold']}\n" if "threshold" in result else ""
-    yield f"Findings: {sum(n for _, n in counts)}" + "".join(f"  {s}: {n}" for s, n in counts if n) + "\n"
+    yield f"Findings: {sum(n for _, n in counted)}" + "".join(f"  {s}: {n}" for s, n in counted if n) + "\n"
     yield "PASSED" if result["passed"] else "FAILED"
-
-
-def console(result: dict, rows: Iterable[dict], verbose: bool = False) -> str:
-    return "".join(console_parts(result, rows, verbose))
