@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.functions.matcher import BITS, held
 from palisade.functions.regexes import has
+from palisade.functions.utf16 import prefix
 from palisade.rules.catalogue import FAMILIES, RULES
-from palisade.rules.model import MATCH, Prompt, Rule, compile_rule, holds
+from palisade.rules.model import EVIDENCE_UNITS, MATCH, Prompt, Rule, compile_rule, holds, required_groups
+from palisade.ship import ship
 
 #: What softens a finding, its reduction in per cent, the rule prefixes it applies to.
 MITIGATIONS = (
@@ -47,23 +50,30 @@ def adjusted_points(base: Column, reduction: Column) -> Column:
 _compiled: dict[tuple, Column] = {}
 
 
-def _column(app: str, rules: tuple[Rule, ...]) -> Column:
-    """The rules' matches over columns of fixed names; made once for each application, as it takes many calls into the JVM."""
-    key = (app, rules)
+def _column(app: str, place: int, rules: tuple[Rule, ...]) -> Column:
+    """The rules' matches over columns of fixed names; made once for each application, as it takes many calls into the JVM.
+
+    place: that of the rules' bits in the column `held`."""
+    key = (app, place, rules)
     if key not in _compiled:
-        prompt = Prompt(*(F.col(c) for c in ("text", "low", "lines", "kind", "ext", "path", "line_start", "line_end")))
-        _compiled[key] = F.concat(*[compile_rule(r, prompt) for r in rules])
+        bits = F.get(F.col("held"), F.lit(place))
+        prompt = Prompt(*(F.col(c) for c in ("text", "low", "lines", "kind", "ext", "path", "line_start", "line_end")), held=bits)
+        found = F.concat(*[compile_rule(r, prompt, i) for i, r in enumerate(rules)])
+        _compiled[key] = F.when(bits != 0, found).otherwise(F.array().cast(MATCH))
     return _compiled[key]
 
 
 def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Every match, duplicates among overlapping prompts included, with the prompt's reductions."""
     own = ["path", *keep, *carry, "prompt_ord", "kind"]
-    df = prompts.withColumns({"lines": F.split("text", "\n", -1), "low": F.lower("text")})
     families = [tuple(r for r in family if r in rules) for family in FAMILIES.values()]
     plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()))
+    families = [f for f in (*families, *(plugged[i : i + BITS] for i in range(0, len(plugged), BITS))) if f]
+    ship(prompts.sparkSession)  # the matcher runs on Python workers
     app = prompts.sparkSession.sparkContext.applicationId
-    columns = [_column(app, family) for family in (*families, plugged) if family]
+    df = prompts.withColumn("low", F.lower("text"))
+    df = df.withColumns({"lines": F.split("text", "\n", -1), "held": held(F.col("low"), tuple(tuple(map(required_groups, f)) for f in families))})
+    columns = [_column(app, i, family) for i, family in enumerate(families)]
     # an expression for each family; the arrays meet in one explode
     wide = df.select(*own, "text", "low", *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
     found = wide.select(*own, "text", "low", (F.concat(*[F.col(f"__f{i}") for i in range(len(columns))]) if columns else F.array().cast(MATCH)).alias("__found"))
@@ -71,7 +81,7 @@ def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple
     soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text"), F.col("low")).items()), strict=True)))
     told = found.select(*own, F.when(F.size("__found") > 0, soft).alias("soft"), "__found")
     # the outer form, as for the other one the optimiser infers a filter that runs every rule once more
-    return told.select(*own, "soft", F.inline_outer("__found")).where("rule_id is not null")
+    return told.select(*own, "soft", F.inline_outer("__found")).where("rule_id is not null").withColumn("evidence", prefix(F.col("evidence"), EVIDENCE_UNITS))
 
 
 def first_of_duplicates(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.normalise import FOLD_FROM, FOLD_TO, normalised, vowels_folded
 from palisade.functions.regexes import P, to_re2
+from palisade.functions.spread import spread
 from palisade.functions.sql import quoted
 from palisade.operators import baseline as base
 from palisade.operators.extract import CHAT_LINES, OBJECT_LINES, PROMPT_KEY, ROLE_CONTENT, STRUCTURED_LINES, extract_prompts
@@ -38,7 +39,7 @@ def slots_of(*families: str) -> list[tuple[str, str, str, str]]:
 
 def seeded(spark: SparkSession, sf_dir: str, slots, front: bool = False) -> DataFrame:
     """Documents as prompts, each ending in the slot's text that its id picks, or beginning with it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     pick = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in slots]), (F.col("doc_id") % len(slots) + 1).cast("int"))
     folder = F.element_at(F.array(*[F.lit("/skills/" if s[0].startswith("SKL") else "/") for s in slots]), (F.col("doc_id") % len(slots) + 1).cast("int"))
     text = F.concat(pick(3), F.lit("\n"), "text") if front else F.concat("text", F.lit("\n"), pick(3))
@@ -105,7 +106,7 @@ def vowels(spark, sf_dir):
 
 
 def all_normalised(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", F.md5(normalised(F.col("text")).cast("binary")).alias("normal_md5"))
 
 
@@ -123,7 +124,7 @@ _CODE = "\nconst p = `You are\nan assistant for ${x}`\nm = {role: 'user', conten
 
 
 def code_prompts(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.concat("text", F.lit(_CODE)).alias("content"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.concat("text", F.lit(_CODE)).alias("content"))
     return extract_prompts(d).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("line_end") - F.col("line_start")).alias("lines"))
 
 
@@ -137,7 +138,7 @@ _SILENCED = (
 
 
 def _silenced(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     extra = F.element_at(F.array(*[F.lit(x) for x in _SILENCED]), (F.col("doc_id") % len(_SILENCED) + 1).cast("int"))
     files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat("text", F.lit("\n"), extra).alias("content"))
     rules = tuple(r for r in FAMILIES["jailbreak"] if expressible(r) and r.id != "JBK-001")
@@ -283,7 +284,7 @@ def _text_findings(table, key, kind):
     """Findings of the wording rules in a table of texts as it is."""
 
     def query(spark, sf_dir):
-        t = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("doc_id"), F.col(kind).alias("text"))
+        t = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).select(F.col(key).alias("doc_id"), F.col(kind).alias("text"))
         p = t.select("doc_id", F.concat(F.lit(f"{table}/"), F.col("doc_id").cast("string")).alias("path"), F.lit("").alias("ext"), F.lit(0).alias("prompt_ord"), F.lit("raw").alias("kind"), "text", F.lit(1).alias("line_start"), F.size(F.split("text", "\n", -1)).alias("line_end"))
         return findings(p, tuple(_MAIN_RULES), ("doc_id",)).select("doc_id", "rule_id", F.col("line_start").cast("long").alias("line_start"))
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.spread import spread
 from palisade.operators.extract import extract_prompts
 from palisade.operators.findings import findings
 from palisade.operators.scoring import first_files, repo_result
@@ -39,7 +40,7 @@ def scan(files: DataFrame, include=(), exclude=(), min_confidence: str | None =
 def scan_rules(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of files (path, content), with suppressed_by."""
     # marks come along with the prompts, so files are read once
-    marked = files.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("marks", marks_of(F.col("content")))
+    marked = spread(files).select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("marks", marks_of(F.col("content")))
     return findings(extract_prompts(marked, ("marks",)), rules, carry=("marks",)).withColumn("suppressed_by", suppressor(F.col("marks"))).drop("marks")
 
 

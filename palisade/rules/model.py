@@ -2,7 +2,7 @@
 
 compile_rule turns it into a Column of type array<finding> over the prompt columns, so rules are plain
 expressions that Spark plans. Before any expression is tried on a text, strings are looked for without which it
-cannot match (functions/literals.py).
+cannot match (functions/literals.py): for all rules at once (functions/matcher.py), or for one rule by itself.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from palisade.functions.literals import required
 from palisade.functions.regexes import SPACES, P, has
-from palisade.functions.utf16 import prefix
 
 SEVERITIES = {"low": 5, "medium": 15, "high": 30, "critical": 50}
 CONFIDENCES = {"low": 50, "medium": 75, "high": 100}
@@ -79,6 +78,8 @@ class Prompt:
     path: Column
     line_start: Column
     line_end: Column
+    #: Bits of the rules whose required strings the text holds, in the order in which the rules are compiled.
+    held: Column | None = None
 
     def window(self, i: Column, back: int, ahead: int) -> Column:
         begin = F.greatest(i - back, F.lit(0))
@@ -90,7 +91,7 @@ def js_trim(col: Column) -> Column:
 
 
 def finding(rule_id: str, start: Column, end: Column, evidence: Column) -> Column:
-    return F.struct(F.lit(rule_id).alias("rule_id"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end"), prefix(evidence, EVIDENCE_UNITS).alias("evidence"))
+    return F.struct(F.lit(rule_id).alias("rule_id"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end"), evidence.alias("evidence"))
 
 
 def is_skill(path: Column) -> Column:
@@ -118,7 +119,17 @@ def holds(low: Column, patterns) -> Column | None:
     return _any(low.contains(w) for w in dict.fromkeys(x for own in words for x in own)) if all(words) else None
 
 
-def gate(rule: Rule, prompt: Prompt) -> Column | None:
+def required_groups(rule: Rule) -> tuple[tuple[str, ...], ...]:
+    """Groups of strings: a text that the rule matches holds, in lower case, one string of each."""
+    told = lambda p: required(p.regex if isinstance(p, P) else p)
+    groups = [told(p) for p in (*rule.need, *(() if rule.finds else (*rule.line, *rule.near)))]
+    for some in (rule.some, rule.near_some):
+        words = [told(p) for p in some]
+        groups.append(tuple(dict.fromkeys(w for own in words for w in own)) if not rule.finds and all(words) else ())
+    return tuple(dict.fromkeys(g for g in groups if g))
+
+
+def gate(rule: Rule, prompt: Prompt, bit: int = 0) -> Column | None:
     """What the prompt must meet before any line is looked at; the cheapest tests come first."""
     parts = []
     if rule.code:
@@ -129,10 +140,8 @@ def gate(rule: Rule, prompt: Prompt) -> Column | None:
         parts.append(prompt.ext.isin(*rule.exts))
     if rule.skill:
         parts.append(is_skill(prompt.path))
-    # every one of these is found within the text, if anywhere
-    parts += [holds(prompt.low, (p,)) for p in (*rule.need, *(() if rule.finds else (*rule.line, *rule.near)))]
-    parts += [holds(prompt.low, some) for some in (rule.some, rule.near_some) if some and not rule.finds]
-    parts = [p for p in parts if p is not None]
+    if groups := required_groups(rule):
+        parts += [F.getbit(prompt.held, F.lit(bit)) == 1] if prompt.held is not None else [_any(prompt.low.contains(w) for w in g) for g in groups]
     parts += [has(prompt.text, p) for p in rule.need]
     parts += [~has(prompt.text, p) for p in rule.absent]
     if not rule.whole:
@@ -160,8 +169,8 @@ def line_test(rule: Rule, prompt: Prompt, line: Column, i: Column) -> Column:
     return _all(parts)
 
 
-def compile_rule(rule: Rule, prompt: Prompt) -> Column:
-    """array<finding> of the rule in the prompt, in line order."""
+def compile_rule(rule: Rule, prompt: Prompt, bit: int = 0) -> Column:
+    """array<finding> of the rule in the prompt, in line order, with evidence uncut; bit: the rule's own in prompt.held."""
     none = F.array().cast(MATCH)
     if rule.finds is not None:
         found = rule.finds(prompt)
@@ -175,5 +184,5 @@ def compile_rule(rule: Rule, prompt: Prompt) -> Column:
             hits = F.slice(hits, 1, 1)
         shown = rule.evidence or (lambda _, x: js_trim(x))
         found = F.transform(hits, lambda x: finding(rule.id, prompt.line_start + x["i"], prompt.line_start + x["i"], shown(prompt, x["l"])))
-    met = gate(rule, prompt)
+    met = gate(rule, prompt, bit)
     return found.cast(MATCH) if met is None else F.when(met, found.cast(MATCH)).otherwise(none)

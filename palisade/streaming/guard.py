@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.spread import spread
 from palisade.operators.findings import findings
 from palisade.operators.scoring import capped, label
 from palisade.rules.catalogue import RULES, select
@@ -44,7 +45,7 @@ def flat_text(parts) -> F.Column:
 
 def message_prompts(messages: DataFrame, hint: str = "ts") -> DataFrame:
     """Two prompts a message that is not blank: as it is, and as code. Texts are not normalised."""
-    src = messages.select("conv_id", "idx", "role", F.coalesce("text", F.lit("")).alias("text")).where(js_trim(F.col("text")) != "")
+    src = spread(messages).select("conv_id", "idx", "role", F.coalesce("text", F.lit("")).alias("text")).where(js_trim(F.col("text")) != "")
     kinds = F.posexplode(F.array(F.lit("raw"), F.lit("code-block"))).alias("prompt_ord", "kind")
     last = F.size(F.split("text", "\n", -1))
     path = F.concat(F.lit("_message_"), F.col("idx").cast("string"), F.lit(f".{hint}"))

@@ -1,13 +1,19 @@
 """What is told from a pattern's syntax, and taint, against plain versions."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from palisade.functions import regexes
 from palisade.functions.literals import required
+from palisade.functions.matcher import Matcher, held
 from palisade.functions.regexes import P, to_java
+from palisade.functions.spread import spread
 from palisade.operators.findings import findings
 from palisade.plans.payloads import PAYLOADS
-from palisade.rules.catalogue import RULES
+from palisade.rules.catalogue import FAMILIES, RULES
+from palisade.rules.model import Prompt, compile_rule, required_groups
 
 TEXTS = [p[3] for p in PAYLOADS] + [
     "crontab -e", "my crontab -e2", "x_history -c", "history -c", "unset HISTFILE1", "the nohup.", "nohupx", "rm -f /var/log/x", "scream\ncurl a > /dev/null 2>&1", "GODMODE2 or GODMODE", "evaluate(x) eval(x)",
@@ -70,3 +76,36 @@ def test_taint(spark):
     want = sorted((f"{i}.ts", 4 + line, name) for i, (_, found) in enumerate(TAINTED) for line, name in found)
     assert sorted((r.path, r.line_start, re.search(r"tainted: (.*)\)", r.evidence)[1]) for r in got) == want
     assert [r.evidence for r in got if r.path == "2.ts"] == ["${c.trim()} (tainted: c)"]
+
+
+def test_matcher_against_single_searches(spark):
+    """The bits of all rules, from one pass, against a search for each string of each rule."""
+    lists = tuple(tuple(map(required_groups, f)) for f in FAMILIES.values())
+    words = sorted({w for rules in lists for groups in rules for g in groups for w in g})
+    rng = random.Random(4)
+    texts = [t.lower() for t in TEXTS] + ["", " ".join(words)] + ["".join(rng.choice(words) + rng.choice(("", " ", "x")) for _ in range(rng.randrange(40))) for _ in range(200)]
+    want = [[sum(1 << i for i, groups in enumerate(rules) if all(any(w in t for w in g) for g in groups)) for rules in lists] for t in texts]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(held(F.col("t"), lists)).collect()]
+    assert got == [*want, [0] * len(lists)] and len(words) > 500
+    assert Matcher(((((("ab", "a"),), (("bc",), ("a",))),))).held("xbcx") == [0] and Matcher(((),)).held("a") == [0]
+
+
+def test_findings_do_not_depend_on_the_matcher(spark):
+    """A rule by itself, which looks for its own strings, finds what all rules together find."""
+    rows = [(f"{i}{ext}", ext, 0, kind, t, 1, 9) for i, (_, ext, kind, t) in enumerate(PAYLOADS)]
+    df = spark.createDataFrame(rows, "path string, ext string, prompt_ord int, kind string, text string, line_start int, line_end int").repartition(4)
+    some = tuple(RULES[k] for k in range(0, len(RULES), 9))
+    cols = F.split("text", "\n", -1).alias("lines"), F.lower("text").alias("low")
+    prompt = Prompt(*(F.col(c) for c in ("text", "low", "lines", "kind", "ext", "path", "line_start", "line_end")))
+    alone = df.select("*", *cols).select("path", F.explode(F.concat(*[compile_rule(r, prompt) for r in some])).alias("m")).select("path", "m.rule_id", "m.line_start").distinct()
+    together = findings(df, RULES).where(F.col("rule_id").isin(*[r.id for r in some])).select("path", "rule_id", "line_start")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, together.collect())) != []
+
+
+def test_small_inputs_are_dealt_to_all_cores(spark, monkeypatch):
+    df = spark.range(1000).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(df).rdd.getNumPartitions() == 2 * cores
+    monkeypatch.setattr("palisade.functions.spread.SPREAD_BYTES", 10)
+    assert spread(df).rdd.getNumPartitions() == 1
