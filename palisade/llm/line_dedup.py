@@ -194,7 +194,7 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, broadcast
     n = lines.count()
     shards = max(1, -(-n // SHARD_KEYS))
     index = written(build_index(lines, shards), "line-index")
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     row = base.schema["row"].dataType
     shape = T.StructType([T.StructField("row", row), T.StructField("doc_id", T.LongType()), *T._parse_datatype_string(SHAPE).fields])
     if n * ENTRY_BYTES <= broadcast_bytes:

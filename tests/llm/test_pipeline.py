@@ -1,4 +1,6 @@
 import collections
+import pathlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -77,3 +79,36 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     rows = [(1, a), (1, b), (0, b), (2, c), (2, c), (2, c.upper()), (None, "w x y z"), (None, "W x y z"), (None, a)]
     got = [r.text for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
     assert sorted(t.lower() for t in got) == sorted([a, b, c, "w x y z"])
+
+
+def helper_names():
+    """Every name that the operators and the pipeline give a column."""
+    root = pathlib.Path(corpus_pipeline.__file__).parent
+    text = "".join(p.read_text() for p in [root / "corpus_pipeline.py", *(root / "palisade/llm").glob("*.py")])
+    found = re.findall(r'(?:alias|withColumn|withColumnRenamed|col)\("(\w+)"', text) + re.findall(r'"(__\w+)"', text)
+    by_case = {n.lower(): n for n in found}  # Spark does not tell names by case
+    return sorted(n for k, n in by_case.items() if k not in ("doc_id", "text", "n_chars"))
+
+
+def test_no_name_breaks_or_changes_a_row(spark, data):
+    """Columns named like every helper, and names with a dot: what a stage keeps has all columns as they were."""
+    names = helper_names()
+    assert {"__quality", "__model", "__spans", "__rules", "row", "mark", "id", "new", "kept", "fp"} <= set(names)
+    base = spark.read.parquet(f"{data}/documents.parquet")
+    extra = {n: F.concat(F.lit(n + " "), F.col("doc_id").cast("string")) for n in [*names, "a.b"]}
+    docs = base.select("doc_id", "text", "n_chars", *(v.alias(n) for n, v in extra.items()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out, plain = stage(spark, docs, data), stage(spark, base.select("doc_id", "text", "n_chars"), data)
+        assert out.columns == docs.columns, name
+        wrong = [F.col(f"`{n}`") != v for n, v in extra.items()]
+        flagged = out.select("doc_id", "text", "n_chars", F.greatest(*(w.cast("int") for w in wrong)).alias("bad"))
+        rows = flagged.collect()
+        assert sorted(tuple(r)[:3] for r in rows) == sorted(map(tuple, plain.collect())) and all(r[3] == 0 for r in rows), name
+    packed = corpus_pipeline.best_fit_packing(spark, docs, data)
+    assert packed.agg(F.countDistinct("doc_id")).first()[0] == base.count()
+
+
+def test_near_dedup_picks_a_row_by_all_columns(spark):
+    rows = [(1, "same text", "b"), (1, "same text", "a"), (1, "same text", "c")]
+    got = [corpus_pipeline.near_dedup(spark, spark.createDataFrame(r, "doc_id long, text string, x string").repartition(3), "").collect() for r in (rows, rows[::-1])]
+    assert len(got[0]) == 1 and got[0] == got[1]
