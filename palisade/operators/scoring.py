@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sinks.documents import collated
 from palisade.sinks.tables import written
 
 SEVERITY_FAILS = {"critical": ("critical",), "high": ("critical", "high"), "medium": ("critical", "high", "medium")}
@@ -42,19 +43,19 @@ def exit_code(passed: bool, fail_on_hit: bool) -> int:
 
 
 def first_files(findings: DataFrame, most: int) -> DataFrame:
-    """Findings of the files, in path order, before which fewer than `most` findings stand; 0 takes all.
+    """Findings of the files, in the order of reports, before which fewer than `most` findings stand; 0 takes all.
 
     The running sum goes over one row a file, in ranges of paths, so no task holds all files."""
     if not most:
         return findings
     from pyspark.sql import Window as W
 
-    per = findings.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    per = findings.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange(*collated()).withColumn("part", F.spark_partition_id())
     # written down, so that both uses see the same numbers of ranges
     per = written(per, "files-by-path")
     parts = per.groupBy("part").agg(F.sum("n").alias("m"))
     before = F.coalesce(F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("part", before.alias("before"))
-    own = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy(*collated()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     kept = per.withColumn("own", own).join(F.broadcast(offsets), "part").where(F.col("own") + F.col("before") < most).select("path")
     return findings.join(kept, "path", "left_semi")
