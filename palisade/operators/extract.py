@@ -123,13 +123,16 @@ def prompts_of(path: Column, content: Column, lines: Column, ext: Column) -> Col
     )
 
 
-def extract_prompts(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """files (path, content) to (path, ext, prompt_ord, kind, text, line_start, line_end), texts normalised but for code."""
+def extract_prompts(files: DataFrame, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """files (path, content) to (path, ext, prompt_ord, kind, text, line_start, line_end), texts normalised but for code.
+
+    every: a file without prompts has a row of nulls."""
     src = files.select("path", *keep, F.coalesce("content", F.lit("")).alias("content"), extension(F.col("path")).alias("ext"))
     src = src.withColumn("lines", F.split("content", "\n", -1))
     found = prompts_of(F.col("path"), F.col("content"), F.col("lines"), F.col("ext"))
     # the outer form, as for the other one the optimiser infers a filter that extracts once more
-    rows = src.select("path", *keep, "ext", F.posexplode_outer(found).alias("prompt_ord", "p")).where("prompt_ord is not null")
+    rows = src.select("path", *keep, "ext", F.posexplode_outer(found).alias("prompt_ord", "p"))
+    rows = rows if every else rows.where("prompt_ord is not null")
     text = F.when(F.col("p.kind") == "code-block", F.col("p.text")).otherwise(normalised(F.col("p.text")))
     return rows.select("path", *keep, "ext", "prompt_ord", F.col("p.kind").alias("kind"), text.alias("text"), F.col("p.line_start").alias("line_start"), F.col("p.line_end").alias("line_end"))
 

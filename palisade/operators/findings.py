@@ -63,8 +63,10 @@ def _column(app: str, place: int, rules: tuple[Rule, ...]) -> Column:
     return _compiled[key]
 
 
-def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every match, duplicates among overlapping prompts included, with the prompt's reductions."""
+def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """Every match, duplicates among overlapping prompts included, with the prompt's reductions.
+
+    every: a prompt without a match has a row whose rule_id is null. No row is moved, so it also works on streams."""
     own = ["path", *keep, *carry, "prompt_ord", "kind"]
     families = [tuple(r for r in family if r in rules) for family in FAMILIES.values()]
     plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()))
@@ -81,7 +83,8 @@ def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple
     soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text"), F.col("low")).items()), strict=True)))
     told = found.select(*own, F.when(F.size("__found") > 0, soft).alias("soft"), "__found")
     # the outer form, as for the other one the optimiser infers a filter that runs every rule once more
-    return told.select(*own, "soft", F.inline_outer("__found")).where("rule_id is not null").withColumn("evidence", prefix(F.col("evidence"), EVIDENCE_UNITS))
+    rows = told.select(*own, "soft", F.inline_outer("__found"))
+    return (rows if every else rows.where("rule_id is not null")).withColumn("evidence", prefix(F.col("evidence"), EVIDENCE_UNITS))
 
 
 def first_of_duplicates(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -94,8 +97,13 @@ def findings(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[st
     """(path, keep, carry, rule columns, line_start, line_end, evidence, risk_points) of prompts (path, ext, prompt_ord, kind, text, line_start, line_end).
 
     keep: columns that tell prompts of one path apart; carry: columns that only come along."""
-    found = first_of_duplicates(raw_matches(prompts, rules, keep, carry), keep)
+    joined = with_points(first_of_duplicates(raw_matches(prompts, rules, keep, carry), keep), rules)
+    return joined.select("path", *keep, *carry, "rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "rule_ord", "prompt_ord", "kind", "line_start", "line_end", "evidence", "risk_points")
+
+
+def with_points(matches: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """matches with the rules' columns and risk_points; those without a rule stay, with nulls."""
     # the rules' table has a fixed number of rows
-    joined = found.join(F.broadcast(rules_table(prompts.sparkSession, rules)), "rule_id")
+    joined = matches.join(F.broadcast(rules_table(matches.sparkSession, rules)), "rule_id", "left")
     points = adjusted_points(F.col("base_points"), F.coalesce(F.get(F.map_values(F.map_filter("soft", lambda k, v: k == F.col("prefix"))), F.lit(0)), F.lit(0)))
-    return joined.select("path", *keep, *carry, "rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "rule_ord", "prompt_ord", "kind", "line_start", "line_end", "evidence", points.alias("risk_points"))
+    return joined.withColumn("risk_points", points)

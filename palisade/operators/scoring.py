@@ -11,8 +11,19 @@ from palisade.sinks.tables import written
 SEVERITY_FAILS = {"critical": ("critical",), "high": ("critical", "high"), "medium": ("critical", "high", "medium")}
 
 
+#: Below which score each label holds.
+LABELS = ((30, "low"), (60, "medium"), (80, "high"))
+
+
 def label(score: Column) -> Column:
-    return F.when(score < 30, "low").when(score < 60, "medium").when(score < 80, "high").otherwise("critical")
+    out = F.lit("critical")
+    for below, name in reversed(LABELS):
+        out = F.when(score < below, name).otherwise(out)
+    return out
+
+
+def label_of(score: int) -> str:
+    return next((name for below, name in LABELS if score < below), "critical")
 
 
 def file_scores(findings: DataFrame, key: str = "path") -> DataFrame:
