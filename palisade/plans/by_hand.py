@@ -41,8 +41,30 @@ _TAKEN = (
 )
 _USED = f"len(list_filter({_TAKEN}, lambda v: regexp_matches(lines[i], {quoted(r'\$\{\s*')} || v || {quoted(r'\s*\}')}) or regexp_matches(lines[i], {quoted(_Q + r'\s*\+\s*')} || v))) > 0"
 
+_USER = r"(?:user(?:Input|Message|Query|Content|Text|Prompt|_input|_message|_query|_text|_prompt)|input|query|message|request|text|prompt|content)"
+_SHOWN = f"regexp_replace(lines[i], {quoted(r'^\s+|\s+$')}, '', 'g')"
+# what stands within 150 characters of where the line's text first comes
+_AROUND = f"substr(t, greatest(1, strpos(t, {_SHOWN}) - 150), 150 + least(150, strpos(t, {_SHOWN}) - 1))"
+_ROOT = f"trim(split_part(regexp_extract({_SHOWN}, {quoted(r'\$\{([^}]+)\}|#\{([^}]+)\}|\\?\(([^)]+)\)')}, 1), '.', 1))"
+_SANITISED = rf"({_ROOT} <> '' and regexp_matches({_AROUND}, {quoted(r'(?:sanitize|sanitise|escape|htmlEscape|xss|DOMPurify\.sanitize|validator\.escape|encodeURIComponent|stripTags)\s*\(\s*')} || regexp_escape({_ROOT}) || '(?:[^0-9A-Za-z_]|$)'))"
+_FENCED = f"regexp_escape(split_part(regexp_extract(lines[i], {quoted(r'(?:```|\\`\\`\\`)\s*\$\{([a-zA-Z_$][a-zA-Z0-9_$.\[\]' + chr(39) + r'\x22]*)\}')}, 1), '.', 1))"
+_SOURCES = r"(?:(?:req|request)\s*\.\s*(?:body|query|params|headers|cookies|form|args|values)\b|process\.argv\b|location\s*\.\s*(?:search|hash|href)\b|document\s*\.\s*cookie\b|\.searchParams\s*\.\s*get\s*\()"
+_TAINTED = f"regexp_extract_all(t, {quoted(r'(?m)(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=[^\n]*' + _SOURCES)}, 1)"
+_TEMPLATES = f"regexp_extract_all(lines[i], {quoted(r'`[^`]*`')})"
+_PROMPTED = r"(?i)\b(?:you are|your (?:role|task|job)|system|assistant|prompt|answer|summari[sz]|translat|respond|reply|instruction|context)\b"
+_INTO = f"len(list_filter({_TEMPLATES}, lambda x: regexp_matches(x, {quoted(_PROMPTED)}) and len(list_filter({_TAINTED}, lambda v: not regexp_matches(v, {quoted(r'(?i)^(?:user[a-z_]*|input|query|message|request|text|prompt|content)$')}) and regexp_matches(x, {quoted(r'\$\{\s*')} || regexp_escape(v) || {quoted(r'[}.\[(?\s]')}))) > 0)) > 0"
+
 #: rule: (condition, "each" line, only the "first", or the "whole" text at line 1)
 CONDITIONS: dict[str, tuple[str, str]] = {
+    "INJ-001": ("(" + " or ".join((_m(_LINE, rf"(?i)\$\{{{_USER}\}}"), f"(ext = '.py' and {_m(_LINE, rf'(?i)\bf[{chr(39)}{chr(34)}].*\{{{_USER}\}}')})", f"(ext = '.cs' and {_m(_LINE, rf'(?i)\$[{chr(39)}{chr(34)}].*\{{{_USER}\}}')})", f"(ext = '.rb' and {_m(_LINE, rf'(?i)#\{{{_USER}\}}')})", f"(ext = '.swift' and {_m(_LINE, rf'(?i)\\\({_USER}\)')})"))
+        + ") and not " + _m(_AROUND, r"(?i)```|<USER>|\[USER\]|untrusted|user content|user input") + " and not " + _SANITISED, "each"),
+    # what must not follow the bracket or the colon can't, as a letter must
+    "INJ-005": (_m(_LINE, r"(?i)JSON\.stringify\s*\(\s*[a-zA-Z_$]") + " and (kind in ('template-string', 'object-field', 'chat-message') or " + _m("t", "(?i)system|prompt|instruction|message|content|role") + ")", "each"),
+    "INJ-007": (_m(_LINE, r"(?:```|\\`\\`\\`)\s*\$\{[a-zA-Z_$][a-zA-Z0-9_$.\[\]'\x22]*\}") + f" and not regexp_matches({_window(5, 0)}, {_FENCED} || {quoted(r'\s*\.\s*replace\s*\(\s*/[^\n\r]*`|')} || {_FENCED} || {quoted(r'\s*=[^\n\r]*replace[^\n\r]*`')})", "each"),
+    "INJ-013": (_CODE + " and " + _m(_LINE, rf"(?i)role\s*:\s*{_Q}(?:tool|function){_Q}") + " and " + _m(_window(0, 5), r"(?i)content\s*:\s*[a-z_$]"), "each"),
+    # assignments of request data, and templates of one line
+    "INJ-015": (_CODE + " and " + _INTO, "each"),
+    "INJ-016": (_CODE + " and (ext = '.py' and " + _m(_LINE, r"(?i)(?:Template|from_string|render_template_string)\s*\(\s*[a-z_]") + " or ext in ('.ts', '.js', '.tsx', '.jsx', '.vue') and " + _m(_LINE, r"(?i)(?:Handlebars\.compile|nunjucks\.renderString|Mustache\.render|ejs\.render)\s*\(\s*[a-z_$]") + ")", "each"),
     "JBK-002": (
         _m(_LINE, r"(?i)always comply|must (always )?answer|no matter what|at all costs|under (any|all) circumstances|never (refuse|decline|say no)|you (cannot|can't|must not) (refuse|decline)|comply with (all|every|any) request")
         + " and not " + _m("lower(trim(lines[i]))", r"(?:never|do not|don't)\s.{0,60}under (any|all) circumstances"), "each"),
