@@ -11,6 +11,8 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.sources.globs import Wanted, listed, local_entries, store_entries
+
 #: What is scanned by default.
 INCLUDE = ("**/*.md", "**/*.txt", "**/*.yaml", "**/*.yml", "**/*.json", "**/*.ts", "**/*.js", "**/*.prompt", "**/*.prompt.*")
 EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/coverage/**", "**/*.min.js", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml")
@@ -20,38 +22,23 @@ ENVIRONMENT = {"PALISADE_THRESHOLD": ("threshold", int), "PALISADE_FAIL_ON": ("f
 IGNORE_FILE, CONFIG_FILE = ".houndignore", ".palisaderc.json"
 
 
-def glob_regex(glob: str) -> str:
-    """A glob over whole relative paths; * stays within a folder and does not take a leading dot."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif glob[i] == "?":
-            out, i = out + "[^/]", i + 1
-        elif glob[i] == "{" and "}" in glob[i:]:
-            j = glob.index("}", i)
-            out, i = out + "(?:" + "|".join(map(re.escape, glob[i + 1 : j].split(","))) + ")", j + 1
-        else:
-            out, i = out + re.escape(glob[i]), i + 1
-    return f"^{out}$"
-
-
 def read_files(spark: SparkSession, root: str, include=INCLUDE, exclude=EXCLUDE) -> DataFrame:
-    """(path, mtime, content) of the files under root that the globs take; names with a leading dot are left out.
-
-    Paths are filtered before any content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^\w+:/*", "/", root.rstrip("/")) + "/"
+    """(path, mtime, content) of the files under root that the globs take (globs.py has what they may hold).
+
+    Folders in which nothing can be wanted are not listed. Paths are listed on the driver, as Spark does; contents are read by tasks."""
+    root = re.sub(r"^file:/*", "/", root)
+    base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
+    entries = local_entries(base) if "://" not in root else store_entries(spark, base)
+    # the characters of Hadoop's own globs stand for themselves here
+    paths = [f"{base}/" + p for p in listed(entries, Wanted(include, exclude))]
+    if not paths:
+        return spark.createDataFrame([], "path string, mtime timestamp, content string")
+    scheme = "" if "://" in root else "file://"
+    raw = spark.read.format("binaryFile").load([scheme + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths])
+    start = re.sub(r"^\w+:/*", "/", base) + "/"
     path = F.regexp_replace("path", r"^\w+:/*", "/")
-    rel = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
-    any_of = lambda globs: F.lit(False) if not globs else rel.rlike("|".join(glob_regex(g) for g in globs))
-    text = F.expr("make_valid_utf8(cast(content as string))")
-    keep = any_of(include) & ~any_of(exclude) & ~rel.rlike(r"(^|/)\.")
-    return raw.where(keep).select(rel.alias("path"), F.col("modificationTime").alias("mtime"), text.alias("content"))
+    rel = F.when(path.startswith(start), F.substring(path, len(start) + 1, 1 << 20)).otherwise(path)
+    return raw.select(rel.alias("path"), F.col("modificationTime").alias("mtime"), F.expr("make_valid_utf8(cast(content as string))").alias("content"))
 
 
 def read_table(df: DataFrame, path, content: str = "text") -> DataFrame:
