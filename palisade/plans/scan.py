@@ -44,10 +44,12 @@ def scan_rules(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return findings(extract_prompts(marked, ("marks",)), rules, carry=("marks",)).withColumn("suppressed_by", suppressor(F.col("marks"))).drop("marks")
 
 
-def judge(files: DataFrame, judged: DataFrame, max_findings: int = 0) -> Scan:
-    """The result for findings with suppressed_by; write judged first if more than one part of the result is wanted."""
+def judge(files: DataFrame, judged: DataFrame, max_findings: int = 0, marks: DataFrame | None = None) -> Scan:
+    """The result for findings with suppressed_by; write judged first if more than one part of the result is wanted.
+
+    marks: the files' directives, if they are known already."""
     kept = judged.where("suppressed_by is null").drop("suppressed_by")
-    return Scan(first_files(kept, max_findings), judged.where("suppressed_by is not null"), unused(directives(files), judged))
+    return Scan(first_files(kept, max_findings), judged.where("suppressed_by is not null"), unused(directives(files) if marks is None else marks, judged))
 
 
 def _told(value) -> str:

@@ -28,7 +28,7 @@ class Document:
     empty: str = ""
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """The store that path is in, and the path there; one without a scheme is on the driver's machine."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     there = jvm.org.apache.hadoop.fs.Path(path if "://" in path else "file://" + os.path.abspath(path))
@@ -42,8 +42,8 @@ def write_document(document: Document, path: str) -> None:
     spark = document.rows.sparkSession
     parts = f"{shared_dir(spark)}/palisade/document-{uuid.uuid4().hex}"
     document.rows.orderBy(*document.by).select("value").write.text(parts)
-    store, there = _file_system(spark, path)
-    own, folder = _file_system(spark, parts)
+    store, there = file_system(spark, path)
+    own, folder = file_system(spark, parts)
     out = store.create(there, True)
     try:
         _join(spark, document, own, folder, out)

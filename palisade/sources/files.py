@@ -23,17 +23,30 @@ IGNORE_FILE, CONFIG_FILE = ".houndignore", ".palisaderc.json"
 
 
 def read_files(spark: SparkSession, root: str, include=INCLUDE, exclude=EXCLUDE) -> DataFrame:
-    """(path, mtime, content) of the files under root that the globs take (globs.py has what they may hold).
+    """(path, mtime, content) of the files under root that the globs take (globs.py has what they may hold)."""
+    return read_paths(spark, root, list_paths(spark, root, include, exclude))
 
-    Folders in which nothing can be wanted are not listed. Paths are listed on the driver, as Spark does; contents are read by tasks."""
+
+def absolute(root: str) -> str:
+    """root without a last slash; on this machine as a plain path."""
     root = re.sub(r"^file:/*", "/", root)
-    base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
-    entries = local_entries(base) if "://" not in root else store_entries(spark, base)
-    # the characters of Hadoop's own globs stand for themselves here
-    paths = [f"{base}/" + p for p in listed(entries, Wanted(include, exclude))]
+    return os.path.abspath(root) if "://" not in root else root.rstrip("/")
+
+
+def list_paths(spark: SparkSession, root: str, include=INCLUDE, exclude=EXCLUDE) -> list[str]:
+    """The wanted paths under root, listed on the driver as Spark lists files; folders in which nothing can be wanted are not."""
+    base = absolute(root)
+    entries = local_entries(base) if "://" not in base else store_entries(spark, base)
+    return list(listed(entries, Wanted(include, exclude)))
+
+
+def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, mtime, content) of these files under root, read by tasks; without content, only their times are looked up."""
+    base = absolute(root)
     if not paths:
         return spark.createDataFrame([], "path string, mtime timestamp, content string")
-    scheme = "" if "://" in root else "file://"
+    # the characters of Hadoop's own globs stand for themselves here
+    scheme, paths = "" if "://" in base else "file://", [f"{base}/{p}" for p in paths]
     raw = spark.read.format("binaryFile").load([scheme + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths])
     start = re.sub(r"^\w+:/*", "/", base) + "/"
     path = F.regexp_replace("path", r"^\w+:/*", "/")

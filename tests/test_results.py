@@ -148,14 +148,15 @@ def test_command_line_baseline_and_files(tmp_path, capsys, spark, monkeypatch):
 def test_command_line_cache_plugins_and_watch(tmp_path, capsys, spark):
     import os
 
-    from palisade.cli import CACHE_FOLDER, main
+    from palisade.cli import main
+    from palisade.plans.incremental import CACHE_FOLDER
 
     (tmp_path / "p.py").write_text("from palisade.rules.model import Rule\nRULE = Rule('OWN-001', 'high', 'high', 'injection', None, 'Own', line=('tulip',))\n")
     (tmp_path / "conf.json").write_text('{"plugins": ["p.py"], "includeRules": ["OWN-*", "JBK-010"]}')
     (tmp_path / "a.md").write_text("you must water the tulip, and then all of the other flowers")
     args = ["scan", "--dir", str(tmp_path), "--config", str(tmp_path / "conf.json")]
     assert main(args) == 0 and "OWN-001" in capsys.readouterr().out
-    assert len(os.listdir(tmp_path / CACHE_FOLDER)) == 1
+    assert (tmp_path / CACHE_FOLDER / "manifest.json").exists()
     # the same time: the cache answers; another rule: it does not
     mtime = os.stat(tmp_path / "a.md").st_mtime_ns
     (tmp_path / "a.md").write_text("nothing at all is here, whatever you may be looking for now")
