@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palisade.functions.matcher import BITS, held
 from palisade.functions.regexes import has
 from palisade.functions.utf16 import prefix
+from palisade.operators.suppress import silenced
 from palisade.rules.catalogue import FAMILIES, RULES
 from palisade.rules.model import EVIDENCE_UNITS, MATCH, Prompt, Rule, compile_rule, holds, required_groups
 from palisade.ship import ship
@@ -63,11 +64,14 @@ def _column(app: str, place: int, rules: tuple[Rule, ...]) -> Column:
     return _compiled[key]
 
 
-def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = (), every: bool = False, marks: str | None = None) -> DataFrame:
     """Every match, duplicates among overlapping prompts included, with the prompt's reductions.
 
+    marks: the column of the file's directives; matches then have suppressed_by, and the directives go no further.
+
     every: a prompt without a match has a row whose rule_id is null. No row is moved, so it also works on streams."""
     own = ["path", *keep, *carry, "prompt_ord", "kind"]
+    along = [marks] if marks else []
     families = [tuple(r for r in family if r in rules) for family in FAMILIES.values()]
     plugged = tuple(r for r in rules if not any(r in f for f in FAMILIES.values()))
     families = [f for f in (*families, *(plugged[i : i + BITS] for i in range(0, len(plugged), BITS))) if f]
@@ -77,11 +81,12 @@ def raw_matches(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple
     df = df.withColumns({"lines": F.split("text", "\n", -1), "held": held(F.col("low"), tuple(tuple(map(required_groups, f)) for f in families))})
     columns = [_column(app, i, family) for i, family in enumerate(families)]
     # an expression for each family; the arrays meet in one explode
-    wide = df.select(*own, "text", "low", *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
-    found = wide.select(*own, "text", "low", (F.concat(*[F.col(f"__f{i}") for i in range(len(columns))]) if columns else F.array().cast(MATCH)).alias("__found"))
+    wide = df.select(*own, *along, "text", "low", *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
+    found = wide.select(*own, *along, "text", "low", (F.concat(*[F.col(f"__f{i}") for i in range(len(columns))]) if columns else F.array().cast(MATCH)).alias("__found"))
     # what softens a finding is looked for only where there is one
     soft = F.map_from_arrays(*(F.array(*x) for x in zip(*((F.lit(k), v) for k, v in mitigations(F.col("text"), F.col("low")).items()), strict=True)))
-    told = found.select(*own, F.when(F.size("__found") > 0, soft).alias("soft"), "__found")
+    matches = silenced(F.col("__found"), F.col(marks)).alias("__found") if marks else F.col("__found")
+    told = found.select(*own, F.when(F.size("__found") > 0, soft).alias("soft"), matches)
     # the outer form, as for the other one the optimiser infers a filter that runs every rule once more
     rows = told.select(*own, "soft", F.inline_outer("__found"))
     return (rows if every else rows.where("rule_id is not null")).withColumn("evidence", prefix(F.col("evidence"), EVIDENCE_UNITS))
@@ -93,12 +98,12 @@ def first_of_duplicates(matches: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     return matches.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def findings(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+def findings(prompts: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), carry: tuple[str, ...] = (), marks: str | None = None) -> DataFrame:
     """(path, keep, carry, rule columns, line_start, line_end, evidence, risk_points) of prompts (path, ext, prompt_ord, kind, text, line_start, line_end).
 
-    keep: columns that tell prompts of one path apart; carry: columns that only come along."""
-    joined = with_points(first_of_duplicates(raw_matches(prompts, rules, keep, carry), keep), rules)
-    return joined.select("path", *keep, *carry, "rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "rule_ord", "prompt_ord", "kind", "line_start", "line_end", "evidence", "risk_points")
+    keep: columns that tell prompts of one path apart; carry: columns that only come along; marks: that of the file's directives, which gives suppressed_by."""
+    joined = with_points(first_of_duplicates(raw_matches(prompts, rules, keep, carry, marks=marks), keep), rules)
+    return joined.select("path", *keep, *carry, *(["suppressed_by"] if marks else []), "rule_id", "title", "severity", "confidence", "category", "mitre", "remediation", "rule_ord", "prompt_ord", "kind", "line_start", "line_end", "evidence", "risk_points")
 
 
 def with_points(matches: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from palisade.functions.let import let
 # The directives' syntax.
 DIRECTIVE = r"(?i)hound-(disable-next-line|disable-line|disable|enable)(?![0-9A-Za-z_])([^\n]*)"
 RULE_ID = r"([A-Za-z][A-Za-z0-9]*-\d+)"
+SILENCED = "array<struct<rule_id:string,line_start:int,line_end:int,evidence:string,suppressed_by:int>>"
 MARKS = "array<struct<ord:int,kind:string,line:int,first:int,last:int,rule_ids:array<string>,reason:string>>"
 
 
@@ -52,12 +53,36 @@ def directives(files: DataFrame) -> DataFrame:
     return files.select("path", F.inline(marks_of(F.col("content"))))
 
 
-def suppressor(marks: Column) -> Column:
-    """The ord of the first mark that covers the finding's line and rule, or null."""
-    covers = F.filter(marks, lambda d: F.col("line_start").between(d["first"], d["last"]) & (d["rule_ids"].isNull() | F.array_contains(d["rule_ids"], F.col("rule_id"))))
+def suppressor(marks: Column, line=None, rule=None) -> Column:
+    """The ord of the first mark that covers a finding's line and rule, or null."""
+    line, rule = F.col("line_start") if line is None else line, F.col("rule_id") if rule is None else rule
+    covers = F.filter(marks, lambda d: line.between(d["first"], d["last"]) & _names(d, rule))
     return F.get(covers, F.lit(0))["ord"]
 
 
+def _names(mark: Column, rule: Column) -> Column:
+    return mark["rule_ids"].isNull() | F.array_contains(mark["rule_ids"], rule)
+
+
+def silenced(found: Column, marks: Column) -> Column:
+    """found, an array of matches of one file, each with suppressed_by: the ord of the first of the file's marks that covers it, or null.
+
+    A line has at most one mark of its own and one from the line before, so these are looked up by line; only blocks are tried one by one."""
+
+    def of_kind(kind):
+        return F.map_from_entries(F.transform(F.filter(marks, lambda d: d["kind"] == kind), lambda d: F.struct(d["first"], d)))
+
+    def told(index):
+        def first(x):
+            own = [F.when(_names(d, x["rule_id"]), d["ord"]) for d in (F.try_element_at(index["own"], x["line_start"]), F.try_element_at(index["next"], x["line_start"]))]
+            return F.least(*own, suppressor(index["blocks"], x["line_start"], x["rule_id"]))
+
+        return F.transform(found, lambda x: F.struct(x["rule_id"], x["line_start"], x["line_end"], x["evidence"], first(x).alias("suppressed_by")))
+
+    index = F.struct(of_kind("disable-line").alias("own"), of_kind("disable-next-line").alias("next"), F.filter(marks, lambda d: d["kind"] == "disable").alias("blocks"))
+    return F.when(F.size(found) > 0, let(index, told)).otherwise(F.array().cast(SILENCED)).cast(SILENCED)
+
+
 def with_suppressor(findings: DataFrame, found: DataFrame) -> DataFrame:
     """findings and suppressed_by: the ord of the first directive that covers the line and the rule, or null.
 

@@ -20,7 +20,7 @@ from palisade.operators import baseline as base
 from palisade.operators.extract import CHAT_LINES, OBJECT_LINES, PROMPT_KEY, ROLE_CONTENT, STRUCTURED_LINES, extract_prompts
 from palisade.operators.findings import findings
 from palisade.operators.scoring import capped, file_scores, first_files, label, repo_result
-from palisade.operators.suppress import directives, marks_of, suppressor, unused
+from palisade.operators.suppress import directives, marks_of, unused
 from palisade.plans import file_queries, text_queries
 from palisade.plans.oracle import expressible, findings_sql, in_sql
 from palisade.plans.payloads import PAYLOADS
@@ -149,7 +149,7 @@ def _silenced(spark, sf_dir):
     files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat("text", F.lit("\n"), extra).alias("content"))
     rules = tuple(r for r in FAMILIES["jailbreak"] if expressible(r) and r.id != "JBK-001")
     prompts = files.select("path", marks_of(F.col("content")).alias("marks"), F.lit(".md").alias("ext"), F.lit(0).alias("prompt_ord"), F.lit("raw").alias("kind"), F.col("content").alias("text"), F.lit(1).alias("line_start"), F.size(F.split("content", "\n", -1)).alias("line_end"))
-    return directives(files), findings(prompts, rules, carry=("marks",)).withColumn("suppressed_by", suppressor(F.col("marks")))
+    return directives(files), findings(prompts, rules, marks="marks")
 
 
 def suppressed(spark, sf_dir):

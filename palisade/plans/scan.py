@@ -15,7 +15,7 @@ from palisade.functions.spread import spread
 from palisade.operators.extract import extract_prompts
 from palisade.operators.findings import findings
 from palisade.operators.scoring import first_files, repo_result
-from palisade.operators.suppress import directives, marks_of, suppressor, unused
+from palisade.operators.suppress import directives, marks_of, unused
 from palisade.rules.catalogue import select
 from palisade.rules.model import Rule
 
@@ -39,9 +39,9 @@ def scan(files: DataFrame, include=(), exclude=(), min_confidence: str | None =
 
 def scan_rules(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of files (path, content), with suppressed_by."""
-    # marks come along with the prompts, so files are read once
+    # marks come along with the prompts, so files are read once; no shuffle has them
     marked = spread(files).select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("marks", marks_of(F.col("content")))
-    return findings(extract_prompts(marked, ("marks",)), rules, carry=("marks",)).withColumn("suppressed_by", suppressor(F.col("marks"))).drop("marks")
+    return findings(extract_prompts(marked, ("marks",)), rules, marks="marks")
 
 
 def judge(files: DataFrame, judged: DataFrame, max_findings: int = 0, marks: DataFrame | None = None) -> Scan:

@@ -14,7 +14,7 @@ from palisade.functions.spread import spread
 from palisade.operators.extract import extract_prompts
 from palisade.operators.findings import findings, raw_matches, with_points
 from palisade.operators.scoring import capped, label, label_of
-from palisade.operators.suppress import marks_of, suppressor
+from palisade.operators.suppress import marks_of
 from palisade.rules.catalogue import RULES, select
 from palisade.rules.model import Rule, js_trim
 
@@ -154,8 +154,8 @@ def watched(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     The state of a path is its last findings, those that no directive silences. A null content says that the file is gone."""
     marked = files.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("marks", marks_of(F.col("content")))
-    found = raw_matches(extract_prompts(marked, ("marks",), every=True), rules, carry=("marks",), every=True)
-    shown = F.when(suppressor(F.col("marks")).isNull(), F.col("rule_id"))
+    found = raw_matches(extract_prompts(marked, ("marks",), every=True), rules, every=True, marks="marks")
+    shown = F.when(F.col("suppressed_by").isNull(), F.col("rule_id"))
     found = found.select("path", shown.alias("rule_id"), "line_start")
 
     def compare(group, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

@@ -1,12 +1,13 @@
 import dataclasses
 import json
+import random
 import xml.dom.minidom
 
 from pyspark.sql import functions as F
 
 from palisade.operators import baseline as base
 from palisade.operators.scoring import exit_code, first_files, repo_result
-from palisade.operators.suppress import directives, unused, with_suppressor
+from palisade.operators.suppress import directives, marks_of, silenced, unused, with_suppressor
 from palisade.plans.scan import scan, signature
 from palisade.rules.catalogue import RULES
 from palisade.sinks import reports
@@ -33,6 +34,28 @@ def test_directives(spark):
     assert rows(unused(found, judged), "line") == [(5,)]
 
 
+def test_silenced_in_place(spark):
+    """Matches are silenced beside their file's directives as by a join: also where lines, next lines and blocks meet."""
+    rng = random.Random(8)
+    ids = ("", " A-1", " A-1, B-2", " B-2 -- why")
+    texts = ["\n".join(rng.choice(["x", "x", "# hound-" + rng.choice(("disable-line", "disable-next-line", "disable", "enable")) + rng.choice(ids)]) for _ in range(30)) for _ in range(40)]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
+    found = [(r, n, n, "e") for n in range(1, 31) for r in ("A-1", "B-2", "C-3")]
+    one = files.select("path", silenced(F.array(*[F.struct(*map(F.lit, x)) for x in found]).cast("array<struct<rule_id:string,line_start:int,line_end:int,evidence:string>>"), marks_of(F.col("content"))).alias("f"))
+    got = one.select("path", F.inline("f")).select("path", "rule_id", "line_start", "suppressed_by")
+    flat = files.select("path", F.explode(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(n).alias("line_start")) for r, n, *_ in found])).alias("x")).select("path", "x.*")
+    want = with_suppressor(flat, directives(files)).select("path", "rule_id", "line_start", "suppressed_by")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("suppressed_by is not null").count() > 500
+
+
+def test_many_directives(spark):
+    """A file with as many directives as findings."""
+    n = 3000
+    text = "\n".join(f"engage GODMODE // hound-disable-line JBK-01{k % 2}" for k in range(n))
+    done = scan(spark.createDataFrame([("a.md", text)], "path string, content string"), include=("JBK-010",))
+    assert done.kept.count() == n // 2 and done.suppressed.count() == n // 2
+
+
 def test_scores_and_gates(spark):
     f = spark.createDataFrame([("a", "R", 1, 50, "critical"), ("a", "R", 2, 30, "high"), ("b", "R", 1, 11, "medium")], F_SHAPE)
     r = repo_result(f, 100).first()
