@@ -13,6 +13,8 @@ Decoding turns ids into bytes piece by piece; an incremental UTF-8 decoder carri
 is split between pieces.
 
 Null and empty texts have no tokens. Repeated rows are encoded alike; extra columns are ignored.
+Very long texts are encoded whole, piece by piece of the splitting pattern; of tied merges the one of lower rank that stands further left goes first,
+as ranks are distinct. An empty table gives no rows.
 """
 
 from __future__ import annotations
