@@ -9,13 +9,17 @@ Spark job over both tables:
 2. Each task sweeps its range: a run of pieces takes the run of gaps seen last, which is its
    successor, the tightest gap that holds it. Contention is resolved by rank: larger lengths come first
    and a length's ranks are handed out in order. A gap takes as many equal pieces as it holds.
-3. What no gap of its range could hold is swept once more against what the other ranges left over. Pieces that
-   find no gap at all and are longer than 1 / BAND of the longest one open sequences, larger first.
-4. Gaps are updated; runs and matches are written; the next superstep reads them.
+3. Ranges meet in pairs, then pairs of pairs, as brackets are matched in parallel: the gaps that the larger half has left over
+   meet the pieces that the smaller half could not place, and nothing else moves. So no task sees all runs.
+4. Pieces that found no gap at all and are longer than 1 / BAND of the longest one open sequences: whole sequences of one length
+   each range by itself, then what is left of the lengths, under one sequence each, larger first, in one task. That rest is at most
+   a row for each of the capacity's lengths, whatever the corpus.
+5. Gaps are updated; runs and matches are written; the next superstep reads them.
 
 After a superstep no piece longer than 1 / BAND of the longest is left, so there are at most
 log(capacity) / log(BAND) supersteps. Matches are ranges of ranks. Pieces get their ranks from a distributed
-count over (length, salt), with more salts for a length of many pieces, and find their place in the ranges.
+count over (length, salt), with more salts for a length of many pieces, and find their place in the ranges: in a broadcast table of
+at most MOST_MATCHES ranges (counted first), beyond that by blocks of ranks, in which pieces and ranges are sorted together.
 
 Null and empty texts are one end token. Very long texts give many pieces, each a row. Pieces of equal length are ranked by
 (salt, doc_id, piece, checksum); repeated rows are packed each on its own. A null doc_id is kept. An
@@ -42,12 +46,13 @@ CACHE_WORDS, CACHE_BYTES = 1 << 19, 48
 TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 256
 #: In a superstep pieces longer than 1 / BAND of the longest are all placed.
 BAND = 2.0
-#: Ranges that a superstep's runs are dealt to.
-RANGES = 4
+#: Ranges that a superstep's runs are dealt to, 2 ** LEVELS.
+LEVELS = 2
+RANGES = 1 << LEVELS
 #: Pieces of a length and salt that are ranked together, at least and at most.
 RANKED = (256, 20_000)
-#: Matches that may be broadcast, of 40 bytes each.
-MOST_MATCHES = 4_000_000
+#: Matches that may be broadcast, of 40 bytes each; beyond it, ranks that are placed together.
+MOST_MATCHES, PLACED = 500_000, 10_000
 
 
 def _gaps(found: list) -> list[int]:
@@ -183,7 +188,7 @@ def opened(pieces, longest: int, step: int, capacity: int = CAPACITY, band: floa
         if size * band <= longest:
             left.append((size, n, rank))
             continue
-        first = step << 57 | size << 40  # a length opens sequences once a superstep
+        first = step << 57 | size << 40 | 1 << 39  # a length opens shared sequences once a superstep
         while n:
             if gap >= size:
                 each, used, base, at = min(gap // size, n), 1, capacity - gap, shared
@@ -203,39 +208,91 @@ def opened(pieces, longest: int, step: int, capacity: int = CAPACITY, band: floa
     return matches, left, [*gaps, (gap, 1, shared)] if gap else gaps
 
 
+def filled(pieces, longest: int, step: int, capacity: int = CAPACITY, band: float = BAND):
+    """(matches, pieces left, gaps) after the pieces longer than longest / band filled whole sequences with their own length."""
+    matches, left, gaps = [], [], []
+    for size, n, rank in pieces:
+        each, first = capacity // size, step << 57 | size << 40
+        used = n // each if size * band > longest else 0
+        if used:
+            matches += [(size, used, first, rank + c * used, c * size) for c in range(each)]
+            gaps += [(capacity - each * size, used, first)] if each * size < capacity else []
+        if n > used * each:
+            left.append((size, n - used * each, rank + used * each))
+    return matches, left, gaps
+
+
 def _batch(rows):
     cols = list(zip(*rows, strict=True)) or [()] * 6
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "size", "n", "at", "left", "offset"])
 
 
-def _state(pieces, gaps, matches):
-    return _batch([*((PIECES, *p, None, None) for p in pieces), *((GAPS, *g, None, None) for g in gaps), *_rows(MATCH, matches)])
+#: SHAPE with the range of a run. Gaps with left = 1 are new: they wait for the next superstep.
+RANGED = SHAPE + ", part int"
+_FIELDS = ("kind", "size", "n", "at", "left", "offset", "part")
+
+
+def _ranged(rows: list[tuple]) -> pa.Table:
+    plain, parts = _batch([r[:6] for r in rows]), pa.array([r[6] for r in rows], pa.int32())
+    return pa.Table.from_batches([plain]).append_column("part", parts)
+
+
+def _left(part: int, matches, pieces, gaps, fresh) -> list[tuple]:
+    """What a sweep leaves, as rows of RANGED."""
+    held = [(PIECES, *p, None, None) for p in pieces] + [(GAPS, *g, 0, None) for g in gaps] + [(GAPS, *g, 1, None) for g in fresh]
+    return [(*r, part) for r in [*held, *_rows(MATCH, matches)]]
+
+
+def _new(rows: list[tuple], opening, step: int, longest: int, capacity: int, band: float) -> list[tuple]:
+    """rows after each range's pieces took new sequences by `opening`: filled or opened."""
+    out = [r for r in rows if r[0] != PIECES]
+    for part in {r[6] for r in rows if r[0] == PIECES}:
+        own = sorted((r[1:4] for r in rows if r[0] == PIECES and r[6] == part), key=lambda p: -p[0])
+        matches, pieces, gaps = opening(own, longest, step, capacity, band)
+        out += _left(part, matches, pieces, gaps, [])
+    return out
 
 
 def superstep(runs: DataFrame, step: int, longest: int, capacity: int = CAPACITY, band: float = BAND) -> DataFrame:
     """The runs left and the matches of one superstep over runs (GAPS and PIECES)."""
 
     def within(batches):
-        own = [r for b in batches for r in zip(*(b[c].to_pylist() for c in ("kind", "size", "n", "at")), strict=True)]
-        matches, pieces, gaps, fresh = sweep(own, capacity)
-        # new gaps wait for the next superstep: marked by left = 1
-        yield _batch([*((PIECES, *p, None, None) for p in pieces), *((GAPS, *g, 0, None) for g in gaps), *((GAPS, *g, 1, None) for g in fresh), *_rows(MATCH, matches)])
-
-    def between(batches):
-        held, waiting, done = [], [], []
-        for b in batches:
-            for r in zip(*(b[c].to_pylist() for c in ("kind", "size", "n", "at", "left", "offset")), strict=True):
-                (done if r[0] == MATCH else waiting if r[0] == GAPS and r[4] else held).append(r)
-        matches, pieces, gaps, fresh = sweep([r[:4] for r in held], capacity)
-        more, pieces, own = opened(pieces, longest, step, capacity, band)
-        yield _state(pieces, [*gaps, *fresh, *own, *(r[1:4] for r in waiting)], [*matches, *more])
-        if done:
-            yield _batch(done)
+        from pyspark import TaskContext
+
+        own = [r for b in batches for r in zip(*(b[c].to_pylist() for c in _FIELDS[:4]), strict=True)]
+        # ranges are numbered from the largest sizes on
+        yield from _ranged(_left(TaskContext.get().partitionId(), *sweep(own, capacity))).to_batches()
+
+    def meeting(level: int):
+        def meet(key, table):
+            rows = list(zip(*(table[c].to_pylist() for c in _FIELDS), strict=True))
+            if key[0].as_py() >= 0:
+                by_size = sorted(rows, key=lambda r: (-r[1], r[0], r[3]))
+                parts = {GAPS: {r[3]: r[6] for r in rows if r[0] == GAPS}, PIECES: {r[1]: r[6] for r in rows if r[0] == PIECES}}
+                matches, pieces, gaps, fresh = sweep([r[:4] for r in by_size], capacity)
+                low = max(parts[PIECES].values(), default=rows[0][6])
+                rows = _left(low, matches, [], [], fresh)
+                for p in pieces:
+                    rows += _left(parts[PIECES][p[0]], [], [p], [], [])
+                rows += _left(min(parts[GAPS].values(), default=low), [], [], gaps, [])
+            return _ranged(_new(rows, filled, step, longest, capacity, band) if level == LEVELS - 1 else rows)
+
+        return meet
+
+    def rest(key, table):
+        rows = list(zip(*(table[c].to_pylist() for c in _FIELDS), strict=True))
+        return _ranged(rows if key[0].as_py() < 0 else _new([(*r[:6], 0) for r in rows], opened, step, longest, capacity, band))
 
     order = (F.desc("size"), "kind", "at")
-    swept = runs.repartitionByRange(RANGES, F.desc("size"), "kind", "at").sortWithinPartitions(*order).mapInArrow(within, SHAPE)
-    return swept.coalesce(1).sortWithinPartitions(*order).mapInArrow(between, SHAPE)
+    now = runs.repartitionByRange(RANGES, *order).sortWithinPartitions(*order).mapInArrow(within, RANGED)
+    for level in range(LEVELS):
+        smaller = F.shiftright("part", level).bitwiseAND(F.lit(1)) == 1
+        waits = (F.col("kind") == PIECES) & smaller | (F.col("kind") == GAPS) & (F.col("left") == 0) & ~smaller
+        team = F.when(waits, F.shiftright("part", level + 1)).otherwise(-1 - F.col("part"))
+        now = now.withColumn("team", team).groupBy("team").applyInArrow(meeting(level), RANGED)
+    over = (F.col("kind") == PIECES) & (F.col("size") * F.lit(band) > longest)
+    return now.withColumn("team", F.when(over, 0).otherwise(-1 - F.col("part"))).groupBy("team").applyInArrow(rest, RANGED).drop("part")
 
 
 def supersteps(counts: DataFrame, capacity: int = CAPACITY, band: float = BAND) -> DataFrame:
@@ -251,17 +308,12 @@ def supersteps(counts: DataFrame, capacity: int = CAPACITY, band: float = BAND)
     return runs.where(F.col("kind") == MATCH) if found is None else found
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, most_matches: int = MOST_MATCHES) -> DataFrame:
     """parts (with a column length up to capacity) and sequence_id, offset."""
     spark = parts.sparkSession
     parts = written(parts, "pieces")
     counts = written(parts.groupBy("length").agg(F.count("*").alias("n")), "lengths")
-    matches = supersteps(counts, capacity).select("size", F.col("left").alias("rank"), F.col("at").alias("first"), "offset")
-    # the runs of at most `capacity` lengths: bounded, and checked
-    plan = np.array(sorted(map(tuple, matches.limit(MOST_MATCHES + 1).collect())), np.int64).reshape(-1, 4)
-    if len(plan) > MOST_MATCHES:
-        raise ValueError(f"more than {MOST_MATCHES} ranges: the capacity is too large for this plan")
-    held = spark.sparkContext.broadcast((plan[:, 0] << 40 | plan[:, 1], plan))
+    matches = supersteps(counts, capacity).select("size", F.col("left").alias("rank"), "n", F.col("at").alias("first"), "offset")
     total = counts.agg(F.sum("n")).first()[0] or 0
     ranked = min(max(total // 1000, RANKED[0]), RANKED[1])
     # lengths of many pieces: at most `capacity` rows
@@ -272,7 +324,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = sizes.select("length", "__salt", before.alias("__before"))
     own = F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     placed = salted.withColumn("__rank", own).join(sizes, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    cols = parts.columns
+    return _looked_up(placed, matches, parts) if matches.count() <= most_matches else _merged(placed, matches, parts)
+
+
+def _looked_up(placed: DataFrame, matches: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every piece's place, by a search in the broadcast matches."""
+    plan = np.array(sorted(map(tuple, matches.select("size", "rank", "first", "offset").collect())), np.int64).reshape(-1, 4)
+    held, cols = parts.sparkSession.sparkContext.broadcast((plan[:, 0] << 40 | plan[:, 1], plan)), parts.columns
 
     def place(batches):
         keys, rows = held.value
@@ -283,3 +341,15 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     shape = ", ".join(f"{n} {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
     return placed.select(*cols, "__rank").mapInArrow(place, shape)
+
+
+def _merged(placed: DataFrame, matches: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every piece's place, by (length, block of PLACED ranks): a match is cut at the blocks' borders, and a piece takes the last one up to its rank."""
+    block = F.explode(F.sequence(F.floor(F.col("rank") / PLACED), F.floor((F.col("rank") + F.col("n") - 1) / PLACED))).alias("__block")
+    cut = matches.select(F.col("size").cast("long").alias("length"), block, "rank", F.struct(F.col("rank").alias("r"), "first", "offset").alias("__match"))
+    cut = cut.withColumn("__rank", F.greatest("rank", F.col("__block") * PLACED)).drop("rank")
+    pieces = placed.select(*parts.columns, "__rank", F.floor(F.col("__rank") / PLACED).alias("__block"))
+    both = cut.unionByName(pieces, allowMissingColumns=True).withColumn("__piece", F.col("__match").isNull())
+    before = W.partitionBy("length", "__block").orderBy("__rank", "__piece").rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("__own", F.last("__match", ignorenulls=True).over(before)).where("__piece")
+    return met.select(*parts.columns, (F.col("__own.first") + F.col("__rank") - F.col("__own.r")).alias("sequence_id"), F.col("__own.offset").cast("long").alias("offset"))

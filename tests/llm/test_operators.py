@@ -151,6 +151,35 @@ def test_packing(docs, rows):
     assert len(bins) <= 1.02 * sum(r.length for r in got) / 4096 + 1
 
 
+def test_packing_without_a_broadcast(docs, monkeypatch):
+    """Beyond most_matches, blocks of ranks give every piece the place that the broadcast table does."""
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "PLACED", 3)
+    got = [srt(tuple(r) for r in packing.pack(parts, packing.CAPACITY, most).collect()) for most in (packing.MOST_MATCHES, 0)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_no_task_sees_all_runs(spark, monkeypatch):
+    """Ranges meet in pairs: after the range sort nothing is gathered, and a meeting has no gaps of its smaller half nor pieces of its larger one."""
+    runs = [(packing.PIECES, s, 1 + s % 7, 0, None, None) for s in range(1, 400)] + [(packing.GAPS, s, 1 + s % 3, s << 20, None, None) for s in range(1, 300, 3)]
+    df = spark.createDataFrame(runs, packing.SHAPE)
+    out = packing.superstep(df, 1, 399, 400)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "SinglePartition" not in plan
+    rows = out.collect()
+    placed = collections.Counter()
+    for r in rows:
+        if r.kind == packing.MATCH:
+            placed[r.size] += r.n
+    held = {r.size: r.n for r in rows if r.kind == packing.PIECES}
+    assert all(placed[s] + held.get(s, 0) == 1 + s % 7 for s in range(1, 400))
+    assert max(held, default=0) * packing.BAND <= 399
+    # as one sweep over everything would place them, up to where ranges open sequences by themselves
+    alone = packing.sweep(sorted((r[:4] for r in runs), key=lambda r: (-r[1], r[0], r[3])), 400)[0]
+    used = lambda ms: sum(m[1] for m in ms if m[2] < 1 << 57)
+    assert used([(r.size, r.n, r["at"]) for r in rows if r.kind == packing.MATCH]) == used(alone)
+
+
 def test_sweep_takes_successors():
     """A run of pieces takes the tightest gaps that hold it, larger pieces first; a gap takes equal pieces while it has room."""
     gaps, pieces = [(packing.GAPS, 9, 2, 100), (packing.GAPS, 6, 1, 200)], [(packing.PIECES, 7, 1, 0), (packing.PIECES, 3, 5, 0)]
@@ -358,6 +387,33 @@ def test_language_model_learns_words_of_a_class(spark):
     assert p[1] > p[4] + 0.5
 
 
+def test_language_model_does_not_depend_on_files(spark, docs, monkeypatch):
+    """Several learners; however the table is split and ordered, the scores are the same."""
+    learners, averaged = [], language_model._averaged
+    monkeypatch.setattr(language_model, "SENT", 4.0)
+    monkeypatch.setattr(language_model, "_averaged", lambda rows, n: [learners.append(n), averaged(rows, n)][1])
+    table = docs.select("doc_id", "text")
+    splits = (table.coalesce(1), table.repartition(7, "doc_id"), table.orderBy(F.desc("doc_id")))
+    got = [{(r.doc_id, r.n_tokens): r.score for r in language_model.lm_scores(t, seven).collect()} for t in splits]
+    assert max(learners) > 1 and got[0].keys() == got[1].keys() == got[2].keys()
+    for other in got[1:]:
+        assert max(abs(other[k] - v) / (1 + abs(v)) for k, v in got[0].items()) < 1e-6
+
+
+def test_keys_that_are_broadcast_have_a_bound(spark, monkeypatch):
+    """With many keys over the limit, the limit grows with the table; no row is lost."""
+    from palisade.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "MOST_HOT", 4)
+    rows = spark.createDataFrame([(k, i) for k in range(20) for i in range(200 if k < 2 else 5)], "k long, i long")
+    per = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    total = rows.count()
+    got = common.join_uneven(rows, per, "k", total)
+    assert srt(tuple(r) for r in got.select("k", "i", "least").collect()) == srt((r.k, r.i, 0) for r in rows.collect())
+    assert per.where(F.col("n") > max(1, total // 4)).count() <= 4
+
+
 def test_parameters_are_averaged(spark, monkeypatch):
     monkeypatch.setattr(language_model, "FAN_IN", 3)
     rows = [(k, i, k + 1, np.full(2, k + i, np.float32).tobytes()) for k in range(10) for i in range(2)]
