@@ -378,13 +378,14 @@ def _averaged(rows: DataFrame, learners: int) -> np.ndarray | None:
     def mean(key, pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("learner", kind="stable")  # sums in one order
         n = pdf["n"].to_numpy()
         total = sum(w * np.frombuffer(p, np.float32).astype(np.float64) for w, p in zip(n / n.sum(), pdf["p"], strict=True))
         return pd.DataFrame({"learner": [0], "i": [pdf["i"].iloc[0]], "n": [int(n.sum())], "p": [total.astype(np.float32).tobytes()]})
 
     while learners > 1:
         learners = -(-learners // FAN_IN)
-        rows = rows.withColumn("learner", F.pmod("learner", F.lit(learners))).groupBy("i", "learner").applyInPandas(lambda key, pdf: mean(key, pdf).assign(learner=key[1]), BLOCKS)
+        rows = rows.withColumn("team", F.pmod("learner", F.lit(learners))).groupBy("i", "team").applyInPandas(lambda key, pdf: mean(key, pdf).assign(learner=key[1]), BLOCKS)
     got = sorted((r["i"], bytes(r["p"])) for r in rows.select("i", "p").collect())
     return np.frombuffer(b"".join(p for _, p in got), np.float32) if got else None
 
@@ -412,7 +413,10 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Vocabulary, LogBilinear]:
     # a start only: one task, whose texts are distinct and bounded in bytes whatever the corpus
     start = _averaged(warm.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(_training(held, None, EPOCHS, WARM_BYTES), BLOCKS), 1)
     learners = max(1, int(SENT * 6 * tokens / (4 * model.flat().size)))
-    texts = train.select("text").coalesce(learners)
+    # a document's place is a hash of its id and text, so copies of one text go to all learners
+    place = F.xxhash64("doc_id", "text") if "doc_id" in train.columns else F.xxhash64("text")
+    dealt = train.select("text", place.alias("place")).repartition(learners, "place").sortWithinPartitions("place")
+    texts = dealt.select("text")
     learnt = _averaged(written(texts.mapInArrow(_training(held, None if start is None else spark.sparkContext.broadcast(start)), BLOCKS), "learnt"), learners)
     if learnt is not None:
         model.load(learnt)
