@@ -13,10 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def join_uneven(rows: DataFrame, per_key: DataFrame, key: str, hot: int) -> DataFrame:
-    """rows joined with per_key, which has one row a key and in column `n` how many of rows have it.
+#: Rows of a key from which on its partner is broadcast, and how many keys are broadcast at most.
+HOT_ROWS, MOST_HOT = 100_000, 1_000_000
 
-    Keys of more than `hot` rows are broadcast, at most (number of rows / hot) of them, so their rows stay where they are."""
+
+def join_uneven(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with per_key, which has one row a key and in column `n` how many of rows have it; rows are `total` at most.
+
+    Keys of more than `hot` rows are broadcast, so their rows stay where they are. As hot is at least total / MOST_HOT, these
+    are MOST_HOT keys at most, whatever the table; any other key has under a millionth of the rows, or HOT_ROWS."""
+    hot = max(HOT_ROWS, total // MOST_HOT)
     per_key = per_key.withColumnRenamed(key, "__key")
     large = per_key.where(F.col("n") > hot).drop("n")
     met = rows.join(F.broadcast(large), F.col(key) == F.col("__key"), "left")
@@ -33,4 +39,4 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "join_uneven", "let", "shared_dir", "whole_text", "written"]
+__all__ = ["HOT_ROWS", "MOST_HOT", "SPACE", "WORD", "ascii_lower", "join_uneven", "let", "shared_dir", "whole_text", "written"]

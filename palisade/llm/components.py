@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps (each an aggregation for the smallest neighbour and a
 join back), written to the shared folder after each round until the edges no longer change. A round
 moves a bounded number of rows per edge; a node with very many neighbours is aggregated map-side,
-and its least neighbour is broadcast to them.
+and its least neighbour is broadcast to them; `join_uneven` bounds how many such nodes there can be.
 """
 
 from __future__ import annotations
@@ -13,18 +13,15 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import join_uneven, written
 
-#: Neighbours of a node beyond which its least one is broadcast to their rows.
-HOT_ROWS = 100_000
 
-
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b) with a > b. Large star links larger neighbours, small star the smaller ones, to the least."""
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """edges (a, b) with a > b; both ways they are `total` at most. Large star links larger neighbours, small star the smaller ones, to the least."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        return join_uneven(both.where(F.col("b") > F.col("a")), least, "a", HOT_ROWS).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        return join_uneven(both.where(F.col("b") > F.col("a")), least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = join_uneven(edges, least, "a", HOT_ROWS).where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_uneven(edges, least, "a", total).where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -37,5 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == state or not sign[0]:
             break
         state = sign
-        now = written(_stars(_stars(now, True), False), "edges")
+        now = written(_stars(_stars(now, True, 2 * sign[0]), False, 2 * sign[0]), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

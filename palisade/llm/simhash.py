@@ -33,8 +33,6 @@ from palisade.llm.components import components
 RADIUS, SHINGLE = 3, 3
 #: Runs over this length look up neighbours instead of comparing.
 LONG_RUN = 4096
-#: Rows of a fingerprint beyond which its component is broadcast to them.
-HOT_ROWS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -169,7 +167,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS)
     roots = _roots(fps, F.min("doc_id"), radius)
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id", "n")
-    return join_uneven(fps, named, "fp", HOT_ROWS).select("doc_id", "fp", "component_id")
+    return join_uneven(fps, named, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
