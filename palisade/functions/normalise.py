@@ -11,10 +11,23 @@ from palisade.functions.let import let
 VOWELS = {"a": "àáâãäåāăąǎȁȃȧæ", "e": "èéêëēĕėęěȅȇ", "i": "ìíîïīĭįǐȉȋ", "o": "òóôõöøōŏőǒȍȏ", "u": "ùúûüūŭůűǔȕȗ"}
 FOLD_FROM = "".join(v + v.upper() for v in VOWELS.values())
 FOLD_TO = "".join(k * len(v) + k.upper() * len(v) for k, v in VOWELS.items())
-_BASE32 = r"(?i)(?<![A-Z2-7=])[A-Z2-7]{8,}={0,6}(?![A-Z2-7=])"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+def _digits(of=lambda v: True, more: str = "") -> str:
+    """A class of the Base32 digits whose value passes, in either case; each by itself, as Java looks such classes up in a table."""
+    kept = "".join(c for v, c in enumerate(_ALPHABET) if of(v))
+    return f"[{kept}{''.join(c.lower() for c in kept if c.isalpha())}{more}]"
+
+
+# Of eight digits five bytes come: their top bits lie in the digits 0, 1, 3, 4 and 6, and the first byte is 32 at least. Most
+# words fail this, and are no Base32 of printable bytes, so they are no match to begin with.
+_BASE32 = (
+    f"(?<!{_digits(more='=')})" + _digits(lambda v: 4 <= v < 16) + _digits(lambda v: not v & 2) + _digits() + _digits(lambda v: not v & 8)
+    + _digits(lambda v: not v & 1) + _digits() + _digits(lambda v: not v & 4) + f"{_digits()}+={{0,6}}(?!{_digits(more='=')})"
+)
+
+
 def replaced(text: Column, regex: str, change) -> Column:
     """text with every match of regex replaced by change(match)."""
 

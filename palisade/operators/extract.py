@@ -100,7 +100,8 @@ def prompts_of(path: Column, content: Column, lines: Column, ext: Column) -> Col
     """array<prompt> of one file, in discovery order."""
     none = F.array().cast(PROMPTS)
     whole = lambda kind: F.array(_prompt(content, F.lit(1), F.size(lines), kind))
-    raw = F.when(has(content, SYSTEM_PHRASE) | longer(content, RAW_UNITS), whole("raw")).otherwise(none)
+    # lengths first: they tell most texts, without a search
+    raw = F.when(longer(content, RAW_UNITS) | has(content, SYSTEM_PHRASE), whole("raw")).otherwise(none)
     skill = F.when(is_skill(path), whole("code-block")).otherwise(none)
     structured = F.transform(_windows(lines, lambda x: has(x, PROMPT_KEY), STRUCTURED_LINES, "object-field", 0), lambda r: r["p"])
     chat = _windows(lines, lambda x: has(x, ROLE_CONTENT), CHAT_LINES, "chat-message", 1)

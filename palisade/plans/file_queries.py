@@ -12,6 +12,7 @@ from palisade.operators.extract import PROMPT_KEY, STRUCTURED_LINES, extract_pro
 from palisade.operators.findings import findings
 from palisade.operators.scoring import exit_code, repo_result
 from palisade.rules.catalogue import RULES
+from palisade.sinks.tables import written
 
 #: Folder, ending, last lines, and the kinds of prompts that come of them, in order.
 KINDS = (
@@ -59,7 +60,8 @@ def exit_codes(spark, sf_dir):
     """The code that a scan of these documents ends with under several gates."""
     d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     files = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat("text", F.lit("\nengage GODMODE")).alias("content"))
-    found = findings(extract_prompts(files), tuple(r for r in RULES if r.id == "JBK-010"))
+    # every gate looks at the same findings: a scan once, not once a gate
+    found = written(findings(extract_prompts(files), tuple(r for r in RULES if r.id == "JBK-010")).select("path", "severity", "risk_points"), "gate-findings")
     rows = []
     for threshold, fail_on in GATES:
         r = repo_result(found, threshold, fail_on).first()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import baseline as base
 from palisade.operators.scoring import exit_code, first_files, repo_result
 from palisade.operators.suppress import directives, marks_of, silenced, unused, with_suppressor
+from palisade.plans import file_queries
 from palisade.plans.scan import scan, signature
 from palisade.rules.catalogue import RULES
 from palisade.sinks import reports
@@ -191,3 +192,12 @@ def test_command_line_cache_plugins_and_watch(tmp_path, capsys, spark):
     assert main([*args, "--watch", "--watch-rounds", "2", "--watch-interval", "0"]) == 0 and "1 findings; watching" in capsys.readouterr().out
     (tmp_path / "conf.json").write_text("{")
     assert main([*args, "--no-cache"]) == 0 and "could not be read" in capsys.readouterr().err
+
+
+def test_exit_codes_scan_once(spark, data, monkeypatch):
+    """Every gate reads the findings of one scan: what the gates look at runs no rule any more."""
+    seen = []
+    gate = file_queries.repo_result
+    monkeypatch.setattr(file_queries, "repo_result", lambda found, *a: seen.append(found) or gate(found, *a))
+    assert file_queries.exit_codes(spark, data).count() == len(seen) == len(file_queries.GATES)
+    assert not any("ArrowEvalPython" in f._jdf.queryExecution().optimizedPlan().toString() for f in seen)

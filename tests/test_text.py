@@ -1,9 +1,11 @@
+import base64
+import random
 import re
 from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
-from palisade.functions.normalise import FOLD_FROM, FOLD_TO, normalised
+from palisade.functions.normalise import _BASE32, FOLD_FROM, FOLD_TO, base32_decoded, normalised
 from palisade.functions.regexes import P, to_java, to_re2
 from palisade.functions.utf16 import longer, prefix, suffix, units
 from palisade.operators.extract import extension, extract_prompts
@@ -87,3 +89,16 @@ def test_utf16(spark):
 def test_raw_prompts_count_units(spark):
     rows = [("u.md", "\U0001f600" * 30), ("v.md", "\U0001f600" * 25), ("w.md", "e" * 51), ("x.md", "e" * 50)]
     assert sorted(r.path for r in extract_prompts(spark.createDataFrame(rows, "path string, content string")).collect()) == ["u.md", "w.md"]
+
+
+def test_words_that_cannot_be_base32_are_no_candidates(spark):
+    """Few words get as far as decoding, and those that decode are all among them: against the plain version, on true and random Base32."""
+    long_words = "standard generation operation determine national happening knowledge yesterday children important different question continue language".split()
+    assert not any(re.search(_BASE32, w) for w in long_words)
+    rng = random.Random(6)
+    told = [base64.b32encode(bytes(rng.choice(b" ~aZ09!{") if rng.random() < 0.97 else rng.randrange(256) for _ in range(rng.randrange(3, 14)))).decode() for _ in range(600)]
+    drawn = ["".join(rng.choice("EFGHIJKLMNOP") + "".join(rng.choice("ABCDEIQY2467") for _ in range(rng.randrange(6, 20)))) for _ in range(1400)]
+    texts = [rng.choice(("", "x ", "=", "1")) + rng.choice((str.upper, str.lower, str.swapcase))(w.rstrip("=")) + "=" * rng.choice((0, 0, 1, 6, 7)) + rng.choice(("", " y", "A", ".")) for w in told + drawn]
+    want = [re.sub(r"(?<![A-Z2-7=])[A-Z2-7]{8,}={0,6}(?![A-Z2-7=])", _base32, t, flags=re.I | re.A) for t in texts]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(base32_decoded(F.col("t"))).collect()]
+    assert got == want and sum(t != w for t, w in zip(texts, want, strict=True)) > 200
