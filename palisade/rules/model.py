@@ -113,12 +113,6 @@ def _any(parts) -> Column | None:
     return out
 
 
-def holds(low: Column, patterns) -> Column | None:
-    """Whether a text in lower case has one of the strings that a match of one of the patterns needs; None if they need none."""
-    words = [required(p.regex if isinstance(p, P) else p) for p in patterns]
-    return _any(low.contains(w) for w in dict.fromkeys(x for own in words for x in own)) if all(words) else None
-
-
 def required_groups(rule: Rule) -> tuple[tuple[str, ...], ...]:
     """Groups of strings: a text that the rule matches holds, in lower case, one string of each."""
     told = lambda p: required(p.regex if isinstance(p, P) else p)
