@@ -1,17 +1,22 @@
-"""Few large splits of a small input are dealt to all cores, as the work on a text takes far longer than moving it."""
+"""Texts are dealt in parts of bounded size, as the work on a text takes far longer than moving it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Input up to so many bytes for each core is dealt out; more of it lies in many splits by itself, and stays where it is.
+#: Input up to so many bytes for each core is dealt in two parts for each core.
 SPREAD_BYTES = 32 << 20
+#: Of larger input a part has about so many bytes, whatever the sizes of files and their row groups.
+PART_BYTES = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in twice as many partitions as there are cores, if its size, as Spark's plan tells it, is small; else df."""
+    """df in twice as many partitions as there are cores, if its size, as Spark's plan tells it, is small; else in one for each PART_BYTES."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores) if size <= cores * SPREAD_BYTES else df
+    if size <= cores * SPREAD_BYTES:
+        return df.repartition(2 * cores)
+    parts = -(-size // PART_BYTES)
+    return df.repartition(parts) if parts > 1 else df

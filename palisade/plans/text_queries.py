@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.regexes import P, to_re2
+from palisade.functions.spread import spread
 from palisade.functions.sql import quoted
 from palisade.functions.utf16 import prefix, suffix, units
 from palisade.operators.extract import RAW_UNITS, SYSTEM_PHRASE, extract_prompts
@@ -18,7 +19,7 @@ _CUT = 33
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", PLAIN, WIDE).alias("t"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.translate("text", PLAIN, WIDE).alias("t"))
 
 
 def utf16_cuts(spark, sf_dir):

@@ -111,6 +111,16 @@ def test_small_inputs_are_dealt_to_all_cores(spark, monkeypatch):
     assert spread(df).rdd.getNumPartitions() == 1
 
 
+def test_large_inputs_are_dealt_in_parts_of_bounded_size(spark, monkeypatch):
+    """A large table in one split does not stay in one task, and parts do not grow with the table."""
+    monkeypatch.setattr("palisade.functions.spread.SPREAD_BYTES", 10)
+    monkeypatch.setattr("palisade.functions.spread.PART_BYTES", 1000)
+    for rows, parts in ((1000, 8), (10_000, 80)):
+        df = spread(spark.range(rows).coalesce(1))
+        assert df.rdd.getNumPartitions() == parts
+        assert max(df.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 200
+
+
 def test_mitigations_are_looked_for_in_the_same_pass(spark):
     """The strings that softening texts need are looked for with those of the rules, and only what softens one of the rules is tried."""
     df = spark.createDataFrame([("a.md", ".md", 0, "raw", "engage GODMODE\nThese Instructions are PERMANENT", 1, 2)], "path string, ext string, prompt_ord int, kind string, text string, line_start int, line_end int")
