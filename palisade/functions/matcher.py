@@ -10,12 +10,14 @@ import functools
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bits of an item's word.
 BITS = 63
+#: Sets of met strings whose bits a worker remembers; beyond it, it begins anew.
+KNOWN = 4096
 #: Strings this short come up all the time: they are looked for one by one.
 SHORT = 2
 
@@ -50,7 +52,7 @@ class Matcher:
             if m & ~met and w in text:
                 met |= m
         if met not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             self.known[met] = [sum(1 << i for i, need in enumerate(items) if need & met == need) for items in self.items]
         return self.known[met]
@@ -66,10 +68,11 @@ def held(text: Column, lists: tuple[tuple[Groups, ...], ...]) -> Column:
     if any(len(items) > BITS for items in lists):
         raise ValueError(f"a list has at most {BITS} items")
 
-    @F.pandas_udf("array<bigint>")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # by Arrow, a text at a time: a worker holds a batch as it came and one text, not every text of the batch as an object
+    @F.arrow_udf("array<bigint>")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = _built(lists)
         for texts in batches:
-            yield pd.Series([matcher.held(t) if t is not None else [0] * len(lists) for t in texts], dtype=object)
+            yield pa.array((matcher.held(t.as_py()) if t.is_valid else [0] * len(lists) for t in texts), pa.list_(pa.int64()), size=len(texts))
 
     return told(text)
