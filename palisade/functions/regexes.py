@@ -8,11 +8,13 @@ it has no counterpart (look-around).
 from __future__ import annotations
 
 import re
+import string
 from typing import NamedTuple
 
 from pyspark.sql import Column
 
-_WORD = "0-9A-Za-z_"
+# each by itself: Java looks such a class up in a table, and tries ranges one by one
+_WORD = string.digits + string.ascii_letters + "_"
 BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 SPACES = r"\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _LETTER = re.compile(r"[0-9A-Za-z_]")
@@ -62,7 +64,8 @@ def _ends(s: str) -> bool:
 def _boundary(s: str, i: int) -> str:
     """The word boundary behind which s goes on at i: one look-around where a neighbour is known to be a word character."""
     if _starts(s[i:]):
-        return f"(?<![{_WORD}])"
+        # where one character is known to come, it is looked at first: at most places it is another
+        return (f"(?={s[i]})" if _LETTER.match(s[i:]) else "") + f"(?<![{_WORD}])"
     return f"(?![{_WORD}])" if _ends(s[: i - 2]) else BOUNDARY
 
 
