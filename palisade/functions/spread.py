@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Input up to so many bytes for each core is dealt in two parts for each core.
+#: Input up to so many bytes for each core is dealt in two parts for each core at least.
 SPREAD_BYTES = 32 << 20
-#: Of larger input a part has about so many bytes, whatever the sizes of files and their row groups.
-PART_BYTES = 8 << 20
+#: A part has at most about so many bytes, as Spark's plan tells them, whatever the sizes of files and their row groups.
+PART_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in twice as many partitions as there are cores, if its size, as Spark's plan tells it, is small; else in one for each PART_BYTES."""
+    """df in parts of PART_BYTES by the size that Spark's plan tells; if that is small, in twice as many as there are cores at least."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= cores * SPREAD_BYTES:
-        return df.repartition(2 * cores)
     parts = -(-size // PART_BYTES)
+    if size <= cores * SPREAD_BYTES:
+        parts = max(parts, 2 * cores)
     return df.repartition(parts) if parts > 1 else df

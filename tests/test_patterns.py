@@ -114,9 +114,9 @@ def test_small_inputs_are_dealt_to_all_cores(spark, monkeypatch):
 
 def test_large_inputs_are_dealt_in_parts_of_bounded_size(spark, monkeypatch):
     """A large table in one split does not stay in one task, and parts do not grow with the table."""
-    monkeypatch.setattr("palisade.functions.spread.SPREAD_BYTES", 10)
     monkeypatch.setattr("palisade.functions.spread.PART_BYTES", 1000)
-    for rows, parts in ((1000, 8), (10_000, 80)):
+    for rows, parts, small in ((1000, 8, 10), (10_000, 80, 10), (10_000, 80, 32 << 20)):
+        monkeypatch.setattr("palisade.functions.spread.SPREAD_BYTES", small)
         df = spread(spark.range(rows).coalesce(1))
         assert df.rdd.getNumPartitions() == parts
         assert max(df.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 200
