@@ -150,3 +150,13 @@ def test_boundaries_look_at_the_next_character_first():
     got = to_java(P(r"\bGOD\b|\b(?:a|b)c"))
     assert got.startswith("(?i)(?=G)(?<![0123456789abc") and "0-9" not in got and "|(?<![" in got
     assert [m.span() for m in re.finditer(got, "god xGOD GOD_ ac bac Bc")] == [(0, 3), (14, 16), (21, 23)]
+
+
+def test_inputs_of_unknown_size_and_joins_are_dealt_with_sense(spark, monkeypatch):
+    """Rows that Python made have no known size and stay; a join counts by what it reads, not by the product."""
+    df = spark.sparkContext.parallelize([(i,) for i in range(9)], 3).toDF("i int")
+    assert spread(df).rdd.getNumPartitions() == 3
+    monkeypatch.setattr("palisade.functions.spread.SPREAD_BYTES", 10)
+    monkeypatch.setattr("palisade.functions.spread.PART_BYTES", 1000)
+    both = spark.range(1000).crossJoin(spark.range(1000).toDF("j"))
+    assert spread(both).rdd.getNumPartitions() == 16
