@@ -12,6 +12,10 @@ import re._parser as sre_parser
 
 #: Alternatives kept while strings are joined, and characters of a class that are taken as alternatives.
 MOST, MOST_CHARS = 48, 4
+#: How many characters of a match's head are told, and of how many beginnings.
+HEAD, MOST_HEADS = 2, 400
+_DIGITS = frozenset("0123456789")
+_WORDS = _DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
 
 
 def _score(words: frozenset[str]) -> float:
@@ -86,3 +90,62 @@ def required(regex: str) -> tuple[str, ...]:
         return ()
     # of strings within one another the shorter says all
     return tuple(sorted(x for x in found if not any(y != x and y in x for y in found)))
+
+
+def _chars(op, arg) -> frozenset[str] | None:
+    """The ASCII characters that an item of one character takes; None if there are others or they cannot be told."""
+    if op is sre.LITERAL:
+        return frozenset(chr(arg)) if arg < 128 else None
+    if op is sre.RANGE:
+        return frozenset(map(chr, range(arg[0], arg[1] + 1))) if arg[1] < 128 else None
+    if op is sre.CATEGORY:
+        return {sre.CATEGORY_DIGIT: _DIGITS, sre.CATEGORY_WORD: _WORDS}.get(arg)
+    if op is sre.IN:
+        own = [_chars(*x) for x in arg]
+        return None if None in own else frozenset().union(*own)
+    return None
+
+
+def _joined(a: set[tuple], b: set[tuple]) -> set[tuple]:
+    out = {x if len(x) == HEAD else (x + y)[:HEAD] for x in a for y in b}
+    return out if len(out) <= MOST_HEADS else {(None,) * HEAD}
+
+
+def _begins(items) -> set[tuple]:
+    """How matches of items begin: for each place up to HEAD its characters, None if any; shorter where a match is."""
+    out: set[tuple] = {()}
+    for op, arg in items:
+        if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            continue
+        if op is sre.SUBPATTERN and not arg[1] and not arg[2]:
+            own = _begins(arg[3])
+        elif op is sre.BRANCH:
+            own = set().union(*map(_begins, arg[1]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            once = _begins(arg[2])
+            own = once if arg[1] == 1 else once | _joined(once, once)
+            own = own | {()} if arg[0] == 0 else own
+        elif op in (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY):
+            own = {(_chars(op, arg),)}
+        else:
+            own = {(None,) * HEAD}
+        out = _joined(out, own)
+        if all(len(x) == HEAD for x in out):
+            break
+    return out
+
+
+@functools.cache
+def heads(regex: str, case: bool) -> tuple[str, ...]:
+    """The characters that can stand at the first places of a match, sorted, up to the first place where any can; case: whether letters' case counts."""
+    try:
+        begins = _begins(sre_parser.parse(regex))
+    except Exception:  # syntax of another dialect
+        return ()
+    out = []
+    for i in range(HEAD):
+        if any(len(x) <= i or x[i] is None for x in begins):
+            break
+        own = frozenset().union(*(x[i] for x in begins))
+        out.append("".join(sorted(own if case else {c for x in own for c in (x.lower(), x.upper())})))
+    return tuple(out)

@@ -13,6 +13,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column
 
+from palisade.functions.literals import heads
+
 # each by itself: Java looks such a class up in a table, and tries ranges one by one
 _WORD = string.digits + string.ascii_letters + "_"
 BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
@@ -78,6 +80,15 @@ class P(NamedTuple):
 
 
 def to_java(p: P) -> str:
+    return _flags(p) + _body(p)
+
+
+def _flags(p: P) -> str:
+    flags = ("" if p.case else "i") + ("m" if p.lines else "")
+    return f"(?{flags})" if flags else ""
+
+
+def _body(p: P) -> str:
     out, i, inside = [], 0, False
     s = p.regex
     while i < len(s):
@@ -111,8 +122,13 @@ def to_java(p: P) -> str:
         else:
             out.append(c)
         i += 1
-    flags = ("" if p.case else "i") + ("m" if p.lines else "")
-    return (f"(?{flags})" if flags else "") + "".join(out)
+    return "".join(out)
+
+
+def to_search(p: P) -> str:
+    """to_java for a search: at places where no match can begin, a look at one or two characters, each in a table, is all that is tried."""
+    classes = "".join(f"[{''.join(c if c.isalnum() else f'\\x{ord(c):02X}' for c in own)}]" for own in heads(p.regex, p.case))
+    return _flags(p) + (f"(?={classes})(?:{_body(p)})" if classes else _body(p))
 
 
 def to_re2(p: P) -> str | None:
@@ -123,4 +139,4 @@ def to_re2(p: P) -> str | None:
 
 
 def has(col: Column, p: P | str) -> Column:
-    return col.rlike(to_java(p if isinstance(p, P) else P(p)))
+    return col.rlike(to_search(p if isinstance(p, P) else P(p)))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from palisade.functions import regexes
-from palisade.functions.literals import required
+from palisade.functions.literals import heads, required
 from palisade.functions.matcher import Matcher, held
-from palisade.functions.regexes import P, to_java
+from palisade.functions.regexes import P, has, to_java, to_search
 from palisade.functions.spread import spread
 from palisade.operators.findings import findings, raw_matches
 from palisade.plans.payloads import PAYLOADS
@@ -53,6 +53,42 @@ def test_boundaries(monkeypatch):
             assert [m.span() for m in x.finditer(t)] == [m.span() for m in plain(p).finditer(t)], (p, t)
 
 
+def test_heads():
+    assert heads(r"(?:ab|c)+d", False) == ("ACac", "ABCDabcd") and heads(r"x?y", True) == ("xy",) and heads(r"\bGO\b", True) == ("G", "O")
+    assert heads("a*", True) == heads("a?", True) == heads("é", True) == heads("[^a]b", True) == heads("(?:a|)", True) == heads(r"\sa", True) == () == heads("^|ab", True)
+    assert heads("x(?=abc)", True) == ("x",) and heads("a{2,}", True) == ("a",) and heads(r"\d[_\s]", True) == ("0123456789",)
+    assert to_search(P("[[]b", case=True)) == r"(?=[\x5B][b])(?:[\[]b)" and to_search(P(".a")) == to_java(P(".a"))
+
+
+def test_a_match_begins_with_its_heads():
+    mine = [p for p in patterns() if r"\x{" not in p.regex]
+    assert sum(len(heads(p.regex, p.case)) < 2 for p in mine) < len(mine) / 10
+    for p in mine:
+        x, own = re.compile(to_search(p).replace(r"\z", r"\Z")), heads(p.regex, p.case)
+        for t in TEXTS:
+            spans = [m.span() for m in plain(p).finditer(t)]
+            assert spans == [m.span() for m in x.finditer(t)], (p, t)
+            assert all(c in chars for a, _ in spans for c, chars in zip(t[a:], own)), (p, t)
+
+
+def test_searches_of_any_pattern(spark):
+    """Random patterns on random texts, in Java: what a search finds is what the pattern itself finds."""
+    rng = random.Random(5)
+
+    def made(depth):
+        if depth == 0:
+            return rng.choice(["a", "b", "K", "[ab]", "[^a]", ".", r"\d", r"\w", r"\s", "^", "$", r"\b", "é", "\\["])
+        a, b = made(depth - 1), made(rng.randrange(depth))
+        return rng.choice([a + b, f"(?:{a}|{b})", f"(?:{a})?{b}", f"(?:{a})*{b}", f"(?:{a})+", f"(?={a}){b}", f"(?:{a}){{0,2}}{b}", a + b])
+
+    some = [P(made(3), case=rng.random() < 0.5) for _ in range(150)]
+    assert sum(to_search(p) != to_java(p) for p in some) > 30
+    texts = ["".join(rng.choice("abABkK\u212aé1 [\n") for _ in range(rng.randrange(7))) for _ in range(120)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    row = df.agg(*[F.count_if(has(F.col("t"), p) != F.col("t").rlike(to_java(p))).alias(f"c{i}") for i, p in enumerate(some)]).first()
+    assert [some[i] for i, n in enumerate(row) if n] == []
+
+
 #: Code and the lines, with the names, at which request data gets into a prompt.
 TAINTED = (
     ("const who = req.query.who\nconst p = `You are kind to ${who}.`", [(2, "who")]),
