@@ -19,6 +19,8 @@ from palisade.functions.literals import heads
 _WORD = string.digits + string.ascii_letters + "_"
 BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 SPACES = r"\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: The same characters as they are.
+SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _LETTER = re.compile(r"[0-9A-Za-z_]")
 
 

@@ -14,14 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palisade.functions.literals import required
-from palisade.functions.regexes import SPACES, P, has
+from palisade.functions.regexes import SPACE_CHARS, P, has
 
 SEVERITIES = {"low": 5, "medium": 15, "high": 30, "critical": 50}
 CONFIDENCES = {"low": 50, "medium": 75, "high": 100}
 CONFIDENCE_ORDER = ("low", "medium", "high")
 EVIDENCE_UNITS = 200
 MATCH = "array<struct<rule_id:string,line_start:int,line_end:int,evidence:string>>"
-_TRIM = f"^[{SPACES}]+|[{SPACES}]+\\z"
 
 
 @dataclass(frozen=True)
@@ -87,7 +86,8 @@ class Prompt:
 
 
 def js_trim(col: Column) -> Column:
-    return F.regexp_replace(col, _TRIM, "")
+    # from both ends: an expression would look at every character between them
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def finding(rule_id: str, start: Column, end: Column, evidence: Column) -> Column:

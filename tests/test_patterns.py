@@ -89,6 +89,18 @@ def test_searches_of_any_pattern(spark):
     assert [some[i] for i, n in enumerate(row) if n] == []
 
 
+def test_trim(spark):
+    from palisade.rules.model import js_trim
+
+    assert len(regexes.SPACE_CHARS) == 25 and re.fullmatch(f"[{regexes.SPACES}]{{25}}", regexes.SPACE_CHARS)
+    rng = random.Random(3)
+    texts = ["", " ", regexes.SPACE_CHARS, *("".join(rng.choice(regexes.SPACE_CHARS + "aé\u200b\u0085\x1c") for _ in range(rng.randrange(9))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", js_trim(F.col("t")).alias("mine"), F.regexp_replace("t", f"^[{regexes.SPACES}]+|[{regexes.SPACES}]+\\z", "").alias("plain"))
+    # both ends are cut without an expression
+    assert "regexp" not in df.select("mine")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert df.where("not (mine <=> plain)").collect() == []
+
+
 #: Code and the lines, with the names, at which request data gets into a prompt.
 TAINTED = (
     ("const who = req.query.who\nconst p = `You are kind to ${who}.`", [(2, "who")]),
